@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import language_id, quality_rules, token_counts, toxicity, url_filter
+from sedimenta.llm import language_id, mixing, packing, quality_rules, token_counts, toxicity, url_filter, vector_search
 from sedimenta.llm.tables import read, remainder
 
 #: Tokens beyond which a document is over the limit.
@@ -27,10 +27,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     scored = toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
@@ -42,5 +55,5 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs)).withColumn("held_out", remainder() == 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op5_url_filter, op7_toxicity, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_vector_search, op5_url_filter, op6_mixing, op7_toxicity, op8_language_id)}
 ORACLE_SQL: dict[str, str] = {}
