@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import jaccard_join, language_id, mixing, packing, quality_rules, token_counts, toxicity, url_filter, vector_search
+from sedimenta.llm import jaccard_join, language_id, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filter, vector_search
 from sedimenta.llm.tables import read, remainder
 
 #: Tokens beyond which a document is over the limit.
@@ -55,9 +55,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs)).withColumn("held_out", remainder() == 2)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_vector_search, op5_url_filter, op6_mixing, op7_toxicity, op8_language_id, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_vector_search, op5_url_filter, op6_mixing, op7_toxicity, op8_language_id, op9_suffix_dedup, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
