@@ -423,3 +423,49 @@ def removed(docs: DataFrame) -> DataFrame:
         "doc_id", "n_bytes", pick(F.col("n_bytes"), F.col("removed"), F.lit(0)).alias("n_removed"), pick(F.lit(1), F.col("runs"), F.lit(0)).cast("long").alias("n_spans"),
         pick(F.lit(EMPTY), F.col("sha"), F.col("whole")).alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows with all their columns, their texts without the removed bytes; rows left without text go.
+
+    A character that loses some of its bytes goes whole.  n_chars follows the text.  Rows whose
+    text was empty before stay.
+    """
+    spark = docs.sparkSession
+    firsts, spans = repeats(docs)
+    every = _identified(docs)
+    copies = every.select("doc_id", "text_id", F.octet_length("text").alias("size")).join(firsts.withColumnRenamed("text_id", "first_id"), F.col("text_id") == F.col("first_id"))
+    copies = written(copies.where((F.col("size") >= LENGTH) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) != F.col("id"))).select("text_id").distinct(), "copies")
+    touched = spans.select("text_id").union(copies)
+    bitmap = spark.sparkContext.broadcast(_bitmap(touched.select(F.col("text_id").alias("point"))))
+    at = len(docs.columns)
+
+    def where(marked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_marked(bitmap.value, batch.column(at).to_numpy()) == marked))
+
+        return run
+
+    same = every.mapInArrow(where(False), every.schema).select(*docs.columns)
+    cut_of = spans.join(firsts.withColumnRenamed("text_id", "first_id"), F.col("text_id") == F.col("first_id"), "right").select(F.col("first_id").alias("cut_id"), "spans", "id")
+    joined = every.mapInArrow(where(True), every.schema).join(cut_of, F.col("text_id") == F.col("cut_id"))
+    copy = (F.octet_length("text") >= LENGTH) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) != F.col("id"))
+    column = docs.columns.index("text")
+    joined = joined.where(~copy).select(*docs.columns, F.col("spans").alias("cut_spans"))
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans_ in zip(batch.column(column).to_pylist(), batch.column(len(docs.columns)).to_pylist(), strict=True):
+                raw = np.frombuffer((text or "").encode(), np.uint8)
+                keep = np.ones(len(raw), bool)
+                for s in spans_ or ():
+                    keep[s["a"] : s["z"]] = False
+                out.append(raw[keep].tobytes().decode(errors="ignore"))
+            cols = list(batch.columns[: len(docs.columns)])
+            cols[column] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, docs.columns).filter(pa.array([bool(x) for x in out], pa.bool_()))
+
+    out = same.union(joined.mapInArrow(shorten, docs.schema))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
