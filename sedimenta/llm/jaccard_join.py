@@ -45,8 +45,8 @@ from sedimenta.llm.tables import written
 WIDTH, NUM, DEN = 5, 3, 4
 #: Shingles on the list of frequent ones, at most, and the least count to be on it.
 FREQUENT, FREQUENT_MIN = 1 << 18, 6
-#: Points of a region whose pairs are formed directly.
-SMALL = 8
+#: Points of a region whose pairs are formed directly, and rows that a task folds before it hands them out.
+SMALL, FOLD = 32, 300_000
 #: Points of a cell's block, and of a part that is compared directly.
 CELL, LEAF = 1500, 384
 #: Bits of a parity sketch.
@@ -183,10 +183,17 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest: list[np.ndarray] = [np.zeros(0, _I)] * 3
     open_s, open_pivot = None, 0  # a region whose first part has been handed out
 
-    def handle(s: np.ndarray, p: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
-        nonlocal open_s
+    held: list[np.ndarray] = []
+
+    def folded() -> Iterator[pa.RecordBatch]:
+        if held:
+            u = np.unique(np.concatenate(held, axis=1), axis=1)
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1]), pa.array(u[2] != 0)], ["a", "b", "star"])
+
+    def handle(s: np.ndarray, p: np.ndarray, x: np.ndarray) -> None:
         if not len(s):
-            return None
+            return
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1])
         s, p, x = s[new], p[new], x[new]
@@ -211,30 +218,25 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b.append(p[j[ok]])
             star.append(np.zeros(int(ok.sum()), bool))
         a, b, star = map(np.concatenate, (a, b, star))
-        if not len(a):
-            return None
-        u = np.unique(np.stack([a, b, star.astype(_I)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1]), pa.array(u[2] != 0)], ["a", "b", "star"])
+        if len(a):
+            held.append(np.stack([a, b, star.astype(_I)]))
 
     for batch in batches:
         cols = [np.concatenate([r, batch.column(k).to_numpy()]) for k, r in enumerate(rest)]
         cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
         if cut:
-            out = handle(*(c[:cut] for c in cols))
+            handle(*(c[:cut] for c in cols))
             open_s = None if open_s != cols[0][-1] else open_s
-            if out is not None:
-                yield out
         rest = [c[cut:] for c in cols]
         if len(rest[0]) > 20_000:  # one large region: its points go to its pivot part by part
             pivot = open_pivot if open_s == rest[0][0] else int(rest[1][0])
             open_s, open_pivot = int(rest[0][0]), pivot
-            out = handle(*rest)
-            if out is not None:
-                yield out
+            handle(*rest)
             rest = [r[:0] for r in rest]
-    out = handle(*rest)
-    if out is not None:
-        yield out
+        if sum(x.shape[1] for x in held) > FOLD:
+            yield from folded()
+    handle(*rest)
+    yield from folded()
 
 
 def link_matrix(members: list[np.ndarray]) -> np.ndarray:
