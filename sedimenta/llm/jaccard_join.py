@@ -49,8 +49,8 @@ FREQUENT, FREQUENT_MIN = 1 << 18, 6
 SMALL, FOLD = 32, 300_000
 #: Points of a cell's block, and of a part that is compared directly.
 CELL, LEAF = 1500, 384
-#: Bits of a parity sketch.
-SKETCH = 1024
+#: Least and most bits of a parity sketch; between, the first power of two that the set's size reaches.
+SKETCH = (256, 1 << 14)
 #: Shingles that a task counts at once.
 COUNT_AT_ONCE = 2_000_000
 #: Words (64 bits) of the filter that tells tasks which points' sets are wanted; fixed size.
@@ -92,26 +92,42 @@ def digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size > 0, key, 0)
 
 
-def sketches(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
-    """Parity bitmaps: the xor of two has at most as many bits as the sets' symmetric difference."""
-    out = np.zeros((n, SKETCH // 8), np.uint8)
-    step = 4096
-    for a in range(0, n, step):
-        lo, hi = np.searchsorted(d, [a, a + step])
-        m = min(step, n - a)
-        cell = (d[lo:hi] - a) * SKETCH + (mix(h[lo:hi]) & np.uint64(SKETCH - 1)).astype(_I)
-        out[a : a + m] = np.packbits((np.bincount(cell, minlength=m * SKETCH)[: m * SKETCH] & 1).astype(np.uint8).reshape(m, SKETCH), axis=1)
+def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Parity bitmaps of the sets between bounds: the xor of two has at most as many bits as the sets' symmetric difference."""
+    n = np.diff(at)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(_I), *SKETCH)
+    cell = mix(h)
+    out = [b""] * len(n)
+    for w in np.unique(bits).tolist():
+        docs = np.flatnonzero((bits == w) & (n > 0))
+        step = max(1, (1 << 20) // w)
+        for k in range(0, len(docs), step):
+            some = docs[k : k + step]
+            rows = np.arange(n[some].sum()) + np.repeat(at[some] - (np.cumsum(n[some]) - n[some]), n[some])
+            where = np.repeat(np.arange(len(some)), n[some]) * w + (cell[rows] & np.uint64(w - 1)).astype(_I)
+            maps = np.packbits((np.bincount(where, minlength=len(some) * w) & 1).astype(np.uint8).reshape(len(some), w), axis=1)
+            for i, d in enumerate(some.tolist()):
+                out[d] = maps[i].tobytes()
     return out
 
 
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference, from two sketches; the longer is folded to the shorter's size."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch.column(1)):
             h, d = sets(b)
             at = bounds(d, b.n)
-            sk = sketches(h, d, b.n)
-            sk = pa.Array.from_buffers(pa.binary(), b.n, [None, pa.py_buffer(np.arange(0, sk.size + 1, SKETCH // 8, dtype=np.int32)[: b.n + 1].tobytes()), pa.py_buffer(sk.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0)[b.rows], pa.array(np.diff(at)), pa.array(digests(h, at)), sk], ["doc_id", "n_shingles", "point", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[b.rows], pa.array(np.diff(at)), pa.array(digests(h, at)), pa.array(sketches(h, at), pa.binary())], ["doc_id", "n_shingles", "point", "sketch"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,9 +361,8 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (3, 5))
-            apart = np.bitwise_count(x ^ y).sum(1).astype(_I)
-            keep = pa.array((DEN + NUM) * apart <= (DEN - NUM) * n)
+            bound = np.array([apart(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)])
+            keep = pa.array((DEN + NUM) * bound <= (DEN - NUM) * n)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 

@@ -24,8 +24,8 @@ from sedimenta.llm.tables import remainder
 
 #: Weights of the model (hash buckets).
 BUCKETS = 1 << 18
-#: Labelled documents from which the model is learned, at most, and bytes of a training text's window.
-TRAIN_ROWS, TRAIN_BYTES = 12_000, 24_000_000
+#: Labelled documents from which the model is learned, at most, their bytes, and the longest text among them.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 8_000, 10_000_000, 20_000
 #: Lengths of word beginnings used as features, in bytes.
 STARTS = (4, 5, 6)
 #: Bytes that belong to no word, and those that end a sentence.
@@ -67,7 +67,7 @@ def bags(b: Block) -> Bags:
     key = np.unique(key)
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:] - 1, [len(s) - 1]])
-    return Bags((key >> np.uint64(40)).astype(np.int64), (key & np.uint64((1 << 40) - 1)).astype(np.int64), d[first], s[first], e[last])
+    return Bags((key >> np.uint64(40)).astype(np.int32), (key & np.uint64((1 << 40) - 1)).astype(np.int32), d[first], s[first], e[last])
 
 
 @dataclass
@@ -138,8 +138,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
         return Model(np.zeros(BUCKETS), -30.0)
     keep = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * rows / n))
     sample = docs.select("doc_id", "text").where(keep("doc_id") & F.col("text").isNotNull()).join(known.where(keep("label_id")), F.col("doc_id") == F.col("label_id"))
-    # the longest texts of a sample are left out of learning (never of scoring) beyond its share of bytes
-    got = sample.where(F.octet_length("text") <= size // 500).orderBy("doc_id").limit(2 * rows).select("text", "toxic").toPandas()
+    # the longest texts are left out of learning, never of scoring
+    got = sample.where(F.octet_length("text") <= TRAIN_TEXT).orderBy("doc_id").limit(2 * rows).select("text", "toxic").toPandas()
     texts = [t.encode() for t in got["text"]]
     total = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0)
     use = int((total <= size).sum())
