@@ -1,10 +1,272 @@
-"""The registered queries over the driver's tables, with their SQL."""
+"""The registered queries over the driver's tables, with their SQL.
+
+Filing data is not among these tables, so each query applies an operator to an analogous relation:
+orders stand for filings, customers for companies, events for facts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sedimenta.functions import forms, periods, text
+from sedimenta.operators import facts, filings, fragments, updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("cik"), F.col("o_orderkey").alias("accn"), F.col("o_orderpriority").alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), "o_orderstatus", "o_totalprice"
+    )
+
+
+_ORDERS = "(select o_custkey cik, o_orderkey accn, o_orderpriority form, strftime(o_orderdate, '%Y-%m-%d') date, o_orderstatus, o_totalprice from orders)"
+
+
+@register(f"""select form, count(*) n_all, count(*) filter (date between '1996-01-01' and '1997-12-31') n_window,
+ count(*) filter (date between '1996-01-01' and '1997-12-31' and o_orderstatus = 'F') n_entries from {_ORDERS} group by form""")
+def form_summary(spark, sf_dir):
+    df = _orders(spark, sf_dir)
+    window = forms.in_dates(F.col("date"), "1996-01-01", "1997-12-31")
+    return filings.histogram(df, "form", window, window & forms.matches_form(F.col("o_orderstatus"), F.lit("f")))
+
+
+_FORMS = "(select p_type || case when p_size % 3 = 0 then '/A' when p_size % 3 = 1 then '' else '-B' || p_size end form from part)"
+
+
+@register(f"""with h as (select form, count(*) n from {_FORMS} group by form)
+ select a.form, sum(b.n)::bigint n_menu from h a join h b on b.form = a.form or (starts_with(b.form, a.form) and substr(b.form, length(a.form) + 1, 1) in ('/', ' ', '-')) group by a.form""")
+def form_menu_counts(spark, sf_dir):
+    size = F.col("p_size") % 3
+    form = F.concat("p_type", F.when(size == 0, "/A").when(size == 1, "").otherwise(F.concat(F.lit("-B"), F.col("p_size").cast("string"))))
+    return filings.menu_counts(table(spark, sf_dir, "part").select(form.alias("form")).groupBy("form").agg(F.count("*").alias("n")))
+
+
+@register(f"""select form, count(*) n_amended from {_FORMS} where regexp_matches(form, '/A[0-9]*$') group by form""")
+def amendment_filter(spark, sf_dir):
+    size = F.col("p_size") % 3
+    form = F.concat("p_type", F.when(size == 0, "/A").when(size == 1, "").otherwise(F.concat(F.lit("-B"), F.col("p_size").cast("string"))))
+    return table(spark, sf_dir, "part").select(form.alias("form")).where(forms.passes(F.col("form"), [], "only")).groupBy("form").agg(F.count("*").alias("n_amended"))
+
+
+@register(f"""select accn, date, form, row_number() over (order by date desc, accn desc) as "rank" from {_ORDERS} where o_orderstatus = 'O' qualify "rank" <= 100""")
+def filing_list_topn(spark, sf_dir):
+    df = _orders(spark, sf_dir).where("o_orderstatus = 'O'").select("accn", "date", "form")
+    return filings.ranked(df, [F.desc("date"), F.desc("accn")], 100)
+
+
+@register(f"""with u as (select accn, form, 0 src from {_ORDERS} union all select accn, form || '/A', 1 from {_ORDERS} where o_orderstatus <> 'F')
+ select accn, form, src from u qualify row_number() over (partition by accn order by src) = 1""")
+def dedupe_union(spark, sf_dir):
+    df = _orders(spark, sf_dir)
+    main = df.select("accn", "form", F.lit(0).alias("src"))
+    shard = df.where("o_orderstatus <> 'F'").select("accn", F.concat("form", F.lit("/A")).alias("form"), F.lit(1).alias("src"))
+    return filings.first_by_key(main.unionByName(shard), "accn", [F.col("src")])
+
+
+@register(f"""with s as (select *, sum((form = '1-URGENT')::int) over (partition by cik order by date desc, accn desc rows between unbounded preceding and 1 preceding) b from {_ORDERS})
+ select cik, count(*) scanned, count(*) filter (form = '1-URGENT') returned from s where coalesce(b, 0) < 2 group by cik""")
+def scan_budget(spark, sf_dir):
+    df = filings.budgeted(_orders(spark, sf_dir), "cik", [F.desc("date"), F.desc("accn")], F.col("form") == "1-URGENT", 2)
+    return df.groupBy("cik").agg(F.count("*").alias("scanned"), F.count_if("returned").alias("returned"))
+
+
+@register("""with n as (select p_partkey, trim(regexp_replace(translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z]+', ' ', 'g')) t, p_name from part),
+ s as (select p_partkey, p_name, case when t = 'ring' then 900 when starts_with(t, 'ring ') then 800 when contains(' ' || t || ' ', ' ring ') then 600 when contains(t, 'ring') then 400 else 0 end score from n)
+ select p_partkey, p_name, score, row_number() over (order by score desc, strlen(p_name), p_name, p_partkey) as "rank" from s where score > 0 qualify "rank" <= 20""")
+def company_resolve(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_name", text.name_score(F.col("p_name"), "Ring").alias("score")).where("score > 0")
+    return filings.ranked(df, [F.desc("score"), F.octet_length("p_name"), F.col("p_name"), F.col("p_partkey")], 20)
+
+
+@register("""select c_custkey, lpad(c_custkey::varchar, 10, '0') cik from customer""")
+def cik_padding(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.pad_cik(F.concat(F.lit("CIK"), F.col("c_custkey").cast("string"))).alias("cik"))
+
+
+@register("""with e as (select user_id, event_type, strftime(ts, '%Y-%m-%d') d, event_id, value from events),
+ r as (select *, row_number() over w k, first_value(value) over w v, count(*) over (partition by user_id, event_type, d) n from e window w as (partition by user_id, event_type, d order by event_id desc))
+ select user_id, event_type, d as day, max(event_id) filter (k = 1) event_id, max(v) as value, max(n) - 1 folded, arg_min(value, k) filter (value <> v) prev, count(*) filter (value <> v) > 0 revised from r group by 1, 2, 3""")
+def restatement_pick(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", "value")
+    return facts.choose(e, ["user_id", "event_type", "day"], "value", [F.desc("event_id")])
+
+
+@register("""with e as (select user_id, event_type, max(ts) newest, case event_type when 'purchase' then 1 when 'signup' then 2 when 'click' then 3 else 4 end r from events group by 1, 2)
+ select user_id, event_type, r as tag_rank from e qualify row_number() over (partition by user_id order by strftime(newest, '%Y-%m-%d') desc, r, event_type) = 1""")
+def tag_fallback(spark, sf_dir):
+    rank = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "click", 3).otherwise(4)
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("newest"))
+    e = e.select("user_id", "event_type", F.date_format("newest", "yyyy-MM-dd").alias("newest"), rank.alias("tag_rank"))
+    return facts.best_tag(e.withColumn("_by", F.struct("tag_rank", "event_type")), "user_id", "newest", "_by").select("user_id", "event_type", "tag_rank")
+
+
+@register("""with d as (select date_diff('day', o_orderdate::date, l_shipdate::date) + 1 as days from orders join lineitem on o_orderkey = l_orderkey)
+ select coalesce(case when days <= 0 then null when days between 77 and 106 then 'Q' when days between 168 and 197 then 'H' when days between 259 and 289 then 'N9M' when days between 351 and 380 then 'FY' else 'X' end, 'none') as caliber, count(*) n from d group by 1""")
+def period_caliber(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    days = periods.inclusive_days(F.to_date("o_orderdate"), F.to_date("l_shipdate"))
+    joined = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy(F.coalesce(periods.caliber(days), F.lit("none")).alias("caliber")).agg(F.count("*").alias("n"))
+
+
+@register(f"""with o as (select *, max(date::date) over (partition by cik) newest from {_ORDERS})
+ select cik, form, accn, date, row_number() over (partition by cik, form order by date desc, accn desc) as "rank" from o where date_diff('day', date::date, newest) <= 1100 qualify "rank" <= 4""")
+def recent_window_topn(spark, sf_dir):
+    df = _orders(spark, sf_dir).select("cik", "form", "accn", "date")
+    return facts.recent(df, "cik", "form", "date", 1100, 4, [F.desc("accn")])
+
+
+@register(f"""select cik, count(*) n_rows, count(distinct substr(date, 6, 2)) n_months, count(distinct quarter(date::date)) >= 2 and count(*) >= 2 series_ok from {_ORDERS} group by cik""")
+def series_quality(spark, sf_dir):
+    quarters = F.count_distinct(F.quarter(F.to_date("date")))
+    return _orders(spark, sf_dir).groupBy("cik").agg(F.count("*").alias("n_rows"), F.count_distinct(F.substring("date", 6, 2)).alias("n_months"), ((quarters >= 2) & (F.count("*") >= 2)).alias("series_ok"))
+
+
+@register("""with s as (select l_suppkey, sum(cast(l_extendedprice as decimal(18,2)))::decimal(18,2) v from lineitem group by 1)
+ select l_suppkey, regexp_replace(format('{:,.1f}', round(v / 1000000, 1)::double), '\\.0$', '') millions from s""")
+def money_format(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("v"))
+    return s.select("l_suppkey", periods.millions(F.col("v")).alias("millions"))
+
+
+def _subscriptions(spark, sf_dir, first_run: bool):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cik"), (F.col("c_custkey") % 10 != 0).alias("enabled"))
+    subs = c.withColumns({"baseline": F.lit("1999-01-01"), "first_run_done": F.lit(not first_run)})
+    orders = _orders(spark, sf_dir)
+    return orders.select("cik", "accn", "date"), subs, orders.where("accn % 7 = 0").select("cik", "accn")
+
+
+def _plan_sql(first: bool) -> str:
+    return f"""with r as (select cik, accn, date from {_ORDERS} join customer on c_custkey = cik where c_custkey % 10 <> 0 and accn % 7 <> 0 {"" if first else "and date >= '1999-01-01'"}),
+ w as (select *, row_number() over (partition by cik order by date desc, accn desc) pos, count(*) over (partition by cik) n from r)
+ select cik, accn, date, pos, greatest(n - 8, 0) truncated from w where pos <= 8"""
+
+
+@register(_plan_sql(False))
+def plan_updates(spark, sf_dir):
+    return updates.plan(*_subscriptions(spark, sf_dir, False))
+
+
+@register(_plan_sql(True))
+def plan_first_run(spark, sf_dir):
+    return updates.plan(*_subscriptions(spark, sf_dir, True))
+
+
+@register(f"""with b as ({_plan_sql(False)}) select *, row_number() over (partition by cik order by pos) as "next" from b where accn % 3 <> 0""")
+def queue_resume(spark, sf_dir):
+    batch = updates.plan(*_subscriptions(spark, sf_dir, False))
+    return updates.resume(batch, batch.where("accn % 3 = 0").select("cik", "accn"))
+
+
+@register(f"""with b as ({_plan_sql(False)}), n as (select cik, max(date) newest, max(truncated) cut from b group by cik)
+ select c_custkey cik, c_custkey % 10 <> 0 enabled, case when coalesce(cut, 1) = 0 then greatest('1999-01-01', newest) else '1999-01-01' end baseline, true first_run_done from customer left join n on cik = c_custkey""")
+def commit_baselines(spark, sf_dir):
+    rows, subs, seen = _subscriptions(spark, sf_dir, False)
+    return updates.commit(subs, updates.plan(rows, subs, seen))
+
+
+@register("""select l_orderkey, l_partkey, l_quantity, prio from (select *, case when l_returnflag = 'R' then 0 when l_linenumber = 1 then 1 else 2 end prio from lineitem)
+ qualify row_number() over (partition by l_orderkey order by prio, l_quantity desc, l_partkey, l_linenumber) = 1""")
+def document_pick(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag").withColumn("name", F.struct("l_partkey", "l_linenumber"))
+    got = filings.pick_document(li, "l_orderkey", "name", "l_quantity", F.col("l_returnflag") == "R", F.col("l_linenumber") == 1)
+    return got.select("l_orderkey", "l_partkey", "l_quantity", "prio")
+
+
+@register("""select coalesce(d.doc_id, l.doc_id) doc_id, d.doc_id is not null on_disk, l.doc_id is not null listed from documents d full join labels l on d.doc_id = l.doc_id where d.doc_id is null or l.doc_id is null""")
+def manifest_diff(spark, sf_dir):
+    d, m = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("on_disk")), table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("listed"))
+    both = d.join(m, "doc_id", "full_outer").select("doc_id", F.coalesce("on_disk", F.lit(False)).alias("on_disk"), F.coalesce("listed", F.lit(False)).alias("listed"))
+    return both.where("not (on_disk and listed)")
+
+
+@register("""with f as (select doc_id, sha256(text) h from documents) select a.doc_id, a.h as sha256, min(b.doc_id) first_id, count(*) n_paths from f a join f b using (h) group by 1, 2""")
+def content_relink(spark, sf_dir):
+    f = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    per = f.groupBy("sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_paths"))
+    return f.join(per, "sha256").select("doc_id", "sha256", "first_id", "n_paths")
+
+
+@register("""select o_custkey cik, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int row_pos, o_orderkey::varchar accn, case when o_orderstatus = 'P' then '' else o_orderpriority end form from orders""")
+def json_columns_zip(spark, sf_dir):
+    form = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cik")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", form.alias("form")))).alias("x"))
+    o = o.select("cik", F.transform("x", lambda r: r["o_orderkey"].cast("string")).alias("accn"), F.transform("x", lambda r: r["form"]).alias("form"))
+    return filings.zip_columns(o, ["cik"], ["accn", "form"], "accn")
+
+
+@register("""select t as token, count(*) n from (select unnest(regexp_extract_all(text, '[0-9][0-9,.]*')) t from documents) group by 1""")
+def number_multiset(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[0-9][0-9,.]*"), 0)).alias("token"))
+    return t.groupBy("token").agg(F.count("*").alias("n"))
+
+
+@register("""select source, count(*) n_files, sum(strlen(text))::bigint n_bytes from documents group by 1""")
+def storage_totals(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("text")).alias("n_bytes"))
+
+
+@register("""select page_id, len(regexp_extract_all(html, '<p[ >]')) n_p, len(regexp_extract_all(html, '<a ')) n_a, len(regexp_extract_all(html, '<script')) n_script, strlen(html) >= 200 long_enough from pages""")
+def html_audit(spark, sf_dir):
+    count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", count("<p[ >]").alias("n_p"), count("<a ").alias("n_a"), count("<script").alias("n_script"), (F.octet_length("html") >= 200).alias("long_enough"))
+
+
+@register()
+def html_clean(spark, sf_dir):
+    from sedimenta.functions.html import clean
+
+    return clean(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+@register()
+def html_links(spark, sf_dir):
+    from sedimenta.functions.html import links
+
+    return links(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@register()
+def table_split(spark, sf_dir):
+    from sedimenta.functions.html import split_tables
+
+    cell = F.concat(F.lit("<td>"), F.col("l_extendedprice").cast("string"), F.lit("</td>"))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(cell)), "").alias("row"))
+    return split_tables(li.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("<table><tr><th>Price</th>"), "row", F.lit("</tr></table>")).alias("html")))
+
+
+@register()
+def protect_tokens(spark, sf_dir):
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return d.select("conv_id", "turn", fragments.tokens(F.col("text")).alias("tokens"), fragments.protect(F.col("text")).alias("protected"))
+
+
+@register()
+def batch_pack(spark, sf_dir):
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("n_bytes"))
+    return fragments.batches(d, "conv_id", "turn", "n_bytes")
+
+
+@register("""with f as (select distinct sha256(text) k, strlen(text) b from conversations) select count(*) n_fragments, sum(b)::bigint input_bytes, count(*) filter (b > 1200) n_oversize from f""")
+def translate_estimate(spark, sf_dir):
+    f = table(spark, sf_dir, "conversations").select(F.sha2("text", 256).alias("k"), F.octet_length("text").alias("b")).distinct()
+    return f.agg(F.count("*").alias("n_fragments"), F.sum("b").alias("input_bytes"), F.count_if(F.col("b") > 1200).alias("n_oversize"))
