@@ -7,8 +7,9 @@ the bits of these masks; the counts are corrected for the filters' false positiv
 largest share decides (ties: the first language by code point).
 
 Languages are learned from all training rows: an n-gram belongs to a language that holds at least
-a fixed share of its (size-weighted) occurrences and a few documents.  Texts that are null or hold no letter are `und`, score 0.  A text with
-letters but without any known n-gram gets the most frequent language, score 0.
+a fixed share of its (size-weighted) occurrences and a few documents.  Texts that are null or hold
+no letter are `und`, score 0.  A text with letters but without any known n-gram gets the most
+frequent language, score 0; without any learned language, `und`.  Repeated rows are each returned.
 """
 
 from __future__ import annotations
@@ -130,7 +131,8 @@ def build(texts: list[str], langs: list[str], *, min_docs: int = MIN_DOCS, share
 def _distinct(h: np.ndarray, d: np.ndarray) -> np.ndarray:
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     return h[new]
 
 

@@ -9,7 +9,7 @@ that are kept apart.  If none is, a new bin opens.
 
 Rows are dealt by a hash of the id into blocks of bounded size, each packed by itself; copies
 spread evenly, so a large cluster loads all blocks alike.  Null and empty texts have no token and
-get no bin (null).  Repeated rows are packed each, in different bins.
+get no bin (null).  Repeated rows, and rows without an id, are packed each, copies in different bins.
 """
 
 from __future__ import annotations
@@ -68,7 +68,8 @@ def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, max_sources: in
     Tokens are words; the duplicate cluster is a digest of the words in lower case.
     """
     words = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")))
-    rows = docs.select("doc_id", "source", n_words().alias("n_tokens"), F.xxhash64(words).alias("cluster"))
+    # ids travel as text: pandas would turn whole numbers beside a null into floats
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", n_words().alias("n_tokens"), F.xxhash64(words).alias("cluster"))
     total = rows.agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).first()
     blocks = max(1, math.ceil((total["t"] or 0) / BLOCK_TOKENS), math.ceil(total["n"] / BLOCK_ROWS))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -102,4 +103,5 @@ def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, max_sources: in
         return got
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(run, f"doc_id {id_type}, piece long, start long, n_tokens long, bin_id long, offset long")
+    packed = dealt.groupBy("block").applyInPandas(run, "doc_id string, piece long, start long, n_tokens long, bin_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast(id_type))

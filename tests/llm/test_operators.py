@@ -205,6 +205,28 @@ def test_held_out(spark, name):
         assert sum((r["toxic"] > 0) == (r["predicted"] > 0) for r in got) > 0.95 * len(got)
 
 
+def test_null_ids(spark):
+    """Null ids, ids beyond double precision, repeated rows, long texts, texts without letters, and clashing columns."""
+    from sedimenta.llm import jaccard_join, language_id, mixing, packing, suffix_dedup, toxicity
+
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    a, long, big = words(60), words(30_000), 2**60 + 1
+    rows = [(1, a, "en", "s", "x"), (2, a, "en", "s", "x"), (2, a, "en", "s", "x"), (None, words(30), None, None, None), (5, None, None, None, None), (6, "", "de", "s", "x"), (7, long, "de", "t", "x"), (9, "!!!\n", "fr", "t", "x"), (big, words(40), "fr", "t", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    ids = lambda df: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in df.collect())
+    every = sorted(-1 if r[0] is None else r[0] for r in rows)
+    model = toxicity.learn(docs, labels)
+    assert ids(toxicity.score(docs, model)) == ids(toxicity.keep_clean(docs, model)) == every
+    assert ids(jaccard_join.similar(docs)) == ids(suffix_dedup.removed(docs)) == ids(mixing.plan(docs)) == every
+    assert ids(jaccard_join.keep_one(docs)) == sorted({*every} - {2})
+    assert sorted(set(ids(packing.pack_documents(docs)))) == sorted(set(every))
+    assert {-1, big} <= set(ids(mixing.mixed(docs))) and mixing.mixed(docs).columns == docs.columns
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs)).collect()}
+    assert got[5] == got[6] == got[9] == "und" and len(got) == len(set(every))
+
+
 def test_empty(spark, docs):
     from sedimenta.llm import jaccard_join, mixing, packing, suffix_dedup
 
