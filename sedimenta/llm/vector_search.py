@@ -7,6 +7,10 @@ queries are answered exactly, and visits widen until their neighbours are found
 recall.  Largest inner products become smallest distances by one more coordinate that lifts all
 rows to the same norm.
 
+Neighbouring leaves form regions, each compared by one task, which merges a query's leaves.  The
+queue's first leaves are compared first; the last score that a query needs of them is its floor,
+and of the leaves visited later only rows that reach the floor are returned.
+
 Equal vectors: neighbours need the smallest ids of each distinct vector only, one more than the
 rows asked for, so a vector that a third of all rows share does not fill a leaf; equal query
 vectors are searched once.  Vectors that are null, zero, or hold null or non-finite components take
@@ -31,8 +35,10 @@ from sedimenta.llm.tables import written
 
 #: Rows on which the tree is fitted, at most; branches of a node; rows of a leaf, about.
 SAMPLE, BRANCHES, LEAF_ROWS = 16_000, 8, 192
-#: Rows of a leaf that one task compares at once.
+#: Rows of a region, about: neighbouring leaves that one task compares at once; larger leaves are split.
 BLOCK_ROWS = 4096
+#: Leaves of the queue that are compared before the others, for a floor.
+FIRST_LEAVES = 8
 #: Calibration queries and the recall at which widening stops.
 CALIBRATION, RECALL = 96, 0.97
 
@@ -120,19 +126,21 @@ def _lift(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))[:, None]], 1)
 
 
-def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None, visited: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k largest inner products of each query (row, id, score), ties to smaller ids.
 
-    Products of a matrix routine choose; each score is then summed row by row, so equal vectors
-    have equal scores.
+    visited masks the rows that a query may return; rows below its floor are left out.  Products of
+    a matrix routine choose; each score is then summed row by row, so equal vectors have equal
+    scores.
     """
     rough = q @ x.T
-    rows, cols = [], []
+    slack = 1e-9 * (1 + np.abs(rough).max())
+    if visited is not None:
+        rough = np.where(visited, rough, -np.inf)
+    cut = np.full(len(q), -np.inf) if floor is None else floor - slack
     if x.shape[0] > k:
-        cut = np.partition(rough, -k, axis=1)[:, -k] - 1e-9 * (1 + np.abs(rough).max())
-        rows, cols = np.nonzero(rough >= cut[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones_like(rough, bool))
+        cut = np.maximum(cut, np.partition(rough, -k, axis=1)[:, -k] - slack)
+    rows, cols = np.nonzero((rough >= cut[:, None]) & (rough > -np.inf))
     score = (q[rows] * x[cols]).sum(1)
     order = np.lexsort((ids[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
@@ -141,6 +149,24 @@ def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndar
     return rows[keep], ids[cols[keep]], score[keep]
 
 
+def regions(held: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
+    """First region and number of regions of each leaf; held: rows of each leaf.
+
+    Leaves are numbered depth first, so those in a row share a subtree: they fill a region up to
+    size rows.  A larger leaf has regions of its own.
+    """
+    out, at, room = {}, -1, 0
+    for leaf, n in sorted(held.items()):
+        if n > size:
+            out[leaf] = (at + 1, math.ceil(n / size))
+            at, room = at + out[leaf][1], 0
+        else:
+            if n > room:
+                at, room = at + 1, size
+            out[leaf], room = (at, 1), room - n
+    return out
+
+
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id and vec (array of doubles) of the rows that take part, and a digest of equal vectors."""
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec"))
@@ -180,38 +206,58 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, sample: int = SA
 
     index = written(candidates.select("vec_id", "vec").mapInArrow(place, "leaf long, vec_id long, vec array<double>"), "index")
     visits = _calibrate(heads, index, tree, top, k, recall, draw)
-    held = {r["leaf"]: math.ceil(r["count"] / BLOCK_ROWS) for r in index.groupBy("leaf").count().collect()}  # a row for each leaf
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = _lift(_matrix(batch.column(1)), 0.0) if batch.num_rows else np.zeros((0, 1))
-            at, leaf, block = [], [], []
-            for i in range(len(q)):
-                for x in tree_.value.best_first(q[i], visits):
-                    for b in range(held.get(x, 0)):
-                        at.append(i)
-                        leaf.append(x)
-                        block.append(b)
-            part = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(block, pa.int64()), part.column(0), part.column(1)], ["leaf", "block", "head", "qvec"])
+    held = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # a row for each leaf
+    place_of = regions(held, BLOCK_ROWS)
+    where = spark.createDataFrame([(leaf, *r) for leaf, r in place_of.items()], "leaf long, start long, n long")
+    dealt = index.join(where, "leaf").select((F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).alias("region"), "leaf", "vec_id", "vec")
+
+    def walk(first: int, last: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                q = _lift(_matrix(batch.column(1)), 0.0) if batch.num_rows else np.zeros((0, 1))
+                at, region, leaves = [], [], []
+                for i in range(len(q)):
+                    met: dict[int, list[int]] = {}
+                    for leaf in tree_.value.best_first(q[i], last)[first:]:
+                        start, n = place_of.get(leaf, (0, 0))
+                        for r in range(start, start + n):
+                            met.setdefault(r, []).append(leaf)
+                    at += [i] * len(met)
+                    region += met.keys()
+                    leaves += met.values()
+                part = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(region, pa.int64()), part.column(0), part.column(1), part.column(2), pa.array(leaves, pa.list_(pa.int64()))], ["region", "head", "qvec", "floor", "leaves"])
+
+        return run
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"head": [], "vec_id": [], "score": []})
         right = right.sort_values("vec_id")
-        x, ids, q, heads_ = np.stack(right["vec"]), right["vec_id"].to_numpy(), np.stack(left["qvec"]), left["head"].to_numpy()
+        x, ids = np.stack(right["vec"]), right["vec_id"].to_numpy()
+        q, heads_, floor = np.stack(left["qvec"]), left["head"].to_numpy(), left["floor"].to_numpy()
+        names, leaf = np.unique(right["leaf"].to_numpy(), return_inverse=True)
         parts = []
         for s in range(0, len(q), 256):
-            r, i, v = best(q[s : s + 256], x, ids, k + 1)
+            visited = np.zeros((len(q[s : s + 256]), len(names)), bool)
+            for i, leaves in enumerate(left["leaves"].iloc[s : s + 256]):
+                visited[i] = np.isin(names, leaves)
+            r, i, v = best(q[s : s + 256], x, ids, k + 1, floor[s : s + 256], visited[:, leaf])
             parts.append(pd.DataFrame({"head": heads_[s + r], "vec_id": i, "score": v}))
         return pd.concat(parts)
 
-    blocks = spark.createDataFrame(sorted(held.items()), "leaf long, n long")
-    dealt = index.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n"))).drop("n")
-    asked = heads.select("head", "qvec").mapInArrow(walk, "leaf long, block long, head long, qvec array<double>")
-    found = asked.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block")).applyInPandas(compare, "head long, vec_id long, score double")
+    def visit(asked: DataFrame, first: int, last: int) -> DataFrame:
+        asked = asked.select("head", "qvec", "floor").mapInArrow(walk(first, last), "region long, head long, qvec array<double>, floor double, leaves array<long>")
+        return asked.groupBy("region").cogroup(dealt.groupBy("region")).applyInPandas(compare, "head long, vec_id long, score double")
+
     by_head = Window.partitionBy("head").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("place", F.row_number().over(by_head)).where(F.col("place") <= k + 1).drop("place")
+    ranked = lambda df: df.withColumn("place", F.row_number().over(by_head)).where(F.col("place") <= k + 1)
+    found = written(ranked(visit(heads.withColumn("floor", F.lit(float("-inf"))), 0, min(FIRST_LEAVES, visits))), "nearest")
+    if visits > FIRST_LEAVES:
+        floors = found.where(F.col("place") == k + 1).select("head", F.col("score").alias("floor"))
+        asked = heads.join(floors, "head", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        found = ranked(found.drop("place").union(visit(asked, FIRST_LEAVES, visits)))
+    found = found.drop("place")
     members = queries.select(F.col("vec_id").alias("query_id"), "digest").join(heads.select("head", F.col("digest").alias("head_digest")), F.col("digest") == F.col("head_digest")).select("query_id", "head")
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = members.join(found, "head").where(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)

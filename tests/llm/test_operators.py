@@ -166,7 +166,15 @@ def test_pack(docs, texts):
         assert len({key[r["doc_id"]] for r in rows}) == len(rows) and len({r["doc_id"] % 3 for r in rows}) <= 2
 
 
-def test_search(spark):
+def test_regions():
+    from sedimenta.llm.vector_search import regions
+
+    got = regions({0: 3, 1: 4, 2: 25, 3: 1, 4: 9, 5: 2}, 10)
+    assert got == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 4: (4, 1), 5: (5, 1)}
+
+
+@pytest.mark.parametrize("leaf_rows", [192, 12])
+def test_search(spark, leaf_rows):
     from sedimenta.llm.vector_search import search
 
     rng = np.random.default_rng(4)
@@ -174,7 +182,7 @@ def test_search(spark):
     x[50:170] = x[7]
     rows = [(k, [float(v) for v in x[k]]) for k in range(400)] + [(400, None), (420, [0.0] * 8), (440, [float("nan")] * 8), (460, [None] * 8)]
     got: dict = {}
-    for r in search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0).orderBy("query_id", "rank").collect():
+    for r in search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0, leaf_rows=leaf_rows).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert set(got) == set(range(0, 400, 20))
     hits = 0
