@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions import forms, periods, text
-from sedimenta.operators import facts, filings, fragments, updates
+from sedimenta.operators import facts, filings, fragments, library, updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -270,3 +270,44 @@ def batch_pack(spark, sf_dir):
 def translate_estimate(spark, sf_dir):
     f = table(spark, sf_dir, "conversations").select(F.sha2("text", 256).alias("k"), F.octet_length("text").alias("b")).distinct()
     return f.agg(F.count("*").alias("n_fragments"), F.sum("b").alias("input_bytes"), F.count_if(F.col("b") > 1200).alias("n_oversize"))
+
+
+@register("""with a as (select doc_id, sha256(text) listed from documents), b as (select doc_id, sha256(case when doc_id % 5 = 0 then lower(text) else text end) found from documents where doc_id % 7 <> 0)
+ select coalesce(a.doc_id, b.doc_id) doc_id, listed, found from a full join b on a.doc_id = b.doc_id where listed is distinct from found""")
+def asset_mismatch(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = d.where("doc_id % 7 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.lower("text")).otherwise(F.col("text")), 256).alias("sha256"))
+    return library.mismatched(d.select("doc_id", F.sha2("text", 256).alias("sha256")), found, "doc_id", "sha256")
+
+
+@register("""select o_orderkey, case (exists (from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R'))::int + (exists (from lineitem where l_orderkey = o_orderkey and l_returnflag = 'A'))::int
+ when 2 then 'present' when 1 then 'partial' else 'missing' end status from orders""")
+def library_status(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    kept = lambda flag: li.where(F.col("l_returnflag") == flag).select("o_orderkey").distinct()
+    return library.status(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", kept("R"), kept("A"))
+
+
+@register("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, lag(l_suppkey) over w is distinct from l_suppkey heading from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)""")
+def company_headings(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return library.headings(li, "l_orderkey", "l_suppkey", [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")])
+
+
+@register(f"""select cik, accn, date from {_ORDERS} qualify date = max(date) over (partition by cik)""")
+def closing_list(spark, sf_dir):
+    return library.closing(_orders(spark, sf_dir).select("cik", "accn", "date"), "cik", "date")
+
+
+@register("""select c_custkey cik, case when c_custkey % 3 = 0 then upper(c_name) else c_name end as name, coalesce(case when c_custkey % 4 <> 0 and c_custkey % 3 = 0 then 'EDITED' end, c_mktsegment) note from customer""")
+def subscription_upsert(spark, sf_dir):
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cik"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("note"))
+    new = old.where("cik % 3 = 0").select("cik", F.upper("name").alias("name"), F.when(F.col("cik") % 4 != 0, "EDITED").alias("note"))
+    return library.upsert(old, new, "cik", ["name", "note"])
+
+
+@register("""with t as (select turn, unnest(regexp_extract_all(text, '[0-9][0-9,.]*')) as token from conversations)
+ select token, sum((turn % 2 = 0)::int)::bigint n_a, sum((turn % 2 = 1)::int)::bigint n_b from t group by 1 having sum((turn % 2 = 0)::int) <> sum((turn % 2 = 1)::int)""")
+def number_multiset_diff(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("turn", F.explode(F.regexp_extract_all("text", F.lit("[0-9][0-9,.]*"), 0)).alias("token"))
+    return library.multiset_diff(t.where("turn % 2 = 0"), t.where("turn % 2 = 1"), "token")
