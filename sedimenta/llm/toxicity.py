@@ -1,9 +1,13 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  Each sentence gets a probability from a logistic model of its
-hashed words and word beginnings; a document's probability is the noisy-or of its sentences, the
-chance that at least one is toxic.  Only documents carry labels: the gradient of the noisy-or
-likelihood reaches the sentences that explain a label, so the model also locates them.
+hashed words and word beginnings; in learning, a document's probability is the noisy-or of its
+sentences, the chance that at least one is toxic.  Only documents carry labels: the gradient of the
+noisy-or likelihood reaches the sentences that explain a label, so the model also locates them.
+
+A plain noisy-or grows with length, as chance hits of clean sentences add up.  A score is therefore
+the noisy-or of the run of sentences that stands out most above a background rate, less what the
+most conspicuous run of clean text gains by length; both are learned from folds held out in turn.
 
 Texts that are null or have no word have no sentence and score 0.  Repeated rows score alike.
 Without labels of both kinds the model scores every text 0.
@@ -24,8 +28,10 @@ from sedimenta.llm.tables import remainder
 
 #: Weights of the model (hash buckets).
 BUCKETS = 1 << 18
-#: Labelled documents from which the model is learned, at most, their bytes, and the longest text among them.
-TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 8_000, 10_000_000, 20_000
+#: Labelled documents from which the model is learned, at most, their bytes, and characters taken of one text.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 8_000, 10_000_000, 1_000_000
+#: Folds that calibrate the background, and what the score of clean text of any length should stay below.
+FOLDS, CLEAN = 3, 0.2
 #: Lengths of word beginnings used as features, in bytes.
 STARTS = (4, 5, 6)
 #: Bytes that belong to no word, and those that end a sentence.
@@ -74,6 +80,9 @@ def bags(b: Block) -> Bags:
 class Model:
     weights: np.ndarray
     bias: float
+    rate: float = 0.0  # background of a sentence
+    slope: float = 0.0  # what clean text gains for each e-fold of length
+    usual: float = 1.0  # sentences up to which nothing is gained
 
     def sentences(self, x: Bags) -> np.ndarray:
         z = self.bias + np.bincount(x.sentence, self.weights[x.cell], len(x.doc))
@@ -81,7 +90,23 @@ class Model:
 
     def documents(self, x: Bags, n: int, p: np.ndarray | None = None) -> np.ndarray:
         p = self.sentences(x) if p is None else p
-        return -np.expm1(np.bincount(x.doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
+        h = -np.log1p(-np.minimum(p, 1 - 1e-12))
+        if not self.rate:
+            return -np.expm1(-np.bincount(x.doc, h, n))
+        gain = self.slope * np.log(np.maximum(np.bincount(x.doc, minlength=n) / self.usual, 1))
+        return -np.expm1(-np.maximum(peaks(h - self.rate, x.doc, n) - gain, 0))
+
+
+def peaks(excess: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """The largest sum of consecutive sentences of each document, 0 at least."""
+    out = np.zeros(n)
+    if len(doc):
+        c = np.cumsum(excess)
+        before = np.concatenate([[0.0], c[:-1]])
+        # documents are put one below the other, so that the running minimum starts anew with each
+        shift = doc * (np.abs(excess).sum() + 1)
+        np.maximum.at(out, doc, c - shift - np.minimum.accumulate(before - shift))
+    return out
 
 
 def train(texts: list[bytes], y: np.ndarray, *, rounds: int = 15, rate: float = 0.3, shrink: float = 0.02, start: float = -8.0, seed: int = 3, min_docs: int = 6, boost: float = 1.0) -> Model:
@@ -126,6 +151,43 @@ def train(texts: list[bytes], y: np.ndarray, *, rounds: int = 15, rate: float =
     return model
 
 
+def calibrated(texts: list[bytes], y: np.ndarray, *, folds: int = FOLDS, seed: int = 4) -> Model:
+    """The model of all texts, its background learned from texts that each fold's model has not seen.
+
+    The rate lies between those of clean and toxic texts, where a running sum tells them apart
+    soonest.  The slope keeps clean texts, joined to lengths up to all of them, below CLEAN.
+    """
+    model = train(texts, y)
+    hazard = np.log1p(np.exp(model.bias))
+    model.rate = 2 * float(hazard)
+    fold = np.random.default_rng(seed).permutation(len(texts)) % folds
+    parts: dict[bool, list[np.ndarray]] = {False: [], True: []}
+    for k in range(folds):
+        a, b = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if not len(b) or y[a].min(initial=1) == y[a].max(initial=0):
+            continue
+        part = train([texts[i] for i in a], y[a])
+        for toxic in (False, True):
+            column = pa.array([texts[i] for i in b if (y[i] > 0) == toxic], pa.large_binary()).cast(pa.large_string())
+            for x in map(bags, blocks(column, 1 << 19)):
+                h = -np.log1p(-np.minimum(part.sentences(x), 1 - 1e-12))
+                parts[toxic] += np.split(h, np.flatnonzero(np.diff(x.doc)) + 1) if len(h) else []
+    if not parts[False] or not parts[True]:
+        return model
+    clean, toxic = np.concatenate(parts[False]), np.concatenate(parts[True])
+    low, high = clean.mean(), toxic.mean()
+    if high > low > 0:
+        model.rate = max(model.rate, float((high - low) / np.log(high / low)))
+    model.usual = max(1.0, len(clean) / len(parts[False]))
+    length = 16 * model.usual
+    while length <= len(clean):
+        joined = (np.arange(len(clean)) // length).astype(np.int64)
+        most = peaks(clean - model.rate, joined, joined[-1] + 1).max()
+        model.slope = max(model.slope, float((most + np.log1p(-CLEAN)) / np.log(length / model.usual)))
+        length *= 2
+    return model
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model:
     """A model from labels(doc_id, toxic): a hash sample of about rows labelled documents and size bytes.
 
@@ -138,12 +200,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
         return Model(np.zeros(BUCKETS), -30.0)
     keep = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * rows / n))
     sample = docs.select("doc_id", "text").where(keep("doc_id") & F.col("text").isNotNull()).join(known.where(keep("label_id")), F.col("doc_id") == F.col("label_id"))
-    # the longest texts are left out of learning, never of scoring
-    got = sample.where(F.octet_length("text") <= TRAIN_TEXT).orderBy("doc_id").limit(2 * rows).select("text", "toxic").toPandas()
+    # of the longest texts a part is learned from; scoring always sees the whole
+    got = sample.orderBy("doc_id").limit(2 * rows).select(F.substring("text", 1, TRAIN_TEXT).alias("text"), "toxic").toPandas()
     texts = [t.encode() for t in got["text"]]
     total = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0)
     use = int((total <= size).sum())
-    return train(texts[:use], (got["toxic"].to_numpy()[:use] > 0).astype(float))
+    return calibrated(texts[:use], (got["toxic"].to_numpy()[:use] > 0).astype(float))
 
 
 def _scores(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +226,7 @@ def _scores(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, and the score and byte range of the worst sentence of each row."""
-    small = Model(model.weights.astype(np.float32), model.bias)
+    small = Model(model.weights.astype(np.float32), model.bias, model.rate, model.slope, model.usual)
     return docs.select("doc_id", "text").mapInArrow(
         lambda it: _scores(small, it), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, sentence_score double, sentence_start long, sentence_end long"
     )

@@ -240,3 +240,36 @@ def test_empty(spark, docs):
 
     none = docs.limit(0)
     assert jaccard_join.similar(none).count() == suffix_dedup.removed(none).count() == mixing.plan(none).count() == packing.pack_documents(none).count() == 0
+
+
+def test_long_clean_texts_stay_clean():
+    """Held-out clean texts, joined to 100 KB and more, score as clean; joined toxic texts, and a peak's run, don't get lost."""
+    import zlib
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sedimenta.llm import toxicity
+    from sedimenta.llm.blocks import blocks
+
+    toxic = {r["doc_id"]: r["toxic"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist() if r["toxic"] is not None}
+    rows = [r for r in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pylist() if r["doc_id"] in toxic and r["text"]]
+    held = [zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows]
+    known = [r for r, h in zip(rows, held, strict=True) if not h]
+    model = toxicity.calibrated([r["text"].encode() for r in known], np.array([toxic[r["doc_id"]] > 0 for r in known], float))
+
+    def scores(flag, size):
+        out, part, n = [], [], 0
+        for r, h in zip(rows, held, strict=True):
+            if h and (toxic[r["doc_id"]] > 0) == flag:
+                part.append(r["text"])
+                n += len(r["text"].encode())
+                if n >= size:
+                    out.append("\n".join(part))
+                    part, n = [], 0
+        return np.concatenate([model.documents(toxicity.bags(b), b.n) for b in blocks(pa.array(out, pa.large_string()))])
+
+    for size in (100_000, 300_000, 1_000_000):
+        assert scores(False, size).max() < 0.3
+    assert scores(True, 100_000).min() > 0.3
+    assert toxicity.peaks(np.array([-1.0, 2, -1, 3, -9, 1, 1, -5]), np.array([0, 0, 0, 0, 0, 2, 2, 3]), 5).tolist() == [4, 0, 2, 0, 0]
