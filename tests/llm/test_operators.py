@@ -273,3 +273,16 @@ def test_long_clean_texts_stay_clean():
         assert scores(False, size).max() < 0.3
     assert scores(True, 100_000).min() > 0.3
     assert toxicity.peaks(np.array([-1.0, 2, -1, 3, -9, 1, 1, -5]), np.array([0, 0, 0, 0, 0, 2, 2, 3]), 5).tolist() == [4, 0, 2, 0, 0]
+
+
+def test_toxicity_sample_is_spread(spark, monkeypatch):
+    """Where bytes bound the sample, it is drawn from all ids, and long texts are in it."""
+    from sedimenta.llm import toxicity
+
+    got = []
+    monkeypatch.setattr(toxicity, "calibrated", lambda texts, y: got.extend(texts))
+    docs = spark.createDataFrame([(d, f"{d} " + "word " * (8000 if d % 10 == 0 else 100)) for d in range(400)], "doc_id long, text string")
+    toxicity.learn(docs, spark.createDataFrame([(d, d % 2) for d in range(400)], "doc_id long, toxic int"), size=700_000)
+    ids = [int(t.split()[0]) for t in got]
+    assert 300_000 < sum(map(len, got)) <= 700_000 and any(d % 10 == 0 for d in ids)
+    assert min(sum(d < 200 for d in ids), sum(d >= 200 for d in ids)) > 0.25 * len(ids)
