@@ -450,23 +450,25 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     same = every.mapInArrow(where(False), every.schema).select(*docs.columns)
     cut_of = spans.join(firsts.withColumnRenamed("text_id", "first_id"), F.col("text_id") == F.col("first_id"), "right").select(F.col("first_id").alias("cut_id"), "spans", "id")
     joined = every.mapInArrow(where(True), every.schema).join(cut_of, F.col("text_id") == F.col("cut_id"))
-    copy = (F.octet_length("text") >= LENGTH) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) != F.col("id"))
+    # a null text is no copy
+    copy = F.coalesce((F.octet_length("text") >= LENGTH) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) != F.col("id")), F.lit(False))
     names = docs.columns
     column = names.index("text")
     joined = joined.where(~copy).select(*docs.columns, F.col("spans").alias("cut_spans"))
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, keeps = [], []
             for text, spans_ in zip(batch.column(column).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 raw = np.frombuffer((text or "").encode(), np.uint8)
                 keep = np.ones(len(raw), bool)
                 for s in spans_ or ():
                     keep[s["a"] : s["z"]] = False
-                out.append(raw[keep].tobytes().decode(errors="ignore"))
+                out.append(None if text is None else raw[keep].tobytes().decode(errors="ignore"))
+                keeps.append(not text or bool(out[-1]))
             cols = list(batch.columns[: len(names)])
             cols[column] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array([bool(x) for x in out], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keeps, pa.bool_()))
 
     out = same.union(joined.mapInArrow(shorten, docs.schema))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -286,3 +286,13 @@ def test_toxicity_sample_is_spread(spark, monkeypatch):
     ids = [int(t.split()[0]) for t in got]
     assert 300_000 < sum(map(len, got)) <= 700_000 and any(d % 10 == 0 for d in ids)
     assert min(sum(d < 200 for d in ids), sum(d >= 200 for d in ids)) > 0.25 * len(ids)
+
+
+def test_empty_texts_stay(spark, docs, texts, monkeypatch):
+    """Null and empty texts stay, also where the bitmap holds their place by chance."""
+    from sedimenta.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "_bitmap", lambda points, kept=suffix_dedup._bitmap: np.full_like(kept(points), -1))
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(docs).collect()}
+    assert all(got[d] == t for d, t in texts if not t)
+    assert len(got) < len(texts)
