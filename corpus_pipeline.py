@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences.
 
 Each stage calls one operator of sedimenta.llm, works on all that its predecessor kept, and
-returns the columns of documents; the last returns the packing.  Between stages the documents are
+returns the columns of documents, from mixing on with the training position; the last returns the packing.  Between stages the documents are
 a Parquet table in the shared folder, so a lost executor repeats tasks of one stage only.
 """
 
@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sedimenta.llm import jaccard_join, mixing, packing, suffix_dedup, toxicity
 from sedimenta.llm.tables import read, written
 
+#: The column in which mixing hands positions to packing.
+POSITION = "training_position"
+
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
@@ -29,13 +32,13 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
-    return mixing.mixed(docs)
+    """Documents as often as the mix takes them, in training order, each copy with its position."""
+    return mixing.mixed(docs, place=POSITION)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences: the pieces of every document with their bins."""
-    return packing.pack_documents(docs)
+    """Sequences: the pieces of every document with their bins, in training order by blocks."""
+    return packing.pack_documents(docs, place=POSITION)
 
 
 STAGES = [("toxicity", clean), ("jaccard_join", distinct), ("suffix_dedup", unrepeated), ("mixing", mixed), ("packing", packed)]

@@ -105,12 +105,13 @@ def position(copy: int | Column) -> Column:
     return p["t"] + 2 * need / (p["w"] + F.sqrt(F.greatest(p["w"] * p["w"] + 2 * p["slope"] * need, F.lit(0.0))))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, *, place: str | None = None, **options) -> DataFrame:
     """The mix itself: rows of docs with their columns, repeated as often as taken, range-sorted by position.
 
+    place names a further column that holds each copy's position, as tables do not keep an order.
     Rows that repeat an id, or have none, get the first of their plans.
     """
     p = plan(docs, **options).where("taken > 0").withColumn("copies", F.col("passes") + F.col("extra"))
     copies = p.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).withColumn("mix_at", position(F.col("copy")))
     copies = copies.groupBy(F.col("doc_id").alias("mix_id"), F.col("copy").alias("mix_copy")).agg(F.min("mix_at").alias("mix_at"))
-    return docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mix_id"))).orderBy("mix_at", docs["doc_id"]).select(*(docs[c] for c in docs.columns))
+    return docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mix_id"))).orderBy("mix_at", docs["doc_id"]).select(*(docs[c] for c in docs.columns), *([F.col("mix_at").alias(place)] if place else []))

@@ -8,7 +8,8 @@ compatible: no second document of a cluster, at most ``max_sources`` sources, an
 that are kept apart.  If none is, a new bin opens.
 
 Rows are dealt by a hash of the id into blocks of bounded size, each packed by itself; copies
-spread evenly, so a large cluster loads all blocks alike.  Null and empty texts have no token and
+spread evenly, so a large cluster loads all blocks alike.  Where a column holds training positions,
+blocks are ranges of it instead, so that bin ids follow training order from block to block.  Null and empty texts have no token and
 get no bin (null).  Repeated rows, and rows without an id, are packed each, copies in different bins.
 """
 
@@ -19,6 +20,7 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,14 +64,15 @@ def pack(sizes: Sequence[int], sources: Sequence[int], clusters: Sequence[int],
     return bins, at
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, max_sources: int = MAX_SOURCES, apart: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, max_sources: int = MAX_SOURCES, apart: Sequence[tuple[str, str]] = (), place: str | None = None) -> DataFrame:
     """doc_id, piece, start (first token), n_tokens, bin_id and offset (place in its bin) of every piece.
 
-    Tokens are words; the duplicate cluster is a digest of the words in lower case.
+    Tokens are words; the duplicate cluster is a digest of the words in lower case.  place names the
+    column of training positions, if there is one.
     """
     words = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")))
     # ids travel as text: pandas would turn whole numbers beside a null into floats
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", n_words().alias("n_tokens"), F.xxhash64(words).alias("cluster"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", n_words().alias("n_tokens"), F.xxhash64(words).alias("cluster"), (F.col(place).cast("double") if place else F.lit(None).cast("double")).alias("place"))
     total = rows.agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).first()
     blocks = max(1, math.ceil((total["t"] or 0) / BLOCK_TOKENS), math.ceil(total["n"] / BLOCK_ROWS))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -102,6 +105,15 @@ def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, max_sources: in
         got["bin_id"] += int(key[0]) << 32
         return got
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(blocks)))
+    block = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(blocks))
+    if place and blocks > 1:
+        ends = rows.agg(F.percentile_approx("place", [k / blocks for k in range(1, blocks)], 100 * blocks)).first()[0]
+        ends = np.array(ends or [], float)
+
+        def ranged(places: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(ends, places.fillna(-np.inf).to_numpy(), "left").astype(np.int64))
+
+        block = F.pandas_udf(ranged, "long")("place")
+    dealt = rows.withColumn("block", block).drop("place")
     packed = dealt.groupBy("block").applyInPandas(run, "doc_id string, piece long, start long, n_tokens long, bin_id long, offset long")
     return packed.withColumn("doc_id", F.col("doc_id").cast(id_type))

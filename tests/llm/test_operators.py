@@ -296,3 +296,27 @@ def test_empty_texts_stay(spark, docs, texts, monkeypatch):
     got = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(docs).collect()}
     assert all(got[d] == t for d, t in texts if not t)
     assert len(got) < len(texts)
+
+
+def test_bins_follow_training_position(spark, monkeypatch):
+    """Blocks are ranges of the mix's positions: bins of a later block hold later copies, and no piece is lost."""
+    from sedimenta.llm import mixing, packing
+
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(d, " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randint(1, 90))), "abc"[d % 3]) for d in range(300)], "doc_id long, text string, source string")
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 60)
+    mix = mixing.mixed(docs, place="at").cache()
+    at = {}
+    for r in mix.collect():
+        at.setdefault(r["doc_id"], []).append(r["at"])
+    got = packing.pack_documents(mix, place="at").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(d for d, x in at.items() for _ in x)
+    seen = {}
+    for r in got:
+        seen.setdefault(r["doc_id"], []).append(r["bin_id"] >> 32)
+    spans = {}
+    for d, x in at.items():
+        for a, b in zip(sorted(x), sorted(seen[d]), strict=True):
+            spans.setdefault(b, []).append(a)
+    line = sorted(spans)
+    assert len(line) > 4 and all(max(spans[a]) <= min(spans[b]) for a, b in zip(line, line[1:]))
