@@ -3,11 +3,12 @@
 One Bloom filter per language over the n-grams of its words, stored slice-wise: a slot holds a
 bitmask with one bit per language, so that a single lookup per hash function, and'ed together,
 returns all languages that contain an n-gram.  A document's n-grams are counted per language by
-the bits of these masks; the counts are corrected for the filters' false positives, and the
-largest share decides (ties: the first language by code point).
+the bits of these masks, an n-gram of several languages as a part for each; the counts are corrected
+for the filters' false positives, and the largest share decides (ties: the first language by code
+point).  A slot has as many 64-bit words as the languages need.
 
-Languages are learned from all training rows: an n-gram belongs to a language that holds at least
-a fixed share of its (size-weighted) occurrences and a few documents.  Texts that are null or hold
+Every language is learned, from a hash sample of its training rows and the beginnings of long texts:
+an n-gram belongs to each language that holds it in a few of these.  Texts that are null or hold
 no letter are `und`, score 0.  A text with letters but without any known n-gram gets the most
 frequent language, score 0; without any learned language, `und`.  Repeated rows are each returned.
 """
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from sedimenta.llm.blocks import LOWER, Block, blocks, mix
 from sedimenta.llm.tables import remainder
 
-#: Languages that a mask can hold.
-LANGUAGES = 64
-#: Documents per language that are learned from, at most (a sample by hash of the id), and their bytes.
-TRAIN_ROWS, TEXT_BYTES = 1500, 20_000
+#: Languages that a word of a mask holds.
+WORD_BITS = 64
+#: Documents per language that are learned from, about (a sample by hash of the id; fewer beyond 64 languages), and characters taken of each.
+TRAIN_ROWS, TEXT_CHARS = 1500, 20_000
 #: Slots of the filters and hash functions.
 SLOTS, HASHES = 1 << 21, 3
 #: n-gram lengths in bytes, the word's edges included.
@@ -67,7 +68,7 @@ def ngrams(b: Block) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray
+    slots: np.ndarray  # word, slot
     fill: np.ndarray  # false-positive rate of each language
     common: int  # the most frequent language
 
@@ -78,19 +79,21 @@ class Filters:
             yield ((h + np.uint64(k) * step) & np.uint64(SLOTS - 1)).astype(np.int64)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """The languages of each n-gram, as bits."""
+        """The languages of each n-gram, as bits of its words."""
         out = None
         for at in self.places(h):
-            out = self.slots[at] if out is None else out & self.slots[at]
+            out = self.slots[:, at] if out is None else out & self.slots[:, at]
         return out
 
     def decide(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         h, d = ngrams(b)
         m = self.masks(h)
         total = np.bincount(d, minlength=b.n)
+        part = 1 / np.maximum(np.bitwise_count(m).sum(0, dtype=np.int64), 1)
         votes = np.zeros((len(self.languages), b.n))
         for k in range(len(self.languages)):
-            hits = np.bincount(d[((m >> np.uint64(k)) & np.uint64(1)) != 0], minlength=b.n)
+            has = ((m[k // WORD_BITS] >> np.uint64(k % WORD_BITS)) & np.uint64(1)) != 0
+            hits = np.bincount(d[has], part[has], b.n)
             votes[k] = np.maximum(hits - self.fill[k] * total, 0) / (1 - self.fill[k])
         best, mass = votes.argmax(0), votes.sum(0)
         none = mass <= 0
@@ -98,33 +101,25 @@ class Filters:
         return best, np.where(none, 0.0, votes.max(0) / np.maximum(mass, 1e-12))
 
 
-def build(texts: list[str], langs: list[str], *, min_docs: int = MIN_DOCS, share: float = 0.6) -> Filters:
-    names = sorted(set(langs))[:LANGUAGES]
-    slots = np.zeros(SLOTS, np.uint64)
-    per: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for name in names:
-        own = [t for t, x in zip(texts, langs, strict=True) if x == name]
+def build(texts: list[str], langs: list[str], *, min_docs: int = MIN_DOCS) -> Filters:
+    names = sorted(set(langs))
+    slots = np.zeros((max(1, -(-len(names) // WORD_BITS)), SLOTS), np.uint64)
+    own: dict[str, list[str]] = {}
+    for t, x in zip(texts, langs, strict=True):
+        own.setdefault(x, []).append(t)
+    fill = np.zeros(len(names))
+    for k, name in enumerate(names):
         seen: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in blocks(pa.array(own, pa.large_string())):
+        for b in blocks(pa.array(own[name], pa.large_string())):
             h, d = ngrams(b)
             seen.append(np.unique(_distinct(h, d), return_counts=True))
-        all_h = np.concatenate([x[0] for x in seen]) if seen else np.zeros(0, np.uint64)
-        all_c = np.concatenate([x[1] for x in seen]) if seen else np.zeros(0, np.int64)
-        u, inv = np.unique(all_h, return_inverse=True)
-        per[name] = (u, np.bincount(inv, all_c, len(u)) / max(1, len(own)))
-        per[name] = tuple(x[per[name][1] * max(1, len(own)) >= min(min_docs, max(1, len(own) // 2))] for x in per[name])
-    every, inv = np.unique(np.concatenate([per[n][0] for n in names]), return_inverse=True) if names else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    mass, cut = np.bincount(inv, np.concatenate([per[n][1] for n in names]) if names else None, len(every)), 0
-    fill = np.zeros(len(names))
-    for k, name in enumerate(names):
-        u, w = per[name]
-        mine = u[w >= share * mass[inv[cut : cut + len(u)]]] if len(names) > 1 else u
-        cut += len(u)
-        bit = np.uint64(1 << k)
-        for at in Filters.places(mine):
-            np.bitwise_or.at(slots, at, bit)
-        fill[k] = float(np.mean((slots & bit) != 0)) ** HASHES
-    counts = [langs.count(n) for n in names]
+        u, inv = np.unique(np.concatenate([x[0] for x in seen]), return_inverse=True)
+        docs_with = np.bincount(inv, np.concatenate([x[1] for x in seen]), len(u))
+        word, bit = slots[k // WORD_BITS], np.uint64(1 << k % WORD_BITS)
+        for at in Filters.places(u[docs_with >= min(min_docs, max(1, len(own[name]) // 2))]):
+            np.bitwise_or.at(word, at, bit)
+        fill[k] = float(np.mean((word & bit) != 0)) ** HASHES
+    counts = [len(own[n]) for n in names]
     return Filters(names, slots, fill, int(np.argmax(counts)) if counts else 0)
 
 
@@ -139,13 +134,13 @@ def _distinct(h: np.ndarray, d: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Filters:
     """Filters from text and non-null lang of rows that are not held out."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder() != 2))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(WORD_BITS).collect()
     if not sizes:
-        return Filters([], np.zeros(SLOTS, np.uint64), np.zeros(0), 0)
+        return Filters([], np.zeros((1, SLOTS), np.uint64), np.zeros(0), 0)
     draw = F.lit(False)
     for r in sizes:
         draw = draw | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * rows / r["count"]))))
-    got = known.where(draw & (F.octet_length("text") <= TEXT_BYTES)).select("doc_id", "text", "lang").orderBy("doc_id").limit(2 * rows * len(sizes)).toPandas()
+    got = known.where(draw & (F.octet_length("text") <= TEXT_CHARS)).select("doc_id", "text", "lang").orderBy("doc_id").limit(2 * rows * len(sizes)).toPandas()
     f = build(list(got["text"]), list(got["lang"]))
     top = sizes[0]["lang"]
     f.common = f.languages.index(top) if top in f.languages else f.common
