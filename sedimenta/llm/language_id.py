@@ -134,13 +134,14 @@ def _distinct(h: np.ndarray, d: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Filters:
     """Filters from text and non-null lang of rows that are not held out."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder() != 2))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(WORD_BITS).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not sizes:
         return Filters([], np.zeros((1, SLOTS), np.uint64), np.zeros(0), 0)
+    rows = max(1, min(rows, rows * WORD_BITS // len(sizes)))
     draw = F.lit(False)
     for r in sizes:
         draw = draw | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * rows / r["count"]))))
-    got = known.where(draw & (F.octet_length("text") <= TEXT_CHARS)).select("doc_id", "text", "lang").orderBy("doc_id").limit(2 * rows * len(sizes)).toPandas()
+    got = known.where(draw).select("doc_id", F.substring("text", 1, TEXT_CHARS).alias("text"), "lang").orderBy("doc_id").limit(2 * rows * len(sizes)).toPandas()
     f = build(list(got["text"]), list(got["lang"]))
     top = sizes[0]["lang"]
     f.common = f.languages.index(top) if top in f.languages else f.common

@@ -320,3 +320,20 @@ def test_bins_follow_training_position(spark, monkeypatch):
             spans.setdefault(b, []).append(a)
     line = sorted(spans)
     assert len(line) > 4 and all(max(spans[a]) <= min(spans[b]) for a, b in zip(line, line[1:]))
+
+
+def test_masks_hold_all_languages_of_an_ngram(spark):
+    """Shared n-grams are in each language's filter, the 70th language and one of long texts only are learned."""
+    import pyarrow as pa
+
+    from sedimenta.llm import language_id
+    from sedimenta.llm.blocks import blocks
+
+    own = lambda k: f"{'abcdefgh'[k // 9]}{'ijklmnopq'[k % 9]}xz"
+    rows = [(100 * k + j, f"shared {own(k)} {own(k)} " * (1500 if k == 69 else 3), f"l{k:02}") for k in range(70) for j in range(8)]
+    f = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(f.languages) == 70 and len(rows[-1][1]) > 20_000
+    (b,) = blocks(pa.array(["shared"], pa.large_string()))
+    assert np.bitwise_count(f.masks(language_id.ngrams(b)[0])).sum(0).min() == 70
+    (b,) = blocks(pa.array([own(k) for k in range(70)], pa.large_string()))
+    assert [f.languages[k] for k in f.decide(b)[0]] == [f"l{k:02}" for k in range(70)]
