@@ -337,3 +337,16 @@ def test_masks_hold_all_languages_of_an_ngram(spark):
     assert np.bitwise_count(f.masks(language_id.ngrams(b)[0])).sum(0).min() == 70
     (b,) = blocks(pa.array([own(k) for k in range(70)], pa.large_string()))
     assert [f.languages[k] for k in f.decide(b)[0]] == [f"l{k:02}" for k in range(70)]
+
+
+def test_url_model_on_hosts_not_in_the_table(spark):
+    """The table holds no host of the given pages; unseen hosts and words are judged by what they share with it."""
+    from sedimenta.llm import url_filter
+
+    known = {u.split("://")[1].split("/")[0] for u, _ in url_filter.labelled()}
+    hosts = [r["host"] for r in url_filter.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")).select("host").distinct().collect()]
+    assert not known & set(hosts)
+    unseen = [("spam-valley.org", "block"), ("casino-palace.org", "block"), ("adult-hub.org", "block"), ("citymuseum.org", "allow"), ("garden-school.org", "allow"), ("travelnews.org", "allow")]
+    pages = spark.createDataFrame([(k, f"https://{h}/") for k, (h, _) in enumerate(unseen)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, rules=[]).collect()}
+    assert [got[k] for k in range(len(unseen))] == [v for _, v in unseen]
