@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.blocks import BATCH_ROWS
 
+#: Least and most 64-bit words of a bitmap of points.
+BITMAP_WORDS = 1 << 10, 1 << 20
+
+_I = np.int64
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Python workers of this session get documents in batches of BATCH_ROWS; queries call it before they plan."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a Parquet table; batches for Python workers are kept small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -21,10 +33,13 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    spark.checkpoint.dir names it; only where that is unset, as in tests, a local one is set.
+    spark.checkpoint.dir names it.  Where that is unset, as in tests, a session whose executors are
+    threads of the driver gets a local one; any other is refused, as its executors have other disks.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="sedimenta-")
         spark.conf.set("spark.checkpoint.dir", top)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -34,10 +49,50 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and lost executors don't lose it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, name)
+
+
+class Scratch:
+    """Tables of one run in the shared folder, by name."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top = spark, shared_folder(spark)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.top}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables whose last reader is done, and the shuffles of stages that are over.
+
+        Spark deletes a shuffle's files when the driver's collector meets its handle, which on a
+        large heap can be hours after the last use; so the collector is called here.
+        """
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.top}-{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
+
+
+def bitmap(points: DataFrame, about: int) -> np.ndarray:
+    """A bitmap with a bit for each value of the column point; bits may be shared.
+
+    about is the number of values expected; the size follows it between fixed bounds.  A full bitmap
+    lets more through, and loses nothing.
+    """
+    words = min(max(1 << math.ceil(math.log2(max(1, about / 4))), BITMAP_WORDS[0]), BITMAP_WORDS[1])
+    word = F.shiftright("point", 6).bitwiseAND(F.lit(words - 1)).alias("w")
+    mask = F.expr("shiftleft(1L, cast(point & 63 as int))").alias("m")
+    got = points.select(word, mask).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    out = np.zeros(words, _I)
+    out[got["w"].to_numpy(_I)] = got["m"].to_numpy(_I)
+    return out
+
+
+def marked(bits: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return ((bits[(points >> 6) & (len(bits) - 1)] >> (points & 63)) & 1) != 0
 
 
 def remainder(doc_id: str = "doc_id") -> Column:

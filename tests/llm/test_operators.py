@@ -110,9 +110,8 @@ def test_cells_join_exactly():
     assert [f.find(x) for x in range(500)] == [g.find(x) for x in range(500)]
 
 
-def test_suffix(docs, texts):
-    from sedimenta.llm.suffix_dedup import removed
-
+def cut_by_hand(texts):
+    """n_bytes, n_removed, n_spans and digest of what is left, of each (doc_id, text) in order."""
     seen, want = set(), {}
     for d, t in texts:
         raw = (t or "").encode()
@@ -123,8 +122,38 @@ def test_suffix(docs, texts):
             seen.add(raw[i : i + 100])
         runs = sum(1 for i in range(len(raw)) if gone[i] and (i == 0 or not gone[i - 1]))
         want[d] = (len(raw), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(raw, gone) if not g)).hexdigest())
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in removed(docs).collect()}
-    assert got == want
+    return want
+
+
+def cut_by_operator(docs):
+    from sedimenta.llm.suffix_dedup import removed
+
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in removed(docs).collect()}
+
+
+@pytest.mark.parametrize("bucket", [100_000, 30])
+def test_suffix(docs, texts, bucket, monkeypatch):
+    """Against brute force, with one bucket for each partition and with buckets that cut groups of equal leads."""
+    from sedimenta.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    assert cut_by_operator(docs) == cut_by_hand(texts)
+
+
+@pytest.mark.parametrize("line", [60, 99, 130])
+def test_suffix_common_line(spark, line, monkeypatch):
+    """A line that a third of the documents share, below and above the length: groups that splitters cut, and their windows."""
+    from sedimenta.llm import suffix_dedup
+
+    rng = random.Random(line)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    common = " ".join(word() for _ in range(60))[:line]
+    rows = [(d, " ".join(word() for _ in range(40)) + (f"\n{common}\n" if d % 3 == 0 else "\n") + " ".join(word() for _ in range(40))) for d in range(400)]
+    cut = []
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 40)
+    monkeypatch.setattr(suffix_dedup, "splitters", lambda keys, n, kept=suffix_dedup.splitters: cut.append(kept(keys, n)) or cut[-1])
+    assert cut_by_operator(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == cut_by_hand(rows)
+    assert line < 130 or len(cut[0][1])
 
 
 def test_multikey_quicksort():
@@ -292,7 +321,7 @@ def test_empty_texts_stay(spark, docs, texts, monkeypatch):
     """Null and empty texts stay, also where the bitmap holds their place by chance."""
     from sedimenta.llm import suffix_dedup
 
-    monkeypatch.setattr(suffix_dedup, "_bitmap", lambda points, kept=suffix_dedup._bitmap: np.full_like(kept(points), -1))
+    monkeypatch.setattr(suffix_dedup, "bitmap", lambda points, about, kept=suffix_dedup.bitmap: np.full_like(kept(points, about), -1))
     got = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(docs).collect()}
     assert all(got[d] == t for d, t in texts if not t)
     assert len(got) < len(texts)
