@@ -23,13 +23,36 @@ def is_amendment(form: Column) -> Column:
     return form.rlike("/A[0-9]*$")
 
 
-def passes(form: Column, wanted: list[str], amendments: bool | str = True) -> Column:
+def passes(form: Column, wanted: list[str], amendments: bool | str = True, mode: str = "boundary") -> Column:
     """Any wanted form, and the amendment policy: True, False or "only"."""
     wanted = [w for w in wanted if w.strip()]
-    hit = reduce(lambda a, b: a | b, (matches_form(form, F.lit(w)) for w in wanted)) if wanted else F.lit(True)
+    hit = reduce(lambda a, b: a | b, (matches_form(form, F.lit(w), mode) for w in wanted)) if wanted else F.lit(True)
     return hit if amendments is True else hit & (is_amendment(form) if amendments == "only" else ~is_amendment(form))
 
 
+#: The forms of a subscription that names none.
+DEFAULT_FORMS = ["10-K", "10-Q", "8-K"]
+
+
+def normalize_form(form: Column) -> Column:
+    """Trimmed and in upper case; null counts as empty."""
+    return F.upper(F.regexp_replace(F.coalesce(form, F.lit("")), r"^\s+|\s+$", ""))
+
+
+def in_forms(form: Column, forms: Column, exact: bool = False) -> Column:
+    """The form, or unless exact its part before the first slash, is in an array of normalized forms."""
+    f = normalize_form(form)
+    hit = F.array_contains(forms, f)
+    return hit if exact else hit | F.array_contains(forms, F.split_part(f, F.lit("/"), F.lit(1)))
+
+
+def legacy_view(form: Column, reports: bool = False, only_8k: bool = False) -> Column:
+    """The older picker: reports (forms that begin with 10-) only where asked for, or 8-K alone."""
+    if only_8k:
+        return form == "8-K"
+    return F.lit(True) if reports else ~form.startswith("10-")
+
+
 def on_watch_list(form: Column, forms: list[str] = ("10-K", "10-Q", "8-K")) -> Column:
     """The form itself, or its part before the first slash, is on the list."""
     return form.isin(*forms) | F.split_part(form, F.lit("/"), F.lit(1)).isin(*forms)

@@ -1,155 +1,168 @@
-"""HTML of filings: cleaning, links, wide tables.  Documents are handled one by one in Arrow batches."""
+"""HTML of filings as DataFrames: cleaning, links, images, tables.  Documents are handled one by one in Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-#: Elements dropped with their content, and attributes that stay.
-DROPPED = {"script", "style", "head", "noscript"}
-KEPT = {"colspan", "rowspan", "href", "id", "src", "alt"}
-VOID = {"br", "hr", "img", "col", "wbr"}
-UNWRAPPED = {"font", "span", "center"}
-#: Width of a table's part, in characters, and its columns.
-WIDTH, COLUMNS = 60, 6
-
-
-class _Cleaner(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=False)
-        self.out, self.hidden, self.links, self.tables = [], 0, [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in DROPPED:
-            self.hidden += 1
-        if tag == "a":
-            self.links += [v for k, v in attrs if k == "href" and v]
-        self.tables += tag == "table"
-        if not self.hidden and tag not in UNWRAPPED:
-            kept = "".join(f' {k}="{(v or "").replace(chr(34), "&quot;")}"' for k, v in attrs if k in KEPT)
-            self.out.append(f"<{tag}{kept}/>" if tag in VOID else f"<{tag}{kept}>")
-
-    def handle_endtag(self, tag):
-        if tag in DROPPED:
-            self.hidden = max(0, self.hidden - 1)
-        elif not self.hidden and tag not in UNWRAPPED and tag not in VOID:
-            self.out.append(f"</{tag}>")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.out.append(data)
-
-    def handle_entityref(self, name):
-        self.handle_data(f"&{name};")
-
-    def handle_charref(self, name):
-        self.handle_data(f"&#{name};")
-
-
-def _cleaned(html: str | None) -> _Cleaner:
-    c = _Cleaner()
-    c.feed(html or "")
-    c.close()
-    return c
-
-
-def clean(pages: DataFrame) -> DataFrame:
-    """page_id, cleaned html, and counts of tables and links; null counts as empty."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [_cleaned(x) for x in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "clean": ["".join(c.out) for c in got], "n_tables": [c.tables for c in got], "n_links": [len(c.links) for c in got]})
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, clean string, n_tables long, n_links long")
-
-
-def links(pages: DataFrame) -> DataFrame:
-    """page_id and the distinct absolute targets of its links, without fragments, in order."""
-
-    def resolve(base: str, href: str) -> str | None:
-        if href.startswith("#") or urlsplit(href).scheme not in ("", "http", "https"):
-            return None
-        return urljoin(base, href).split("#")[0]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page, url, html in pdf[["page_id", "url", "html"]].itertuples(index=False, name=None):
-                found = dict.fromkeys(x for h in _cleaned(html).links if (x := resolve(url or "", h)))
-                rows += [(page, k, x) for k, x in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "target"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, pos long, target string")
-
-
-class _Grid(HTMLParser):
-    """Cells of the outermost tables with colspan and rowspan laid out: (table, row, column, span, text)."""
-
-    def __init__(self):
-        super().__init__()
-        self.cells, self.table, self.depth, self.row, self.col, self.taken, self.open = [], -1, 0, -1, 0, {}, None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.depth += 1
-            if self.depth == 1:
-                self.table, self.row, self.taken = self.table + 1, -1, {}
-        elif self.depth == 1 and tag == "tr":
-            self.row, self.col = self.row + 1, 0
-        elif self.depth == 1 and tag in ("td", "th"):
-            a = {k: int(v) if (v or "").isdigit() else 1 for k, v in attrs if k in ("colspan", "rowspan")}
-            cs, rs = max(1, a.get("colspan", 1)), max(1, a.get("rowspan", 1))
-            while self.taken.get((self.row, self.col)):
-                self.col += 1
-            for r in range(rs):
-                for c in range(cs):
-                    self.taken[self.row + r, self.col + c] = True
-            self.open = [self.table, self.row, self.col, cs, ""]
-            self.cells.append(self.open)
-            self.col += cs
-
-    def handle_endtag(self, tag):
-        if tag == "table":
-            self.depth = max(0, self.depth - 1)
-        if tag in ("td", "th") and self.depth == 1:
-            self.open = None
-
-    def handle_data(self, data):
-        if self.open is not None:
-            self.open[4] += data
-
-
-def chunks(widths: list[int], width: int = WIDTH, columns: int = COLUMNS) -> list[int]:
-    """The part of each column but the first (the label): greedy, in order; a part takes at least one column."""
-    out, part, used, n = [], 0, widths[0] if widths else 0, 0
-    for w in widths[1:]:
-        if n and (n >= columns or used + w > width):
-            part, used, n = part + 1, widths[0], 0
-        out.append(part)
-        used, n = used + w, n + 1
-    return out
-
-
-def split_tables(docs: DataFrame) -> DataFrame:
-    """Cells of every table with the part that each column falls into; the label column is in all (-1).  No cell is lost."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, html in pdf[["doc_id", "html"]].itertuples(index=False, name=None):
-                g = _Grid()
-                g.feed(html or "")
-                for t in range(g.table + 1):
-                    cells = [c for c in g.cells if c[0] == t and c[4].strip()]
-                    live = sorted({c[2] for c in cells})
-                    widths = [max(len(c[4].strip()) for c in cells if c[2] == k) + 1 for k in live]
-                    part = dict(zip(live, [-1, *chunks(widths)], strict=False))
-                    rows += [(doc, t, c[1], c[2], c[3], part[c[2]], c[4].strip()) for c in cells]
-            yield pd.DataFrame(rows, columns=["doc_id", "table_id", "r", "c", "span", "part", "text"])
-
-    return docs.select("doc_id", "html").mapInPandas(run, "doc_id long, table_id long, r long, c long, span long, part long, text string")
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sedimenta.functions import markup, tables, urls
+
+#: Bytes below which a cleaned document is refused, and of a text that counts as one in a check.
+LEAST_BYTES, LEAST_TEXT = 200, 2048
+#: Rows of a batch that goes back to Spark.
+OUT_ROWS = 10_000
+
+COUNTS = ["images", "subtotal_marks", "tables", "split", "subtables", "kept", "collapsed"]
+
+
+def _per_row(df: DataFrame, key: str, columns: list[str], make: Callable[..., list[tuple]], out: str) -> DataFrame:
+    """Rows key, *fields from make(*columns) of each document; out: the fields as name type, ..."""
+    names = [key, *(x.strip().split(" ")[0] for x in out.split(","))]
+    kind = df.schema[key].dataType.simpleString()
+    of = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    kinds = [of[x.strip().split(" ")[1]] for x in out.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            own = [batch.schema.field(0).type, *kinds]
+
+            def some() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), own, strict=True)], names)  # noqa: B023
+
+            for k, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(k, *r) for r in make(*values)]
+                if len(rows) >= OUT_ROWS:
+                    yield some()
+                    rows = []
+            if rows:
+                yield some()
+
+    return df.select(key, *columns).mapInArrow(run, f"`{key}` {kind}, {out}")
+
+
+def clean(pages: DataFrame, key: str = "page_id", html: str = "html", **options) -> DataFrame:
+    """key, clean (the cleaned markup), counts of what was found, n_links, and long_enough; null counts as empty."""
+
+    def make(raw: str | None) -> list[tuple]:
+        text, found = markup.clean(raw or "", **options)
+        return [(text, *(found[c] for c in COUNTS), len(re.findall(r"<a(?=[\s>])[^>]*\shref=", text)), len(text.encode()) >= LEAST_BYTES)]
+
+    return _per_row(pages, key, [html], make, f"clean string, {', '.join(f'n_{c} long' for c in COUNTS)}, n_links long, long_enough boolean")
+
+
+def plain(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key and the plain text of its markup, without scripts, styles and head."""
+
+    def make(raw: str | None) -> list[tuple]:
+        s = raw or ""
+        for name in ("script", "style", "head"):
+            s = markup.without(s, name)
+        return [(markup.plain_text(re.sub("<!--.*?-->", " ", s, flags=re.S)),)]
+
+    return _per_row(pages, key, [html], make, "text string")
+
+
+def references(pages: DataFrame, tag: str, attribute: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """key, pos, ref, target and error of an attribute of all elements of a tag, outside scripts, styles and head."""
+
+    def make(base: str | None, raw: str | None) -> list[tuple]:
+        s, out = raw or "", []
+        for name in ("script", "style", "head"):
+            s = markup.without(s, name)
+        for m in markup.TAG.finditer(s):
+            if m[2].lower() == tag and not m[1]:
+                ref = markup.attributes(m[3]).get(attribute)
+                ref = None if ref is None else markup.unescaped(ref)
+                out.append((len(out), ref, *urls.resolve(base, ref)))
+        return out
+
+    return _per_row(pages, key, [url, html], make, "pos long, ref string, target string, error string")
+
+
+def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key and the distinct absolute web targets of its links, in order of their first place."""
+    found = references(pages, "a", "href", key).where(F.col("target").rlike("^https?://"))
+    first = found.groupBy(key, "target").agg(F.min("pos").alias("_first"))
+    return first.withColumn("pos", (F.row_number().over(Window.partitionBy(key).orderBy("_first")) - 1).cast("long")).select(key, "pos", "target")
+
+
+def image_plan(pages: DataFrame, key: str = "page_id", hosts: tuple[str, ...] = urls.HOSTS) -> tuple[DataFrame, DataFrame]:
+    """(references to images with item or error; items: one for each URL, with its place, ending and kind).
+
+    Many references share an item.  Hosts that are not allowed are errors, like what cannot be resolved.
+    """
+    refs = references(pages, "img", "src", key)
+    host = F.lower(F.regexp_replace(F.regexp_extract("target", r"^[A-Za-z][A-Za-z0-9_+.-]*:(?://([^/]+))?", 1), r":[0-9]+$", ""))
+    allowed = host.isin(*hosts)
+    for h in hosts:
+        allowed = allowed | host.endswith(f".{h}")
+    refs = refs.withColumn("error", F.when(F.col("error").isNull() & ~allowed, "host").otherwise(F.col("error")))
+    good = refs.where("error is null")
+    items = good.groupBy("target").agg(F.min(F.struct(F.col(key).alias("k"), "pos")).alias("_first"), F.count("*").alias("n_refs"))
+    path = F.lower(F.regexp_replace("target", r"[?#].*$", ""))
+    end = F.nullif(F.regexp_extract(path, r"\.([a-z0-9]{2,5})$", 1), F.lit(""))
+    kinds = F.create_map(*(F.lit(x) for kv in urls.KINDS.items() for x in kv))
+    items = items.select(F.sha2("target", 256).alias("item"), "target", F.col("_first.k").alias("first_key"), F.col("_first.pos").alias("first_pos"), "n_refs", end.alias("ending"), kinds[end].alias("kind"))
+    return refs.withColumn("item", F.when(F.col("error").isNull(), F.sha2("target", 256))), items
+
+
+def image_outcome(items: DataFrame, got: DataFrame, most_bytes: int = 5 << 20) -> DataFrame:
+    """items with outcome, kind, width and height from got(item, content, failure): its bytes decide what it is."""
+
+    def make(content: bytes | None) -> list[tuple]:
+        return [urls.sniff(content) or (None, None, None)]
+
+    head = got.select("item", F.substring("content", 1, urls.HEAD).alias("content"))
+    seen = _per_row(head, "item", ["content"], make, "seen string, width long, height long")
+    rows = items.join(got.select("item", F.octet_length("content").alias("bytes"), "failure"), "item", "left").join(seen, "item", "left")
+    outcome = F.when(F.col("failure").isNotNull(), "failed").when(F.col("bytes").isNull(), "not fetched").when(F.col("bytes") > most_bytes, "too large").when(F.col("seen").isNull(), "unknown").otherwise("ok")
+    return rows.withColumns({"outcome": outcome, "kind": F.coalesce("seen", "kind")}).drop("seen")
+
+
+def image_statistics(outcomes: DataFrame) -> DataFrame:
+    """For each outcome: images, references, bytes and the most bytes of one."""
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n_images"), F.sum("n_refs").alias("n_refs"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.max("bytes"), F.lit(0)).cast("long").alias("most_bytes"))
+
+
+def _found_tables(html: str | None) -> Iterator[tables.Grid]:
+    html, at = html or "", 0
+    while m := markup.TAG.search(html, at):
+        at = m.end()
+        if m[2].lower() == "table" and not m[1] and (end := tables.element_end(html, "table", at)):
+            yield tables.grid(html[m.start() : end[1]])
+            at = end[1]
+
+
+def table_grid(docs: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
+    """Cells of the outermost tables: key, table_id, r, c (from 1), cs, rs, tag and text."""
+
+    def make(raw: str | None) -> list[tuple]:
+        return [(t, c.row, c.col, c.cs, c.rs, c.tag, c.text) for t, g in enumerate(_found_tables(raw)) for c in g.cells]
+
+    return _per_row(docs, key, [html], make, "table_id long, r long, c long, cs long, rs long, tag string, text string")
+
+
+def split_tables(docs: DataFrame, key: str = "doc_id", html: str = "html", budget: float = tables.BUDGET, most: int = tables.COLUMNS) -> DataFrame:
+    """Cells with text of every table with the part that each column falls into; label columns are in all (-1).  No cell is lost."""
+
+    def make(raw: str | None) -> list[tuple]:
+        out = []
+        for t, g in enumerate(_found_tables(raw)):
+            label = set(tables.labels(g))
+            parts = tables.chunks(g, budget, None if tables.width(g, g.live) <= budget else most)
+            part = {c: k for k, cols in enumerate(parts) for c in cols if c not in label} | dict.fromkeys(label, -1)
+            out += [(t, c.row, c.col, c.cs, part[c.col], c.text) for c in g.cells if c.text]
+        return out
+
+    return _per_row(docs, key, [html], make, "table_id long, r long, c long, span long, part long, text string")
+
+
+def audit(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Counts of elements of each document, and whether it is long enough."""
+    count = lambda p: F.regexp_count(html, F.lit(p)).cast("long")
+    return pages.select(key, count("<p[ >]").alias("n_p"), count("<a ").alias("n_a"), count("<script").alias("n_script"), (F.octet_length(html) >= LEAST_BYTES).alias("long_enough"))

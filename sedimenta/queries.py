@@ -11,18 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.functions import forms, periods, text
-from sedimenta.operators import facts, filings, fragments, library, updates
+from sedimenta.functions import forms, html, periods, text
+from sedimenta.operators import companies, facts, filings, fragments, library, updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def register(sql: str | None = None):
+def register(sql: str | None = None, name: str | None = None):
     def keep(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[name or f.__name__] = sql
         return f
 
     return keep
@@ -82,24 +82,69 @@ def dedupe_union(spark, sf_dir):
     return filings.first_by_key(main.unionByName(shard), "accn", [F.col("src")])
 
 
-@register(f"""with s as (select *, sum((form = '1-URGENT')::int) over (partition by cik order by date desc, accn desc rows between unbounded preceding and 1 preceding) b from {_ORDERS})
- select cik, count(*) scanned, count(*) filter (form = '1-URGENT') returned from s where coalesce(b, 0) < 2 group by cik""")
+# the row after the budget's last hit is met, too
+@register(f"""with s as (select *, sum((form = '1-URGENT')::int) over (partition by cik order by date desc, accn desc rows between unbounded preceding and 1 preceding) b from {_ORDERS}),
+ t as (select *, coalesce(b, 0) >= 2 over_, row_number() over (partition by cik order by date desc, accn desc) k from s), f as (select cik, min(k) filter (over_) stop from t group by cik)
+ select t.cik, count(*) scanned, count(*) filter (form = '1-URGENT' and not over_) returned, bool_or(over_) budget_full from t join f on t.cik = f.cik where k <= coalesce(stop, k) group by t.cik""")
 def scan_budget(spark, sf_dir):
-    df = filings.budgeted(_orders(spark, sf_dir), "cik", [F.desc("date"), F.desc("accn")], F.col("form") == "1-URGENT", 2)
-    return df.groupBy("cik").agg(F.count("*").alias("scanned"), F.count_if("returned").alias("returned"))
+    df = filings.scanned(_orders(spark, sf_dir), "cik", [F.desc("date"), F.desc("accn")], F.col("form") == "1-URGENT", 2)
+    return df.groupBy("cik").agg(F.count("*").alias("scanned"), F.count_if("returned").alias("returned"), F.max("tripped").alias("budget_full"))
 
 
-@register("""with n as (select p_partkey, trim(regexp_replace(translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z]+', ' ', 'g')) t, p_name from part),
- s as (select p_partkey, p_name, case when t = 'ring' then 900 when starts_with(t, 'ring ') then 800 when contains(' ' || t || ' ', ' ring ') then 600 when contains(t, 'ring') then 400 else 0 end score from n)
- select p_partkey, p_name, score, row_number() over (order by score desc, strlen(p_name), p_name, p_partkey) as "rank" from s where score > 0 qualify "rank" <= 20""")
+def _companies(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cik"), F.concat(F.lit("T."), F.col("p_size").cast("string")).alias("ticker"), F.col("p_name").alias("title"))
+
+
+def _scores(query: str, ticker: str, digits: str = "null") -> str:
+    return f"""n as (select p_partkey cik, 'T.' || p_size ticker, p_name title, trim(regexp_replace(translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z]+', ' ', 'g')) t from part),
+ s as (select cik, ticker, title, case when {digits} is not null then case when cik = {digits} then 1000 else 0 end when 't' || substr(ticker, 3) = '{ticker}' then 1000 when t = '{query}' then 900 when starts_with(t, '{query} ') then 800
+ when contains(' ' || t || ' ', ' {query} ') then 600 when contains(t, '{query}') then 400 else 0 end score from n)"""
+
+
+def _resolved(query: str, ticker: str, digits: str, how: str) -> str:
+    return f"""with {_scores(query, ticker, digits)}, r as (select *, row_number() over (order by score desc, strlen(title), ticker, cik) k, count(*) over () n, lead(score) over (order by score desc, strlen(title), ticker, cik) two from s where score > 0)
+ select lpad(cik::varchar, 10, '0') cik, title as name, ticker, [ticker] tickers, {how} matched_by, n candidates_total, n > 20 truncated, n > 1 ambiguous, coalesce(score = two, false) tie from r where k = 1"""
+
+
+def _answer(answer):
+    return answer.select("cik", "name", "ticker", "tickers", "matched_by", "candidates_total", "truncated", "ambiguous", "tie")
+
+
+@register(f"""with {_scores('ring', 'ring')} select cik, title, score, row_number() over (order by score desc, strlen(title), ticker, cik) as "rank" from s where score > 0 qualify "rank" <= 20""")
 def company_resolve(spark, sf_dir):
-    df = table(spark, sf_dir, "part").select("p_partkey", "p_name", text.name_score(F.col("p_name"), "Ring").alias("score")).where("score > 0")
-    return filings.ranked(df, [F.desc("score"), F.octet_length("p_name"), F.col("p_name"), F.col("p_partkey")], 20)
+    return companies.resolve(_companies(spark, sf_dir), " Ring ")[0].select("cik", "title", "score", "rank")
+
+
+@register(_resolved("ring", "ring", "null", "'name'"))
+def company_answer(spark, sf_dir):
+    return _answer(companies.resolve(_companies(spark, sf_dir), "Ring")[1])
+
+
+@register(_resolved("t 7", "t7", "null", "'ticker'"))
+def company_by_ticker(spark, sf_dir):
+    return _answer(companies.resolve(_companies(spark, sf_dir), "T-7")[1])
+
 
+@register(_resolved("17", "17", "17", "'cik'"))
+def company_by_number(spark, sf_dir):
+    return _answer(companies.resolve(_companies(spark, sf_dir), "CIK 0000000017")[1])
 
-@register("""select c_custkey, lpad(c_custkey::varchar, 10, '0') cik from customer""")
+
+@register("""select p_partkey cik, 'T.' || p_size ticker, p_name title from part where p_partkey % 9 <> 0""")
+def company_directory(spark, sf_dir):
+    entry = F.struct(F.when(F.col("cik") % 9 == 0, "n/a").otherwise(F.col("cik").cast("string")).alias("cik_str"), "ticker", "title")
+    rows = _companies(spark, sf_dir).withColumn("part", F.col("cik") % 4)
+    bodies = rows.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("cik").cast("string"), entry)))).alias("body"))
+    return companies.directory(bodies)
+
+
+@register("""select c_custkey, case when c_custkey % 3 = 0 then null else lpad(c_custkey::varchar, 10, '0') end cik, lpad((c_custkey - c_custkey % 3)::varchar, 10, '0') as watch, case when c_custkey % 5 = 0 then null else lpad((c_custkey % 3)::varchar, 10, '0') end small from customer""")
 def cik_padding(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", text.pad_cik(F.concat(F.lit("CIK"), F.col("c_custkey").cast("string"))).alias("cik"))
+    c = F.col("c_custkey").cast("string")
+    odd = F.when(F.col("c_custkey") % 3 == 0, F.concat(c, F.lit("x"))).otherwise(F.concat(F.lit("CIK"), c))
+    spaced = F.regexp_replace((F.col("c_custkey") - F.col("c_custkey") % 3).cast("string"), "(.)", "$1 ")
+    long = F.when(F.col("c_custkey") % 5 == 0, F.lit("12345678901")).otherwise((F.col("c_custkey") % 3).cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.pad_cik(odd).alias("cik"), text.watch_cik(F.concat(F.lit("cik "), spaced)).alias("watch"), text.watch_cik(long).alias("small"))
 
 
 @register("""with e as (select user_id, event_type, strftime(ts, '%Y-%m-%d') d, event_id, value from events),
@@ -132,13 +177,13 @@ def period_caliber(spark, sf_dir):
  select cik, form, accn, date, row_number() over (partition by cik, form order by date desc, accn desc) as "rank" from o where date_diff('day', date::date, newest) <= 1100 qualify "rank" <= 4""")
 def recent_window_topn(spark, sf_dir):
     df = _orders(spark, sf_dir).select("cik", "form", "accn", "date")
-    return facts.recent(df, "cik", "form", "date", 1100, 4, [F.desc("accn")])
+    return facts.recent(df, ["cik"], "form", "date", 1100, 4, [F.desc("accn")])
 
 
-@register(f"""select cik, count(*) n_rows, count(distinct substr(date, 6, 2)) n_months, count(distinct quarter(date::date)) >= 2 and count(*) >= 2 series_ok from {_ORDERS} group by cik""")
+@register(f"""with o as (select *, date[1:4] >= '1996' q, accn % 2 = 0 y from {_ORDERS})
+ select cik, count(*) filter (q) n_quarters, count(*) filter (q) >= 2 and count(distinct quarter(date::date)) filter (q) >= 2 quarters_ok, count(distinct substr(date, 6, 2)) filter (y) > 1 mixed_yearly from o group by cik""")
 def series_quality(spark, sf_dir):
-    quarters = F.count_distinct(F.quarter(F.to_date("date")))
-    return _orders(spark, sf_dir).groupBy("cik").agg(F.count("*").alias("n_rows"), F.count_distinct(F.substring("date", 6, 2)).alias("n_months"), ((quarters >= 2) & (F.count("*") >= 2)).alias("series_ok"))
+    return facts.series_quality(_orders(spark, sf_dir), ["cik"], "date", F.col("date") >= "1996", F.col("accn") % 2 == 0, F.col("date"))
 
 
 @register("""with s as (select l_suppkey, sum(cast(l_extendedprice as decimal(18,2)))::decimal(18,2) v from lineitem group by 1)
@@ -149,61 +194,135 @@ def money_format(spark, sf_dir):
 
 
 def _subscriptions(spark, sf_dir, first_run: bool):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cik"), (F.col("c_custkey") % 10 != 0).alias("enabled"))
-    subs = c.withColumns({"baseline": F.lit("1999-01-01"), "first_run_done": F.lit(not first_run)})
-    orders = _orders(spark, sf_dir)
-    return orders.select("cik", "accn", "date"), subs, orders.where("accn % 7 = 0").select("cik", "accn")
+    """Customers as subscriptions to all priorities but the lowest; every seventh order is seen, and some dates are unreadable."""
+    o = _orders(spark, sf_dir)
+    rows = o.select(text.watch_cik(F.col("cik").cast("string")).alias("cik"), F.col("accn").cast("string").alias("accn"), "form", F.when(F.col("accn") % 50 == 1, "n/a").otherwise(F.col("date")).alias("date"), F.col("accn").alias("pos"))
+    twice = rows.where("pos % 11 = 0").withColumn("pos", F.col("pos") + 10**9)
+    seen = o.where("accn % 7 = 0").groupBy(F.col("cik").alias("s")).agg(F.reverse(F.array_sort(F.collect_list(F.col("accn").cast("string")))).alias("seen"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cik"), (F.col("c_custkey") % 10 != 0).alias("enabled"), F.array(*map(F.lit, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-not specified"])).alias("forms"))
+    if first_run:
+        subs = updates.subscriptions(c)
+    else:
+        subs = updates.subscriptions(c.join(seen, F.col("cik") == F.col("s"), "left").withColumns({"seen_upto_date": F.lit("1997-06-01"), "first_run_done": F.lit(True)}))
+    return rows.union(twice), subs
 
 
 def _plan_sql(first: bool) -> str:
-    return f"""with r as (select cik, accn, date from {_ORDERS} join customer on c_custkey = cik where c_custkey % 10 <> 0 and accn % 7 <> 0 {"" if first else "and date >= '1999-01-01'"}),
- w as (select *, row_number() over (partition by cik order by date desc, accn desc) pos, count(*) over (partition by cik) n from r)
- select cik, accn, date, pos, greatest(n - 8, 0) truncated from w where pos <= 8"""
+    """r: rows of wanted forms; w: those that are new, numbered; u: a row for each subscription."""
+    return f"""c as (select c_custkey, lpad(c_custkey::varchar, 10, '0') cik from customer where c_custkey % 10 <> 0),
+ r as (select c.cik, o_orderkey::varchar accn, upper(o_orderpriority) form, case when o_orderkey % 50 = 1 then 'n/a' else strftime(o_orderdate, '%Y-%m-%d') end date, o_orderkey from orders join c on c_custkey = o_custkey where o_orderpriority <> '5-LOW'),
+ k as (select *, case when {"false" if first else "o_orderkey % 7 = 0"} then 'seen' when {"false" if first else "date <> 'n/a' and date < '1997-06-01'"} then 'history' else 'new' end kind from r),
+ w as (select cik, accn, upper(form) form, date, row_number() over (partition by cik order by date desc, accn desc) pos from k where kind = 'new'),
+ p as (select cik, count(*) total_known, count(*) filter (kind = 'new') n, count(*) filter (kind = 'history') h, count(*) filter (o_orderkey % 11 = 0) duplicates, count(*) filter (date = 'n/a' and kind <> 'seen') bad_dates, max((date, accn)) newest from k group by cik),
+ l as (select distinct lpad(o_custkey::varchar, 10, '0') cik from orders),
+ u as (select c.cik, least(coalesce(n, 0), 8) new_count, {"coalesce(n, 0) > 0" if first else "false"} first_run, coalesce(total_known, 0) total_known, {"0" if first else "greatest(coalesce(n, 0) - 8, 0)"} truncated, coalesce(h, 0) + {"greatest(coalesce(n, 0) - 8, 0)" if first else "0"} history_skipped,
+ coalesce(duplicates, 0)::bigint duplicates, coalesce(bad_dates, 0) bad_dates, case when newest[1] <> 'n/a' and {"true" if first else "coalesce(n, 0) <= 8"} then newest[1] end baseline_new_date, newest[1] latest_filing, newest[2] latest_accession, case when l.cik is null then 'no metadata' end warning
+ from c left join p on c.cik = p.cik left join l on c.cik = l.cik),
+ x as (select u.cik, list_sort(coalesce(list(accn) filter (accn is not null), [])) closing from u left join k on k.cik = u.cik and k.date = u.baseline_new_date group by u.cik)"""
 
 
-@register(_plan_sql(False))
-def plan_updates(spark, sf_dir):
-    return updates.plan(*_subscriptions(spark, sf_dir, False))
+_UPDATE = ["cik", "new_count", "first_run", "total_known", "truncated", "history_skipped", "duplicates", "bad_dates", "baseline_new_date", "latest_filing", "latest_accession", "warning"]
 
 
-@register(_plan_sql(True))
-def plan_first_run(spark, sf_dir):
-    return updates.plan(*_subscriptions(spark, sf_dir, True))
+def _plan_queries(first: bool):
+    sql = _plan_sql(first)
 
+    def new(spark, sf_dir):
+        return updates.plan(*_subscriptions(spark, sf_dir, first))[0]
 
-@register(f"""with b as ({_plan_sql(False)}) select *, row_number() over (partition by cik order by pos) as "next" from b where accn % 3 <> 0""")
-def queue_resume(spark, sf_dir):
-    batch = updates.plan(*_subscriptions(spark, sf_dir, False))
-    return updates.resume(batch, batch.where("accn % 3 = 0").select("cik", "accn"))
+    def summary(spark, sf_dir):
+        return updates.plan(*_subscriptions(spark, sf_dir, first))[1].select(*_UPDATE, F.array_join("closing", ",").alias("closing"))
+
+    def committed(spark, sf_dir):
+        rows, subs = _subscriptions(spark, sf_dir, first)
+        out = updates.commit(subs, *updates.plan(rows, subs))
+        return out.select("cik", "enabled", F.size("seen").alias("n_seen"), F.element_at(F.concat("seen", F.array(F.lit("none"))), 1).alias("first_seen"), "seen_upto_date", "first_run_done", "last_filing_date")
+
+    seen = "" if first else "union select lpad(o_custkey::varchar, 10, '0'), o_orderkey::varchar, 2 from orders where o_orderkey % 7 = 0"
+    marks = f"""m as (select cik, accn, 1 which from w where pos <= 8 union select x.cik, unnest(closing), 1 from x {seen}), s as (select cik, accn, max(which) which from m group by 1, 2),
+ n as (select cik, count(*) n_seen, coalesce(max(accn) filter (which = 1), max(accn)) first_seen from s group by cik)"""
+    base = "null" if first else "'1997-06-01'"
+    return (
+        register(f"with {sql} select cik, accn, form, date, pos from w where pos <= 8", "plan_first_run" if first else "plan_updates")(new),
+        register(f"with {sql} select u.*, array_to_string(closing, ',') closing from u join x on x.cik = u.cik", "plan_first_run_summary" if first else "plan_summary")(summary),
+        register(
+            f"""with {sql}, {marks} select a.cik, a.enabled, least(coalesce(n_seen, 0), 200)::int n_seen, coalesce(first_seen, 'none') first_seen,
+ case when truncated = 0 then greatest({base}, case when latest_filing <> 'n/a' then latest_filing end) else {base} end seen_upto_date, {"u.cik is not null" if first else "true"} first_run_done, latest_filing last_filing_date
+ from (select lpad(c_custkey::varchar, 10, '0') cik, c_custkey % 10 <> 0 enabled from customer) a left join u on u.cik = a.cik left join n on n.cik = a.cik""", "commit_first_run" if first else "commit_baselines",
+        )(committed),
+    )
 
 
-@register(f"""with b as ({_plan_sql(False)}), n as (select cik, max(date) newest, max(truncated) cut from b group by cik)
- select c_custkey cik, c_custkey % 10 <> 0 enabled, case when coalesce(cut, 1) = 0 then greatest('1999-01-01', newest) else '1999-01-01' end baseline, true first_run_done from customer left join n on cik = c_custkey""")
-def commit_baselines(spark, sf_dir):
-    rows, subs, seen = _subscriptions(spark, sf_dir, False)
-    return updates.commit(subs, updates.plan(rows, subs, seen))
+_plan_queries(False)
+_plan_queries(True)
 
 
-@register("""select l_orderkey, l_partkey, l_quantity, prio from (select *, case when l_returnflag = 'R' then 0 when l_linenumber = 1 then 1 else 2 end prio from lineitem)
- qualify row_number() over (partition by l_orderkey order by prio, l_quantity desc, l_partkey, l_linenumber) = 1""")
+@register(f"""with {_plan_sql(False)} select cik, accn, form, date, pos, row_number() over (partition by cik order by pos) as "next" from w where pos <= 8 and accn::int % 3 <> 0""")
+def queue_resume(spark, sf_dir):
+    batch, _ = updates.plan(*_subscriptions(spark, sf_dir, False))
+    return updates.resume(batch, batch.where("accn % 3 = 0").select("cik", "accn"))
+
+
+@register(f"""with {_plan_sql(False)}, b as (select w.*, u.truncated, u.latest_filing from w join u on u.cik = w.cik where pos <= 8),
+ g as (select cik, count(*) n_filings, count(*) filter (accn::int % 3 = 0) n_done, max(truncated) truncated, bool_and(date <> 'n/a') good, any_value(latest_filing) latest_filing from b group by cik)
+ select cik, n_filings::int n_filings, n_done::int n_completed, case when not good then 'broken' when truncated = 0 and latest_filing = 'n/a' then 'broken' when cik::bigint % 4 = 0 then 'selection' when cik::bigint % 3 = 0 then 'baseline' end error from g where n_done < n_filings""")
+def queue_batches(spark, sf_dir):
+    """Frozen batches after some filings were completed, checked against subscriptions that have changed in between."""
+    rows, subs = _subscriptions(spark, sf_dir, False)
+    new, ups = updates.plan(rows, subs)
+    held, _ = updates.complete(updates.freeze(subs, new, ups), subs, new.where("accn % 3 = 0"))
+    number = F.col("cik").cast("long")
+    changed = subs.withColumn("forms", F.when(number % 4 == 0, F.array(F.lit("1-URGENT"))).otherwise(F.col("forms")))
+    changed = changed.withColumn("seen_upto_date", F.when((number % 3 == 0) & (number % 4 != 0), F.lit("1998-01-01")).otherwise(F.col("seen_upto_date")))
+    return updates.checked(held, changed).select("cik", F.size("filings").alias("n_filings"), F.size("completed").alias("n_completed"), "error")
+
+
+@register(f"""with {_plan_sql(False)}, d as (select * from w where pos <= 8 and accn::int % 3 <> 1), g as (select cik, count(*) n from d group by cik),
+ e as (select u.cik, coalesce(g.n, 0) = u.new_count whole from u left join g on g.cik = u.cik)
+ select a.cik, case when e.whole and truncated = 0 then greatest('1997-06-01', case when latest_filing <> 'n/a' then latest_filing end) else '1997-06-01' end seen_upto_date, coalesce(q.n, 0) + coalesce(s.n, 0) n_seen
+ from (select lpad(c_custkey::varchar, 10, '0') cik, c_custkey from customer) a left join u on u.cik = a.cik left join e on e.cik = a.cik
+ left join (select cik, count(distinct accn) n from (select d.cik, d.accn from d union select x.cik, unnest(closing) from x join e on e.cik = x.cik where whole) y where accn::int % 7 <> 0 group by 1) q on q.cik = a.cik
+ left join (select o_custkey, count(*) n from orders where o_orderkey % 7 = 0 group by 1) s on s.o_custkey = a.c_custkey""")
+def partial_success(spark, sf_dir):
+    """What is remembered where only some filings of a run succeeded: those, and no new baseline."""
+    rows, subs = _subscriptions(spark, sf_dir, False)
+    new, ups = updates.plan(rows, subs)
+    return updates.record_seen(subs, new, ups, new.where("accn % 3 <> 1")).select("cik", "seen_upto_date", F.size("seen").cast("long").alias("n_seen"))
+
+
+@register(f"""with {_plan_sql(False)}, a as (select c_custkey, lpad(c_custkey::varchar, 10, '0') cik from customer)
+ select a.cik, case when c_custkey % 13 = 0 then 'picked' when c_custkey % 5 = 0 then 'queue' when c_custkey % 17 = 0 then 'refused' when c_custkey % 6 = 0 then 'error' when new_count > 0 then 'plan' when u.cik is not null then 'no_new' else 'disabled' end source from a left join u on u.cik = a.cik""")
+def plan_run(spark, sf_dir):
+    _, ups = updates.plan(*_subscriptions(spark, sf_dir, False))
+    c = table(spark, sf_dir, "customer").select(text.watch_cik(F.col("c_custkey").cast("string")).alias("cik"), "c_custkey")
+    some = lambda n: c.where(F.col("c_custkey") % n == 0).select("cik")
+    wanted = c.select("cik", (F.col("c_custkey") % 10 != 0).alias("enabled"), (F.col("c_custkey") % 17 == 0).alias("legacy_progress"))
+    return updates.plan_run(wanted, ups, some(6), some(5), some(13)).select("cik", "source")
+
+
+_FILES = """(select l_orderkey, case l_partkey % 5 when 0 then 'R' || l_linenumber || '.htm' when 1 then 'a' || l_partkey || '-EX99.htm' when 2 then 'pic' || l_partkey || '.jpg' else 'Doc' || l_partkey || '.HTML' end as name, l_quantity as size, l_linenumber from lineitem)"""
+
+
+@register(f"""with f as (select f.*, o_orderpriority, o_orderkey from {_FILES} f join orders on o_orderkey = l_orderkey), p as (select l_orderkey, name, size, l_linenumber, case when o_orderkey % 2 = 0 and contains(lower(name), 'ex99') then 0 when lower(name) = 'doc' || (o_orderkey % 100) || '.html' then 1 else 2 end prio from f
+ where regexp_matches(name, '\\.html?$', 'i') and not regexp_matches(name, '^r[0-9]+\\.html?$', 'i'))
+ select l_orderkey, name, size, prio from p qualify row_number() over (partition by l_orderkey order by prio, size desc, name, l_linenumber) = 1""")
 def document_pick(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag").withColumn("name", F.struct("l_partkey", "l_linenumber"))
-    got = filings.pick_document(li, "l_orderkey", "name", "l_quantity", F.col("l_returnflag") == "R", F.col("l_linenumber") == 1)
-    return got.select("l_orderkey", "l_partkey", "l_quantity", "prio")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").alias("size"))
+    part, n = F.col("l_partkey"), F.col("l_partkey").cast("string")
+    name = F.when(part % 5 == 0, F.concat(F.lit("R"), F.col("l_linenumber").cast("string"), F.lit(".htm"))).when(part % 5 == 1, F.concat(F.lit("a"), n, F.lit("-EX99.htm"))).when(part % 5 == 2, F.concat(F.lit("pic"), n, F.lit(".jpg"))).otherwise(F.concat(F.lit("Doc"), n, F.lit(".HTML")))
+    form = F.when(F.col("l_orderkey") % 2 == 0, "8-K").otherwise("10-K")
+    got = filings.pick_document(li.withColumn("name", name), "l_orderkey", "name", "size", form, F.concat(F.lit("DOC"), (F.col("l_orderkey") % 100).cast("string"), F.lit(".html")))
+    return got.select("l_orderkey", "name", "size", "prio")
 
 
 @register("""select coalesce(d.doc_id, l.doc_id) doc_id, d.doc_id is not null on_disk, l.doc_id is not null listed from documents d full join labels l on d.doc_id = l.doc_id where d.doc_id is null or l.doc_id is null""")
 def manifest_diff(spark, sf_dir):
-    d, m = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("on_disk")), table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("listed"))
-    both = d.join(m, "doc_id", "full_outer").select("doc_id", F.coalesce("on_disk", F.lit(False)).alias("on_disk"), F.coalesce("listed", F.lit(False)).alias("listed"))
-    return both.where("not (on_disk and listed)")
+    return library.manifest_diff(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @register("""with f as (select doc_id, sha256(text) h from documents) select a.doc_id, a.h as sha256, min(b.doc_id) first_id, count(*) n_paths from f a join f b using (h) group by 1, 2""")
 def content_relink(spark, sf_dir):
-    f = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    per = f.groupBy("sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_paths"))
-    return f.join(per, "sha256").select("doc_id", "sha256", "first_id", "n_paths")
+    return library.same_content(table(spark, sf_dir, "documents"), "doc_id", F.sha2("text", 256))
 
 
 @register("""select o_custkey cik, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int row_pos, o_orderkey::varchar accn, case when o_orderstatus = 'P' then '' else o_orderpriority end form from orders""")
@@ -216,60 +335,117 @@ def json_columns_zip(spark, sf_dir):
 
 @register("""select t as token, count(*) n from (select unnest(regexp_extract_all(text, '[0-9][0-9,.]*')) t from documents) group by 1""")
 def number_multiset(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[0-9][0-9,.]*"), 0)).alias("token"))
-    return t.groupBy("token").agg(F.count("*").alias("n"))
+    return library.tokens_of(table(spark, sf_dir, "documents"), F.col("text"))
 
 
-@register("""select source, count(*) n_files, sum(strlen(text))::bigint n_bytes from documents group by 1""")
+@register("""select source as kind, count(*) n_files, sum(strlen(text))::bigint n_bytes from documents group by 1""")
 def storage_totals(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("text")).alias("n_bytes"))
+    return library.storage(table(spark, sf_dir, "documents"), F.col("source"), F.octet_length("text"))
 
 
 @register("""select page_id, len(regexp_extract_all(html, '<p[ >]')) n_p, len(regexp_extract_all(html, '<a ')) n_a, len(regexp_extract_all(html, '<script')) n_script, strlen(html) >= 200 long_enough from pages""")
 def html_audit(spark, sf_dir):
-    count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", count("<p[ >]").alias("n_p"), count("<a ").alias("n_a"), count("<script").alias("n_script"), (F.octet_length("html") >= 200).alias("long_enough"))
+    return html.audit(table(spark, sf_dir, "pages"))
 
 
-@register()
+_BODY = r"regexp_replace(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>', '', 'gs'), '<!DOCTYPE[^>]*>|<head>.*</head>', '', 'gs')"
+
+
+@register(rf"""with c as (select page_id, replace(regexp_replace(regexp_replace({_BODY}, '</?(html|body)[^>]*>', '', 'g'), '<(div|footer|article|nav|ul|p|h1)( [^>]*)>', '<\1>', 'g'), '<br>', '<br/>') clean from pages)
+ select page_id, clean, 0::bigint n_images, 0::bigint n_subtotal_marks, 0::bigint n_tables, 0::bigint n_split, 0::bigint n_subtables, 0::bigint n_kept, 0::bigint n_collapsed, len(regexp_extract_all(clean, '<a href='))::bigint n_links, strlen(clean) >= 200 long_enough from c""")
 def html_clean(spark, sf_dir):
-    from sedimenta.functions.html import clean
+    return html.clean(table(spark, sf_dir, "pages"))
 
-    return clean(table(spark, sf_dir, "pages").select("page_id", "html"))
 
+@register(rf"""select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace({_BODY}, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&(copy|middot);', '', 'g').replace('&amp;', '&'), '\s+', ' ', 'g')) as text from pages""")
+def html_text(spark, sf_dir):
+    return html.plain(table(spark, sf_dir, "pages"))
 
-@register()
+
+@register("""with l as (select page_id, url, generate_subscripts(x, 1) k, unnest(x) href from (select page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) x from pages)),
+ t as (select page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || href target, min(k) k from l where regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) <> '' group by 1, 2) select page_id, row_number() over (partition by page_id order by k) - 1 pos, target from t""")
 def html_links(spark, sf_dir):
-    from sedimenta.functions.html import links
+    return html.links(table(spark, sf_dir, "pages"))
 
-    return links(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
+def _order_tables(spark, sf_dir):
+    """A table for each order: two heading rows with spans, a row for each item, and an empty column."""
+    price = F.format_number(F.col("l_extendedprice"), 2)
+    cells = F.concat(F.lit("<tr><td>Part "), F.col("l_partkey").cast("string"), F.lit("</td><td></td><td>$</td><td>"), price, F.lit("</td><td>"), F.format_number(F.col("l_extendedprice") * 2, 2), F.lit("</td></tr>"))
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", cells.alias("row")))), lambda r: r["row"]), "").alias("rows"))
+    head = F.lit("<p>x</p><table><tr><th rowspan=\"2\">Item</th><td rowspan=\"2\"></td><th colspan=\"2\">Now</th><th>Then</th></tr><tr><td colspan=\"2\">USD</td><td>EUR</td></tr>")
+    return li.select("doc_id", F.concat(head, "rows", F.lit("</table>")).alias("html"))
+
+
+_CELLS = """(with i as (select l_orderkey doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) + 2 r, 'Part ' || l_partkey a, '$' b, format('{:,.2f}', l_extendedprice) c, format('{:,.2f}', l_extendedprice * 2) d from lineitem)
+ select doc_id, r, 1 c, 1 cs, 1 rs, 'td' tag, a as text from i union all select doc_id, r, 2, 1, 1, 'td', '' from i union all select doc_id, r, 3, 1, 1, 'td', b from i union all select doc_id, r, 4, 1, 1, 'td', c from i union all select doc_id, r, 5, 1, 1, 'td', d from i
+ union all select doc_id, h.* from (select distinct doc_id from i) cross join (values (1, 1, 1, 2, 'th', 'Item'), (1, 2, 1, 2, 'td', ''), (1, 3, 2, 1, 'th', 'Now'), (1, 5, 1, 1, 'th', 'Then'), (2, 3, 2, 1, 'td', 'USD'), (2, 5, 1, 1, 'td', 'EUR')) h)"""
 
-@register()
-def table_split(spark, sf_dir):
-    from sedimenta.functions.html import split_tables
 
-    cell = F.concat(F.lit("<td>"), F.col("l_extendedprice").cast("string"), F.lit("</td>"))
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(cell)), "").alias("row"))
-    return split_tables(li.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("<table><tr><th>Price</th>"), "row", F.lit("</tr></table>")).alias("html")))
+@register(f"""select doc_id, 0::bigint table_id, r::bigint r, c::bigint c, cs::bigint cs, rs::bigint rs, tag, text from {_CELLS}""")
+def table_grid(spark, sf_dir):
+    return html.table_grid(_order_tables(spark, sf_dir))
+
+
+# seven em hold the label and one pair; the dollar sign stays with its amount under one heading, but where its column has as
+# many headings as signs it counts as a label
+@register(f"""with n as (select l_orderkey doc_id, count(*) n from lineitem group by 1)
+ select doc_id, 0::bigint table_id, r::bigint r, c::bigint c, cs::bigint span, (case when c = 1 or c = 3 and n <= 2 then -1 when c = 5 then 1 else 0 end)::bigint part, text from {_CELLS} join n using (doc_id) where text <> ''""")
+def table_split(spark, sf_dir):
+    return html.split_tables(_order_tables(spark, sf_dir), budget=7.0)
 
 
 @register()
 def protect_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return d.select("conv_id", "turn", fragments.tokens(F.col("text")).alias("tokens"), fragments.protect(F.col("text")).alias("protected"))
+    """Fragments of every turn and every document, with their units protected."""
+    d = table(spark, sf_dir, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "turn", "text")
+    d = d.union(table(spark, sf_dir, "documents").select(F.lit("document"), "doc_id", F.lit(0).cast("long"), "text"))
+    return fragments.fragments(d, ["kind", "id", "turn"])
 
 
-@register()
+@register(r"""select conv_id, turn, regexp_extract_all(text, '(https?://[^\s<>]+|&[A-Za-z]+;|&#[0-9]+;|[^\s]*[0-9][^\s]*|[$€£¥%])', 1) tokens from conversations""")
+def unit_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", fragments.tokens(F.col("text")).alias("tokens"))
+
+
+_FOLD = """f as (select d, k, b, row_number() over (partition by d order by k) r from i), recursive_batches as (
+ select d, k, b, r, 0::bigint batch_id, 1 n, b used from f where r = 1 union all
+ select f.d, f.k, f.b, f.r, case when n >= 8 or used + f.b > 1200 then batch_id + 1 else batch_id end, case when n >= 8 or used + f.b > 1200 then 1 else n + 1 end, case when n >= 8 or used + f.b > 1200 then f.b else used + f.b end from recursive_batches t join f on f.d = t.d and f.r = t.r + 1)"""
+
+
+@register(f"""with recursive i as (select conv_id d, turn k, strlen(text) b from conversations), {_FOLD} select d conv_id, k turn, b n_bytes, batch_id from recursive_batches""")
 def batch_pack(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("n_bytes"))
     return fragments.batches(d, "conv_id", "turn", "n_bytes")
 
 
-@register("""with f as (select distinct sha256(text) k, strlen(text) b from conversations) select count(*) n_fragments, sum(b)::bigint input_bytes, count(*) filter (b > 1200) n_oversize from f""")
+@register(f"""with recursive x as (select conv_id, turn, sha256(text) key, strlen(text) b from conversations), y as (select distinct sha256(text) key from conversations where conv_id % 5 = 0), g as (select key, min((conv_id, turn, b)) m from x where key not in (select key from y) group by 1),
+ i as (select m[1] d, m[2] k, m[3] b from g), {_FOLD}
+ select count(*) n_fragments, sum(b)::bigint input_bytes, count(*) filter (b > 1200) n_oversize, count(distinct (d, batch_id)) n_requests, (select count(*) from x where key in (select key from y)) cache_hits from recursive_batches""")
 def translate_estimate(spark, sf_dir):
-    f = table(spark, sf_dir, "conversations").select(F.sha2("text", 256).alias("k"), F.octet_length("text").alias("b")).distinct()
-    return f.agg(F.count("*").alias("n_fragments"), F.sum("b").alias("input_bytes"), F.count_if(F.col("b") > 1200).alias("n_oversize"))
+    f = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return fragments.estimate(f, "conv_id", "turn", "key", "n_bytes", f.where("conv_id % 5 = 0").select("key"))
+
+
+@register("""select doc_id, sha256('2:v1' || '4:host' || '1:m' || '3:off' || '5:zh-CN' || strlen(text) || ':' || text) key from documents""")
+def cache_keys(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fragments.cache_key(F.col("text"), version="v1", endpoint="host", model="m", thinking="off", language="zh-CN").alias("key"))
+
+
+@register("""with r as (select conv_id run, turn pos, strlen(text) input_bytes, strlen(text) + 200 wire_bytes, row_number() over w n, sum(strlen(text)) over w i, sum(strlen(text) + 200) over w s from conversations window w as (partition by conv_id order by turn))
+ select run, pos, coalesce(bool_and(n <= 4 and i <= 1500 and s <= 2000 and wire_bytes <= 16384) over (partition by run order by pos), true) sent from r""")
+def request_ledger(spark, sf_dir):
+    b = F.octet_length("text").cast("long")
+    r = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), F.col("turn").alias("pos"), b.alias("input_bytes"), (b + 200).alias("wire_bytes"))
+    return fragments.ledger(r, max_requests=4, max_input_bytes=1500, max_wire_bytes=2000).select("run", "pos", "sent")
+
+
+@register("""select conv_id, string_agg('<p>' || replace(text, '<', '') || '</p>', '' order by turn) html from conversations group by 1""")
+def html_assembled(spark, sf_dir):
+    """Documents cut into nodes and pieces and put together again: the same bytes."""
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<p>"), F.replace("text", F.lit("<"), F.lit("")), F.lit("</p>")).alias("t"))
+    d = d.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda r: r["t"]), "").alias("html"))
+    return fragments.assembled(fragments.html_pieces(d, "conv_id", "html", 300), "conv_id")
 
 
 @register("""with a as (select doc_id, sha256(text) listed from documents), b as (select doc_id, sha256(case when doc_id % 5 = 0 then lower(text) else text end) found from documents where doc_id % 7 <> 0)
@@ -282,10 +458,74 @@ def asset_mismatch(spark, sf_dir):
 
 @register("""select o_orderkey, case (exists (from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R'))::int + (exists (from lineitem where l_orderkey = o_orderkey and l_returnflag = 'A'))::int
  when 2 then 'present' when 1 then 'partial' else 'missing' end status from orders""")
+def file_presence(spark, sf_dir):
+    has = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.col("l_returnflag") == "R").alias("r"), F.max(F.col("l_returnflag") == "A").alias("a"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey").join(has, "o_orderkey", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in "ra"})
+    return library.presence(rows, F.col("r"), F.col("a")).select("o_orderkey", "status")
+
+
+_RECORDS = """(select lpad(o_custkey::varchar, 10, '0') cik, lpad(o_orderkey::varchar, 10, '0') || '-26-000001' accn, case o_orderkey % 9 when 0 then 'publishing' when 1 then 'failed' else 'complete' end state, o_orderkey k from orders)"""
+
+
+def _records(spark, sf_dir):
+    k, num = F.col("o_orderkey"), lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
+    o = table(spark, sf_dir, "orders").select(num("o_custkey").alias("cik"), F.concat(num("o_orderkey"), F.lit("-26-000001")).alias("accn"), F.when(k % 9 == 0, "publishing").when(k % 9 == 1, "failed").otherwise("complete").alias("status"), k.alias("k"))
+    path = lambda kind: F.concat(F.lit("/books/"), "cik", F.lit("/"), "accn", F.lit(f" {kind}.epub"))
+    return o.withColumns({"original_path": path("en"), "output_path": path("zh"), "dir": F.concat(F.lit("/work/"), "cik", F.lit("/"), "accn")})
+
+
+def _inventory(records):
+    """Originals of all but each fifth, outputs of each second; some unfinished, some in another case, some copies elsewhere; sources and states."""
+    k = F.col("k")
+    have = lambda when, path, mode="file": records.where(when).select(path.alias("path"), F.lit(mode).alias("mode"), (k % 100).alias("size"), F.sha2(path, 256).alias("sha256"))
+    parts = [have(k % 5 != 0, F.col("original_path")), have(k % 2 == 0, F.col("output_path")), have(k % 14 == 3, F.concat("output_path", F.lit(".building.epub"))), have((k % 5 == 0) & (k % 11 == 0), F.upper("original_path")), have(k % 13 == 0, F.concat(F.lit("/books/copy/"), "accn", F.lit(".epub")))]
+    parts += [have(F.lit(True), F.concat("dir", F.lit(f"/{n}"))) for n in ("source.json", "translation.json", "page.htm")] + [have(F.lit(True), F.col("dir"), "directory")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@register(f"""select cik, accn, k % 5 <> 0 original_present, k % 2 = 0 output_present,
+ case when state = 'publishing' then 'publishing' when k % 55 = 0 then 'path in another case' when k % 14 = 3 then 'unfinished file' when k % 13 = 0 then 'another book of this filing' end blocked,
+ case when state = 'publishing' then 'recoverable' when k % 55 = 0 then 'unknown' when k % 14 = 3 then 'recoverable' when k % 13 = 0 then 'unknown' when k % 5 <> 0 and k % 2 = 0 then 'present' when k % 5 <> 0 or k % 2 = 0 then 'partial' else 'missing' end presence from {_RECORDS}""")
 def library_status(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
-    kept = lambda flag: li.where(F.col("l_returnflag") == flag).select("o_orderkey").distinct()
-    return library.status(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", kept("R"), kept("A"))
+    r = _records(spark, sf_dir)
+    return library.library_status(r, _inventory(r)).select("cik", "accn", "original_present", "output_present", "blocked", "presence")
+
+
+@register(f"""with f as (select '/work/' || cik || '/' || accn || n path, k % 100 size, r from {_RECORDS}, (values ('/source.json', 3), ('/translation.json', 1), ('/page.htm', 0)) v(n, r) where k % 10 = 5 and k % 9 <> 0 and k % 14 <> 3 and k % 13 <> 0 and k % 55 <> 0 and k % 4 = 1)
+ select path, size, row_number() over (order by r, path) place from f""")
+def cleaning_plan(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    inventory = _inventory(r)
+    status = library.library_status(r, inventory)
+    chosen = status.where("presence = 'missing' and k % 4 = 1").select("cik", "accn")
+    return library.cleaning_plan(status, inventory, chosen)[0].select("path", "size", "place")
+
+
+@register(f"""select cik, accn, 'found' as path_state, '/books/copy/' || accn || '.epub' path from {_RECORDS} where k % 13 = 0 and k % 2 = 1
+ union all select cik, accn, 'not found', null from {_RECORDS} where k % 13 <> 0 and k % 13 <> 1 and k % 50 = 0""")
+def relink_files(spark, sf_dir):
+    """Files found again by their content where their path is lost; those that a record owns are left out."""
+    r = _records(spark, sf_dir)
+    copy = F.concat(F.lit("/books/copy/"), "accn", F.lit(".epub"))
+    lost = r.where("k % 13 = 0 or (k % 13 <> 1 and k % 50 = 0)").select("cik", "accn", F.sha2(copy, 256).alias("sha256"))
+    owned = r.where("k % 13 = 0 and k % 2 = 0").select(F.upper(copy).alias("path"))
+    got = library.relink(_inventory(r).where("mode = 'file'"), lost, owned)
+    return got.where("error is null or cik is not null").select("cik", "accn", F.coalesce("error", F.lit("found")).alias("path_state"), F.try_element_at("paths", F.lit(1)).alias("path")).where("not (path_state = 'not found' and substring(accn, 1, 10) % 13 = 0)")
+
+
+@register(f"""with e as (select *, case k % 7 when 0 then 'start' when 1 then 'start' when 2 then 'stop' when 3 then 'stop' when 4 then 'built' when 5 then 'published' else 'other' end ev from (select *, case when k % 4 = 0 then 'translating' when k % 4 = 1 then 'publishing' else 'complete' end st from {_RECORDS}))
+ select cik, accn, case when ev = 'start' and k % 7 = 0 then 'translating' when ev = 'start' and k % 3 = 0 and st <> 'translating' then 'complete' when ev = 'stop' and st = 'translating' then case when k % 7 = 2 then 'paused' else 'failed' end when ev = 'built' and st = 'translating' then 'publishing' when ev = 'published' and st = 'publishing' then 'complete' else st end status,
+ case when ev = 'start' and k % 7 = 1 then case when k % 3 = 0 and st <> 'translating' then 'reused' else 'refused' end end outcome from e""")
+def translation_states(spark, sf_dir):
+    """One event for each record of the library: starts with and without an output on disk, stops, and publishing."""
+    k = F.col("k")
+    r = _records(spark, sf_dir).withColumns({"status": F.when(k % 4 == 0, "translating").when(k % 4 == 1, "publishing").otherwise("complete"), "fingerprint": F.lit("f"), "output_hash": F.lit("h"), "last_error": F.lit(None).cast("string")})
+    event = F.when(k % 7 < 2, "start").when(k % 7 < 4, "stop").when(k % 7 == 4, "built").when(k % 7 == 5, "published").otherwise("other")
+    events = r.select("cik", "accn", event.alias("event"), F.when(k % 3 == 0, "f").otherwise("g").alias("fingerprint"), F.lit("n").alias("output_hash"), F.when(k % 7 == 1, "h").alias("found_hash"), F.when(k % 7 == 2, "Limit reached").otherwise("broken").alias("message"))
+    return library.translation_step(r, events).select("cik", "accn", "status", "outcome")
 
 
 @register("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, lag(l_suppkey) over w is distinct from l_suppkey heading from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)""")
@@ -306,8 +546,173 @@ def subscription_upsert(spark, sf_dir):
     return library.upsert(old, new, "cik", ["name", "note"])
 
 
-@register("""with t as (select turn, unnest(regexp_extract_all(text, '[0-9][0-9,.]*')) as token from conversations)
- select token, sum((turn % 2 = 0)::int)::bigint n_a, sum((turn % 2 = 1)::int)::bigint n_b from t group by 1 having sum((turn % 2 = 0)::int) <> sum((turn % 2 = 1)::int)""")
+@register("""with t as (select doc_id, unnest(regexp_extract_all(text, '[a-z]{3}')) as token from documents)
+ select token, sum((doc_id % 2 = 0)::int)::bigint n_a, sum((doc_id % 2 = 1)::int)::bigint n_b from t group by 1 having sum((doc_id % 2 = 0)::int) <> sum((doc_id % 2 = 1)::int)""")
 def number_multiset_diff(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select("turn", F.explode(F.regexp_extract_all("text", F.lit("[0-9][0-9,.]*"), 0)).alias("token"))
-    return library.multiset_diff(t.where("turn % 2 = 0"), t.where("turn % 2 = 1"), "token")
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3}"), 0)).alias("token"))
+    return library.multiset_diff(t.where("doc_id % 2 = 0"), t.where("doc_id % 2 = 1"), "token")
+
+
+@register("""select c_custkey key, case when c_custkey % 3 = 0 then c_custkey % 2 <> 0 when c_custkey % 7 = 0 and c_custkey % 3 = 1 then true else c_custkey % 2 = 0 end enabled from customer where c_custkey % 3 < 2 or c_custkey % 7 <> 0""")
+def subscription_toggle(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    entries = c.where("key % 3 = 0 or key % 7 <> 0").withColumn("enabled", F.col("key") % 2 == 0)
+    return library.toggled(entries, "key", c.where("key % 3 = 0 or (key % 7 = 0 and key % 3 = 1)"))
+
+
+@register("""select c_custkey, case when c_name = '' then 'company' else replace(c_name, '#', '-') end as part, lpad(c_custkey::varchar, 10, '0') || ':' || 'a-' || c_nationkey as "key",
+ 'https://www.sec.gov/Archives/edgar/data/' || c_custkey || '/' || replace('0-' || c_nationkey, '-', '') || '/' url, case when strlen(c_mktsegment) <= 8 then c_mktsegment else c_mktsegment[1:8] || '…' end short, '&lt;' || c_mktsegment || ' &amp; &quot;co&quot;' esc from customer""")
+def filing_names(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), F.col("c_nationkey").cast("string")
+    return c.select(
+        "c_custkey", text.file_part(F.replace("c_name", F.lit("#"), F.lit("/")), "company").alias("part"), text.filing_key(F.col("c_custkey"), F.concat(F.lit(" a/"), n, F.lit(".."))).alias("key"), text.archive_url(F.col("c_custkey"), F.concat(F.lit("0-"), n)).alias("url"),
+        text.utf8_trimmed(F.col("c_mktsegment"), 8).alias("short"), text.escaped(F.concat(F.lit("<"), "c_mktsegment", F.lit(' & "co"'))).alias("esc"),
+    )
+
+
+@register("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_discount * 100 > 0 then regexp_replace(regexp_replace(format('{:.4f}', l_discount * l_quantity), '(\\.[0-9]{2}[0-9]?[1-9])0*$', '\\1'), '(\\.[0-9]{2})0+$', '\\1') else '0.00' end eps from lineitem where l_orderkey % 3 = 0""")
+def per_share_format(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", periods.per_share(F.col("l_discount") * F.col("l_quantity")).alias("eps"))
+
+
+@register("""select event_id, case event_type when 'error' then 'timeout' when 'click' then 'dns' when 'purchase' then 'tls' when 'signup' then 'unknown' else 'other' end kind from events""")
+def failure_kinds(spark, sf_dir):
+    m = F.when(F.col("event_type") == "error", "Read TIMEOUT, closed").when(F.col("event_type") == "click", "Name or service not known").when(F.col("event_type") == "purchase", "bad certificate").when(F.col("event_type") == "signup", "").otherwise("odd")
+    return table(spark, sf_dir, "events").select("event_id", text.failure_kind(m).alias("kind"))
+
+
+@register("""select event_id, case when value > 0 then greatest(0.0, least(1.0, (1 - least(1.0, 50.0 / (value + 1))) + 0.25 * least(1.0, 50.0 / (value + 1)))) end progress from events""")
+def shifted_progress(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", updates.shifted_progress(F.when(F.col("value") > 0, 0.25), F.lit(50.0), F.col("value") + 1).alias("progress"))
+
+
+# facts: orders as reports of two tags in two units, each filed once or twice
+_FACTS = """(select o_custkey cik, case when o_orderkey % 3 = 0 then 'Revenues' when o_orderkey % 3 = 1 then 'SalesRevenueNet' else 'Cash' end tag, case when o_orderkey % 10 = 0 then 'EUR' else 'USD' end unit, case when o_orderkey % 13 <> 0 then strftime(o_orderdate, '%Y-%m-%d') end start,
+ strftime(o_orderdate + to_days((case o_orderkey % 4 when 0 then 90 when 1 then 364 when 2 then 181 else 30 end)::int), '%Y-%m-%d') as end, case when o_orderkey % 17 <> 0 then (round(o_totalprice) * 20 + f * (o_orderkey % 2))::decimal(18,0) end val, o_orderkey::varchar accn, '200' || f || '-01-01' filed, 2 * o_orderkey + f pos from orders, (values (0), (1)) v(f) where f = 0 or o_orderkey % 5 = 0)"""
+
+
+def _facts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("f", F.explode(F.when(k % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    span = F.when(k % 4 == 0, 90).when(k % 4 == 1, 364).when(k % 4 == 2, 181).otherwise(30)
+    rows = o.select(
+        F.col("o_custkey").alias("cik"), F.when(k % 3 == 0, "Revenues").when(k % 3 == 1, "SalesRevenueNet").otherwise("Cash").alias("tag"), F.when(k % 10 == 0, "EUR").otherwise("USD").alias("unit"), F.when(k % 13 != 0, day("o_orderdate")).alias("start"),
+        day(F.date_add(F.to_date("o_orderdate"), span)).alias("end"), F.when(k % 17 != 0, F.round("o_totalprice") * 20 + F.col("f") * (k % 2)).cast("decimal(18,0)").alias("val"), k.cast("string").alias("accn"), F.concat(F.lit("200"), F.col("f").cast("string"), F.lit("-01-01")).alias("filed"),
+        (2 * k + F.col("f")).alias("pos"), F.lit("10-K").alias("form"),
+    )
+    return rows.join(_definitions(spark), "tag")
+
+
+def _definitions(spark):
+    return facts.definitions(spark, [("revenue", "duration", "USD", ["Revenues", "SalesRevenueNet", "Other"]), ("cash", "instant", "USD", ["Cash"])])
+
+
+_PERIODS = f"""f as (select *, case when tag = 'Cash' then 'instant' else 'duration' end kind from {_FACTS}), u as (select cik, tag, coalesce(min(unit) filter (unit = 'USD'), min(unit)) unit from f group by 1, 2), o as (select f.* from f join u using (cik, tag, unit)),
+ g as (select *, case when kind = 'duration' then start || '|' || "end" else "end" end span from o where "end" is not null and val is not null and (kind = 'instant' or start is not null)),
+ r as (select *, row_number() over w k, first_value(val) over w v, count(*) over (partition by cik, tag, span) n from g window w as (partition by cik, tag, span order by filed desc, accn desc, pos)),
+ p as (select cik, tag, any_value(unit) unit, span, max(start) filter (k = 1) start, max("end") as "end", max(v) val, max(n) - 1 folded, arg_min(val, k) filter (val <> v) prev, count(*) filter (val <> v) > 0 revised, max(kind) kind, max(accn) filter (k = 1) accn, max(filed) filter (k = 1) filed from r group by cik, tag, span),
+ q as (select *, case when kind = 'duration' then date_diff('day', start::date, "end"::date) + 1 end as days from p),
+ z as (select *, case when kind = 'instant' then 'I' when days <= 0 then null when days between 77 and 106 then 'Q' when days between 168 and 197 then 'H' when days between 259 and 289 then 'N9M' when days between 351 and 380 then 'FY' else 'X' end caliber from q),
+ i as (select cik, tag, o.unit, count(*) entries, count(*) filter (val is null or (kind = 'duration' and start is null)) skipped from o group by 1, 2, 3),
+ j as (select i.*, coalesce(n, 0) periods, coalesce(d, 0) dup_groups, coalesce(v, 0) revised, newest, oldest from i left join (select cik, tag, count(*) n, count(*) filter (folded > 0) d, count(*) filter (revised) v, max("end") newest, min("end") oldest from z group by 1, 2) using (cik, tag)),
+ m as (select * from (values ('revenue', 0, 'Revenues', 1), ('revenue', 0, 'SalesRevenueNet', 2), ('revenue', 0, 'Other', 3), ('cash', 1, 'Cash', 1)) v(metric, metric_pos, tag, tag_rank)),
+ a as (select c.cik, m.*, newest, case when periods > 0 then 'ok' when entries is not null then 'no period' when m.tag = 'Other' then 'never reported' else 'not got: not asked' end status from (select distinct cik from f) c cross join m left join j on j.cik = c.cik and j.tag = m.tag),
+ b as (select *, status = 'ok' and row_number() over (partition by cik, metric order by (status <> 'ok')::int, coalesce(newest, '') desc, tag_rank) = 1 chosen from a)"""
+
+
+@register(f"""with {_PERIODS} select cik, tag, unit, start, "end", val, folded, prev, revised, days, caliber, row_number() over (partition by cik, tag order by "end" desc, coalesce(start, '') desc)::int period_pos from z""")
+def fact_periods(spark, sf_dir):
+    got, _ = facts.periods(_facts(spark, sf_dir), ["cik", "tag"])
+    return got.select("cik", "tag", "unit", "start", "end", F.col("val").cast("decimal(18,0)").alias("val"), "folded", "prev", "revised", F.col("days").cast("long").alias("days"), "caliber", "period_pos")
+
+
+@register(f"""with {_PERIODS} select *, case when periods = 0 then 'no period' end error from j""")
+def fact_info(spark, sf_dir):
+    return facts.periods(_facts(spark, sf_dir), ["cik", "tag"])[1]
+
+
+def _chosen(spark, sf_dir):
+    got, info = facts.periods(_facts(spark, sf_dir), ["cik", "tag"])
+    ciks = _facts(spark, sf_dir).select("cik").distinct()
+    errors = ciks.select("cik", F.lit("Other").alias("tag"), F.lit(404).alias("code"), F.lit("").alias("message"))
+    return got, facts.candidates(_definitions(spark), ciks, info, errors)
+
+
+@register(f"""with {_PERIODS} select cik, metric, tag, tag_rank, status, newest, chosen from b""")
+def fact_candidates(spark, sf_dir):
+    return _chosen(spark, sf_dir)[1].select("cik", "metric", "tag", "tag_rank", "status", "newest", "chosen")
+
+
+_REPORT = f"""{_PERIODS}, s as (select z.*, b.metric, case when caliber = 'Q' then 'Q' when caliber = 'I' then 'I' when caliber = 'X' then 'OTHER' else 'CUM' end grp, max(z."end"::date) over (partition by z.cik, metric) top from z join b on b.cik = z.cik and b.tag = z.tag and chosen),
+ t as (select *, row_number() over (partition by cik, metric, grp order by "end" desc, coalesce(start, '') desc) k from s where date_diff('day', "end"::date, top) <= 1100), y as (select * from t where k <= case grp when 'Q' then 8 when 'I' then 8 when 'CUM' then 6 else 4 end),
+ x as (select cik, metric, count(*) filter (grp = 'Q') >= 2 and count(distinct quarter("end"::date)) filter (grp = 'Q') >= 2 ok, count(distinct substr(start, 6, 2)) filter (caliber = 'FY' and start is not null) > 1 mixed, max(filed) mx from y group by 1, 2),
+ h as (select y.*, x.ok from y join x using (cik, metric) where grp <> 'Q' or ok), e as (select *, max(abs(val)) over (partition by cik, metric) >= 1000000 big from h)"""
+
+
+@register(f"""with {_REPORT} select cik, metric, grp as "group", k::int as "rank", "end", case when caliber = 'I' then "end" when caliber = 'Q' then "end"[1:4] || ' Q' || quarter("end"::date) when caliber in ('H', 'N9M', 'FY') then case caliber when 'H' then 'half year' when 'N9M' then 'nine months' else 'full year' end || ' (' || "end"[1:7] || ')' else coalesce(days, 0) || ' days (' || start || ')' end as label,
+ case when caliber = 'I' or start is null then "end" else start || ' ~ ' || "end" end as range, case when big then regexp_replace(format('{{:,.1f}}', round(val / 1000000, 1)::double), '\\.0$', '') else format('{{:,}}', val::bigint) end as text, big as millions from e""")
+def fact_report(spark, sf_dir):
+    got, chosen = _chosen(spark, sf_dir)
+    return facts.report(got, chosen)[0].select("cik", "metric", "group", "rank", "end", "label", "range", "text", (F.col("scale") == 1_000_000).alias("millions"))
+
+
+@register(f"""with {_REPORT}, c as (select cik, max(filed) as_of from s group by 1), n as (select cik, metric, count(*) n_shown from h group by 1, 2), l as (select cik, metric, bool_or(chosen) available, max(tag) filter (chosen) tag, string_agg(tag || ' (' || status || ')', '; ' order by tag_rank) tried from b group by 1, 2)
+ select l.cik, l.metric, available, l.tag, as_of, coalesce(n_shown, 0) n_shown, x.ok quarters_ok, x.mixed mixed_yearly, case when not available then tried end why from l left join c using (cik) left join n using (cik, metric) left join x using (cik, metric)""")
+def fact_summary(spark, sf_dir):
+    got, chosen = _chosen(spark, sf_dir)
+    return facts.report(got, chosen)[1].select("cik", "metric", "available", "tag", "as_of", "n_shown", "quarters_ok", "mixed_yearly", "why")
+
+
+# listings: orders of a customer as a main listing and shards of one status each
+_LISTED = """(select o_custkey cik, case o_orderstatus when 'O' then 0 when 'F' then 1 else 2 end source_pos, o_orderkey, o_orderpriority || case when o_orderkey % 4 = 0 then '/A' else '' end form, strftime(o_orderdate, '%Y-%m-%d') date, case when o_orderkey % 8 = 0 then '' else (o_orderkey // 3)::varchar end accn from orders)"""
+_FILTER = {"forms": ["1-URGENT", "2-high", " "], "since": "1995-01-01", "max_total": 3, "limit": 2}
+
+
+def _sources(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("cik"), F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("source_pos"), k,
+        F.concat("o_orderpriority", F.when(k % 4 == 0, "/A").otherwise("")).alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.when(k % 8 == 0, "").otherwise(F.floor(k / 3).cast("string")).alias("accn"),
+    )
+    every = o.select("cik").distinct().withColumn("source_pos", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    per = o.groupBy("cik", "source_pos").agg(F.array_sort(F.collect_list(F.struct(k, "form", "date", "accn"))).alias("x"))
+    have = F.coalesce("x", F.array().cast("array<struct<o_orderkey:bigint,form:string,date:string,accn:string>>"))
+    cols = F.struct(F.transform(have, lambda r: r["form"]).alias("form"), F.transform(have, lambda r: r["date"]).alias("filingDate"), F.transform(have, lambda r: r["accn"]).alias("accessionNumber"))
+    body = F.when(F.col("source_pos") == 0, F.to_json(F.struct(F.lit("Co").alias("name"), F.struct(cols.alias("recent")).alias("filings")))).otherwise(F.to_json(cols))
+    rows = every.join(per, ["cik", "source_pos"], "left")
+    lost = (F.col("source_pos") == 2) & (F.col("cik") % 7 == 0)
+    name = F.when((F.col("source_pos") == 1) & (F.col("cik") % 5 == 0), "odd.json").otherwise(F.concat(F.lit("CIK1-submissions-00"), F.col("source_pos").cast("string"), F.lit(".json")))
+    return rows.select("cik", "source_pos", name.alias("name"), F.when((F.col("source_pos") == 2) & (F.col("cik") % 11 == 0), "1994-12-31").otherwise("1999-12-31").alias("filing_to"), F.when(~lost, body).alias("body"), F.when(lost, "net").alias("error"))
+
+
+_SCAN = f"""l as (select *, row_number() over (partition by cik, source_pos order by o_orderkey, form, date, accn) rp from {_LISTED} where not (source_pos = 2 and (cik % 7 = 0 or cik % 11 = 0)) and not (source_pos = 1 and cik % 5 = 0)),
+ d as (select *, accn <> '' and row_number() over (partition by cik, accn order by source_pos, rp) > 1 dup, regexp_matches(form, '^(1-URGENT|2-HIGH)(/A)?$') and date >= '1995-01-01' hit from l),
+ s as (select *, coalesce(sum((not dup and hit)::int) over (partition by cik order by source_pos, rp rows between unbounded preceding and 1 preceding), 0) >= 3 full_ from d), t as (select *, not dup and full_ trip from s),
+ m as (select *, coalesce(sum(trip::int) over (partition by cik order by source_pos, rp rows between unbounded preceding and 1 preceding), 0) past from t), r as (select *, not dup and hit and not full_ ret from m where past = 0),
+ e as (select *, row_number() over (partition by cik order by date desc, accn desc, source_pos, rp) k from r where ret)"""
+
+
+@register(f"""with {_SCAN} select cik, k::int as "rank", form, date, accn from e where k <= 2""")
+def listing_entries(spark, sf_dir):
+    return filings.list_filings(_sources(spark, sf_dir), filings.Filter(**_FILTER))[0].select("cik", "rank", "form", "date", "accn")
+
+
+@register(f"""with {_SCAN}, c as (select distinct cik from {_LISTED}), p as (select cik, count(*) filter (not dup) scanned, count(*) filter (dup) duplicates, count(*) filter (ret) n, bool_or(trip) full_, max(source_pos) filter (trip) tp from r group by 1),
+ v as (select c.cik, coalesce(scanned, 0) scanned, coalesce(duplicates, 0) duplicates, coalesce(n, 0) matched_before_limit, least(coalesce(n, 0), 2) matched, coalesce(full_, false) budget_full, coalesce(tp, 9) tp, c.cik % 5 = 0 odd, c.cik % 7 = 0 lost, c.cik % 11 = 0 old from c left join p using (cik))
+ select cik, scanned, duplicates, matched_before_limit, matched, 3::bigint sources_total, 1 + (tp >= 1 and not odd)::int + (tp >= 2 and not old and not lost)::int sources_used, (tp >= 1 and odd)::int + (tp >= 2 and not old and lost)::int sources_failed, (tp < 1)::int + (tp < 2 or old)::int sources_skipped, budget_full,
+ not budget_full and old stopped_by_since, budget_full or matched_before_limit > 2 or (tp >= 2 and not old and lost) truncated,
+ case when budget_full or matched_before_limit > 2 or (tp >= 2 and not old and lost) or (tp >= 1 and odd) then 'partial' when not budget_full and old then 'since_window' else 'full' end scope from v""")
+def listing_envelopes(spark, sf_dir):
+    return filings.list_filings(_sources(spark, sf_dir), filings.Filter(**_FILTER))[1].drop("company", "tickers", "error")
+
+
+@register(f"""with {_SCAN} select r.cik, r.form, count(*) n_all, count(*) filter (r.date >= '1995-01-01') n_window, count(*) filter (k <= 2) n_entries from r left join e on e.cik = r.cik and e.source_pos = r.source_pos and e.rp = r.rp where not r.dup group by 1, 2""")
+def listing_histograms(spark, sf_dir):
+    return filings.list_filings(_sources(spark, sf_dir), filings.Filter(**_FILTER))[2]
+
+
+@register(f"""select accn, date, row_number() over (order by date desc, accn desc) as "rank" from {_ORDERS} qualify "rank" between 41 and 60""")
+def listing_page(spark, sf_dir):
+    return filings.page(_orders(spark, sf_dir).select("accn", "date"), [F.desc("date"), F.desc("accn")], 3)

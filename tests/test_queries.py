@@ -42,22 +42,6 @@ def test_batches_keep_order_and_limits(spark):
         assert len(own) <= 8 and sum(own) <= 1200
 
 
-def test_validate():
-    from sedimenta.operators.fragments import validate
-
-    assert validate("zahlt SECX1X am SECX2X", ["$5", "2020-01-01"]) == (True, "zahlt $5 am 2020-01-01")
-    assert not validate("SECX2X SECX1X", ["a1", "b2"])[0]
-    assert not validate("neu 7 SECX1X", ["a1"])[0]
-
-
-def test_split_keeps_all_cells(spark):
-    from sedimenta.functions.html import split_tables
-
-    html = "<table>" + "".join("<tr>" + "".join(f"<td>cell {r} {c}</td>" for c in range(15)) + "</tr>" for r in range(3)) + "</table>"
-    got = split_tables(spark.createDataFrame([(1, html)], "doc_id long, html string")).collect()
-    assert len(got) == 45 and len({r["part"] for r in got}) > 2
-
-
 def test_forms(spark):
     from pyspark.sql import functions as F
 
