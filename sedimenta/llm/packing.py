@@ -7,10 +7,12 @@ starts at the tightest bin that is large enough and goes on to its successors un
 compatible: no second document of a cluster, at most ``max_sources`` sources, and no two sources
 that are kept apart.  If none is, a new bin opens.
 
-Rows are dealt by a hash of the id into blocks of bounded size, each packed by itself; copies
-spread evenly, so a large cluster loads all blocks alike.  Where a column holds training positions,
-blocks are ranges of it instead, so that bin ids follow training order from block to block.  Null and empty texts have no token and
-get no bin (null).  Repeated rows, and rows without an id, are packed each, copies in different bins.
+Rows are dealt by a hash of their id and place in the table into blocks of bounded size, each packed
+by itself; copies, and rows without an id, spread evenly, so a large cluster loads all blocks alike.
+Where a column holds training positions, blocks are ranges of it instead, so that bin ids follow
+training order from block to block.  Null and empty texts have no token and get no bin (null).
+Repeated rows, and rows without an id, are packed each, copies in different bins.  An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.mixing import n_words
+from sedimenta.llm.tables import written
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -33,6 +36,8 @@ CAPACITY = 2048
 MAX_SOURCES = 4
 #: Tokens and rows of a block, about.
 BLOCK_TOKENS, BLOCK_ROWS = 4_000_000, 20_000
+#: Tasks at most (beyond that a task packs several blocks in turn), and rows of a batch that goes back to Spark.
+PARTITIONS, OUT_ROWS = 20_000, 10_000
 
 
 def pack(sizes: Sequence[int], sources: Sequence[int], clusters: Sequence[int], capacity: int, max_sources: int, apart: Sequence[int]) -> tuple[list[int], list[int]]:
@@ -64,56 +69,74 @@ def pack(sizes: Sequence[int], sources: Sequence[int], clusters: Sequence[int],
     return bins, at
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, max_sources: int = MAX_SOURCES, apart: Sequence[tuple[str, str]] = (), place: str | None = None) -> DataFrame:
+def _packed(rows: list[tuple], capacity: int, max_sources: int, apart: Sequence[tuple[str, str]], first: int) -> tuple[list[tuple], int]:
+    """Pieces of a block's rows (doc_id, source, n_tokens, cluster), bins numbered from first; and the next number."""
+    rows = sorted(rows, key=lambda r: (-r[2], r[0] is not None, r[0] or "", r[3]))
+    names = sorted({r[1] for r in rows if r[1] is not None} | {y for p in apart for y in p}) + [None]
+    number = {x: k for k, x in enumerate(names)}
+    mask = [0] * len(names)
+    for x, y in apart:
+        mask[number[x]] |= 1 << number[y]
+        mask[number[y]] |= 1 << number[x]
+    twice = {c: k for k, c in enumerate(sorted(c for c, n in Counter(r[3] for r in rows).items() if n > 1))}
+    out: list[tuple] = []
+    rest: list[tuple] = []
+    for doc, source, n, cluster in rows:
+        if not n:
+            out.append((doc, 0, 0, 0, None, None))
+        for piece in range(n // capacity):
+            out.append((doc, piece, piece * capacity, capacity, first, 0))
+            first += 1
+        if n % capacity:
+            rest.append((doc, n // capacity, n // capacity * capacity, n % capacity, number[source], twice.get(cluster, -1)))
+    bins, at = pack([r[3] for r in rest], [r[4] for r in rest], [r[5] for r in rest], capacity, max_sources, mask)
+    out += [(*r[:4], first + b, a) for r, b, a in zip(rest, bins, at, strict=True)]
+    return out, first + max(bins, default=-1) + 1
+
+
+def pack_documents(
+    docs: DataFrame, *, capacity: int = CAPACITY, max_sources: int = MAX_SOURCES, apart: Sequence[tuple[str, str]] = (), place: str | None = None, cluster: str | None = None
+) -> DataFrame:
     """doc_id, piece, start (first token), n_tokens, bin_id and offset (place in its bin) of every piece.
 
-    Tokens are words; the duplicate cluster is a digest of the words in lower case.  place names the
-    column of training positions, if there is one.
+    Tokens are words; the duplicate cluster is the column that cluster names, or else a digest of the
+    words in lower case.  place names the column of training positions, if there is one.
     """
     words = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")))
-    # ids travel as text: pandas would turn whole numbers beside a null into floats
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", n_words().alias("n_tokens"), F.xxhash64(words).alias("cluster"), (F.col(place).cast("double") if place else F.lit(None).cast("double")).alias("place"))
+    digest = F.xxhash64(F.col(f"`{cluster}`") if cluster else words)
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", n_words().alias("n_tokens"), digest.alias("cluster"), (F.col(f"`{place}`").cast("double") if place else F.lit(None).cast("double")).alias("place"))
+    rows = written(rows, "sizes")  # narrow; texts are read once
     total = rows.agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).first()
     blocks = max(1, math.ceil((total["t"] or 0) / BLOCK_TOKENS), math.ceil(total["n"] / BLOCK_ROWS))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "cluster"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        names = sorted({x for x in pdf["source"] if x is not None} | {y for p in apart for y in p}) + [None]
-        number = {x: k for k, x in enumerate(names)}
-        mask = [0] * len(names)
-        for x, y in apart:
-            mask[number[x]] |= 1 << number[y]
-            mask[number[y]] |= 1 << number[x]
-        twice = {c: k for k, c in enumerate(sorted(c for c, n in Counter(pdf["cluster"]).items() if n > 1))}
-        out: list[tuple] = []
-        rest: list[tuple] = []
-        closed = 0
-        for doc, source, n, cluster in pdf[["doc_id", "source", "n_tokens", "cluster"]].itertuples(index=False, name=None):
-            if not n:
-                out.append((doc, 0, 0, 0, None, None))
-            for piece in range(n // capacity):
-                out.append((doc, piece, piece * capacity, capacity, closed, 0))
-                closed += 1
-            if n % capacity:
-                rest.append((doc, n // capacity, n // capacity * capacity, n % capacity, number[source], twice.get(cluster, -1)))
-        bins, at = pack([r[3] for r in rest], [r[4] for r in rest], [r[5] for r in rest], capacity, max_sources, mask)
-        out += [(*r[:4], closed + b, a) for r, b, a in zip(rest, bins, at, strict=True)]
-        got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "n_tokens", "bin_id", "offset"])
-        for c in ("bin_id", "offset"):
-            got[c] = got[c].astype("Int64")
-        got["bin_id"] += int(key[0]) << 32
-        return got
-
-    block = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(blocks))
-    if place and blocks > 1:
-        ends = rows.agg(F.percentile_approx("place", [k / blocks for k in range(1, blocks)], 100 * blocks)).first()[0]
-        ends = np.array(ends or [], float)
-
-        def ranged(places: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(ends, places.fillna(-np.inf).to_numpy(), "left").astype(np.int64))
-
-        block = F.pandas_udf(ranged, "long")("place")
-    dealt = rows.withColumn("block", block).drop("place")
-    packed = dealt.groupBy("block").applyInPandas(run, "doc_id string, piece long, start long, n_tokens long, bin_id long, offset long")
-    return packed.withColumn("doc_id", F.col("doc_id").cast(id_type))
+    most_rows, most_tokens = 2 * BLOCK_ROWS, 2 * BLOCK_TOKENS
+    names = ["doc_id", "piece", "start", "n_tokens", "bin_id", "offset"]
+    kinds = [pa.string(), *[pa.int64()] * 5]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        tokens, bin_ = 0, TaskContext.get().partitionId() << 32
+
+        def block() -> Iterator[pa.RecordBatch]:
+            nonlocal bin_, tokens
+            out, bin_ = _packed(held, capacity, max_sources, apart, bin_)
+            held.clear()
+            tokens = 0
+            for k in range(0, len(out), OUT_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + OUT_ROWS], strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if len(held) >= most_rows or tokens >= most_tokens:
+                    yield from block()
+                held.append(row)
+                tokens += row[2]
+        if held:
+            yield from block()
+
+    salted = rows.withColumn("salt", F.monotonically_increasing_id())  # fixed by the table's files
+    if place:
+        dealt = salted.repartitionByRange(min(blocks, PARTITIONS), "place", "salt").sortWithinPartitions("place", "salt")
+    else:
+        dealt = salted.repartition(min(blocks, PARTITIONS), F.xxhash64(F.lit(5), "doc_id", "salt"))
+    packed = dealt.select("doc_id", "source", "n_tokens", "cluster").mapInArrow(run, "doc_id string, piece long, start long, n_tokens long, bin_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
