@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import jaccard_join, language_id, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filter, vector_search
-from sedimenta.llm.tables import read, remainder
+from sedimenta.llm.tables import bounded_batches, read, remainder
 
 #: Tokens beyond which a document is over the limit.
 TOKEN_LIMIT = 1024
@@ -21,7 +21,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as files
 
     counted = token_counts.count_tokens(
-        read(spark, sf_dir, "documents", "doc_id", "text"), token_counts.new_cache(spark), files.path("byte_bpe_50k.json"),
+        read(spark, sf_dir, "documents", "doc_id", "text"), token_counts.session_cache(spark), files.path("byte_bpe_50k.json"),
         ranks_path=files.path("byte_bpe_50k.tiktoken"), pattern=files.PATTERN, specials={"<|endoftext|>": 50256},
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -63,5 +63,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_vector_search, op5_url_filter, op6_mixing, op7_toxicity, op8_language_id, op9_suffix_dedup, op10_jaccard_join)}
+def _prepared(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {
+    f.__name__: _prepared(f)
+    for f in (
+        op1_quality_rules, op2_token_counts, op3_packing, op4_vector_search, op5_url_filter,
+        op6_mixing, op7_toxicity, op8_language_id, op9_suffix_dedup, op10_jaccard_join,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

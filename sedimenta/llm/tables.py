@@ -24,8 +24,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of a Parquet table; batches for Python workers are kept small."""
-    bounded_batches(spark)
+    """The named columns of a Parquet table."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 

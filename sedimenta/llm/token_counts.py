@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.blocks import blocks
-from sedimenta.llm.tables import shared_folder
+from sedimenta.llm.tables import shared_folder, written
 
 #: Texts that a worker encodes at once.
 ENCODE_ROWS = 64
@@ -99,7 +99,8 @@ def count_tokens(docs: DataFrame, cache: str, path: str, *, ranks_path: str | No
 
     fresh = missing.repartition("digest").mapInArrow(encode, "digest binary, n_tokens long")
     fresh.withColumn("version", F.lit(tag)).write.mode("append").parquet(cache)
-    known = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # as a table, so that the join below reads it straight and a digest of many copies can be split over tasks
+    known = written(stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     narrow = source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return narrow.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
 
@@ -110,5 +111,6 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     return fs.exists(path) and len(fs.listStatus(path)) > 0
 
 
-def new_cache(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}-token-cache"
+def session_cache(spark: SparkSession) -> str:
+    """The cache folder that the setting sedimenta.token.cache names, which lasts between runs; else a new one."""
+    return spark.conf.get("sedimenta.token.cache", None) or f"{shared_folder(spark)}-token-cache"
