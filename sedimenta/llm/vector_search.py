@@ -7,14 +7,16 @@ queries are answered exactly, and visits widen until their neighbours are found
 recall.  Largest inner products become smallest distances by one more coordinate that lifts all
 rows to the same norm.
 
-Neighbouring leaves form regions, each compared by one task, which merges a query's leaves.  The
-queue's first leaves are compared first; the last score that a query needs of them is its floor,
-and of the leaves visited later only rows that reach the floor are returned.
+Neighbouring leaves form regions, each compared by one task, which merges a query's leaves; a region
+that many queries visit is compared by several tasks, each with a part of them.  The queue's first
+leaves are compared first; the last score that a query needs of them is its floor.  Leaves visited
+later are left out where their centre and radius show that no row reaches the floor, and of the
+others only rows that reach it are returned.
 
 Equal vectors: neighbours need the smallest ids of each distinct vector only, one more than the
 rows asked for, so a vector that a third of all rows share does not fill a leaf; equal query
 vectors are searched once.  Vectors that are null, zero, or hold null or non-finite components take
-no part, nor do vectors of another length than the longest run of equal lengths (the usual one).
+no part.  Vectors are compared with those of their own length only; each length has its own tree.
 With fewer candidates than asked for, all are returned.
 """
 
@@ -24,6 +26,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,6 +42,8 @@ SAMPLE, BRANCHES, LEAF_ROWS = 16_000, 8, 192
 BLOCK_ROWS = 4096
 #: Leaves of the queue that are compared before the others, for a floor.
 FIRST_LEAVES = 8
+#: Queries of a region that one task compares, about.
+TASK_QUERIES = 2048
 #: Calibration queries and the recall at which widening stops.
 CALIBRATION, RECALL = 96, 0.97
 
@@ -51,6 +56,15 @@ class Tree:
     children: list[list[int]] = field(default_factory=list)
     leaves: int = 0
 
+    def leaf_centres(self, width: int) -> np.ndarray:
+        """The centre of each leaf; zero for a tree without branches."""
+        out = np.zeros((max(1, self.leaves), width))
+        for c, children in zip(self.centres, self.children, strict=True):
+            for k, child in enumerate(children):
+                if child < 0:
+                    out[-child - 1] = c[k]
+        return out
+
     def leaf(self) -> int:
         self.leaves += 1
         return -self.leaves
@@ -172,9 +186,6 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda e: e != 0))
-    lengths = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if lengths:
-        v = v.where(F.size("vec") == lengths[0]["n"])
     return v.withColumn("digest", F.md5(F.array_join(F.transform("vec", lambda e: (e + 0.0).cast("string")), ",")))
 
 
@@ -182,11 +193,14 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, sample: int = SA
     """query_id, rank, vec_id, score: the k nearest rows found of every row whose id is divisible by every."""
     spark = vectors.sparkSession
     table = written(usable(vectors), "vectors")
-    size = table.agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, e: a + e * e)).alias("top")).first()
-    rows, top = size["n"], size["top"] or 0.0
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not rows:
-        return spark.createDataFrame([], schema)
+    squares = F.aggregate("vec", F.lit(0.0), lambda a, e: a + e * e)
+    lengths = table.groupBy(F.size("vec").alias("width")).agg(F.count("*").alias("n"), F.max(squares).alias("top")).orderBy("width").collect()  # a row for each length
+    parts = [_search(table.where(F.size("vec") == r["width"]), r["width"], r["n"], r["top"], k, every, sample, recall, leaf_rows) for r in lengths]
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(table: DataFrame, width: int, rows: int, top: float, k: int, every: int, sample: int, recall: float, leaf_rows: int) -> DataFrame:
+    spark = table.sparkSession
     by_vector = Window.partitionBy("digest").orderBy("vec_id")
     candidates = table.withColumn("copy", F.row_number().over(by_vector)).where(F.col("copy") <= k + 1).drop("copy")
     queries = table.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vec", "digest")
@@ -198,27 +212,37 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, sample: int = SA
     tree = fit(x, max(BRANCHES, math.ceil(leaf_rows * len(x) / rows))) if len(x) else Tree(leaves=1)
     tree_ = spark.sparkContext.broadcast(tree)  # at most the sample's size
 
+    centres = tree.leaf_centres(width + 1)[:, :width]
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaf = tree_.value.descend(_lift(_matrix(batch.column(1)), top))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), batch.column(0), batch.column(1)], ["leaf", "vec_id", "vec"])
+                x = _matrix(batch.column(1))
+                leaf = tree_.value.descend(_lift(x, top))
+                far = np.sqrt(((x - centres[leaf]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), batch.column(0), batch.column(1), pa.array(far)], ["leaf", "vec_id", "vec", "far"])
 
-    index = written(candidates.select("vec_id", "vec").mapInArrow(place, "leaf long, vec_id long, vec array<double>"), "index")
+    index = written(candidates.select("vec_id", "vec").mapInArrow(place, "leaf long, vec_id long, vec array<double>, far double"), "index")
     visits = _calibrate(heads, index, tree, top, k, recall, draw)
-    held = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # a row for each leaf
-    place_of = regions(held, BLOCK_ROWS)
+    per_leaf = index.groupBy("leaf").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # a row for each leaf
+    radius = np.zeros(len(centres))
+    radius[[r["leaf"] for r in per_leaf]] = [r["far"] for r in per_leaf]
+    place_of = regions({r["leaf"]: r["n"] for r in per_leaf}, BLOCK_ROWS)
     where = spark.createDataFrame([(leaf, *r) for leaf, r in place_of.items()], "leaf long, start long, n long")
     dealt = index.join(where, "leaf").select((F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).alias("region"), "leaf", "vec_id", "vec")
 
     def walk(first: int, last: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                q = _lift(_matrix(batch.column(1)), 0.0) if batch.num_rows else np.zeros((0, 1))
+                x = _matrix(batch.column(1)) if batch.num_rows else np.zeros((0, width))
+                q, floor = _lift(x, 0.0), batch.column(2).to_numpy()
+                norm = np.sqrt((x * x).sum(1))
                 at, region, leaves = [], [], []
                 for i in range(len(q)):
                     met: dict[int, list[int]] = {}
-                    for leaf in tree_.value.best_first(q[i], last)[first:]:
+                    order = np.array(tree_.value.best_first(q[i], last)[first:], np.int64)
+                    bound = centres[order] @ x[i] + norm[i] * radius[order]
+                    for leaf in order[bound >= floor[i] - 1e-6 * (1 + abs(bound))].tolist():
                         start, n = place_of.get(leaf, (0, 0))
                         for r in range(start, start + n):
                             met.setdefault(r, []).append(leaf)
@@ -248,7 +272,11 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, sample: int = SA
 
     def visit(asked: DataFrame, first: int, last: int) -> DataFrame:
         asked = asked.select("head", "qvec", "floor").mapInArrow(walk(first, last), "region long, head long, qvec array<double>, floor double, leaves array<long>")
-        return asked.groupBy("region").cogroup(dealt.groupBy("region")).applyInPandas(compare, "head long, vec_id long, score double")
+        asked = written(asked, f"asked{first}")
+        parts = asked.groupBy("region").agg(F.ceil(F.count("*") / F.lit(TASK_QUERIES)).cast("int").alias("parts"))
+        left = asked.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int")).drop("parts")
+        right = dealt.join(parts, "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return left.groupBy("region", "part").cogroup(right.groupBy("region", "part")).applyInPandas(compare, "head long, vec_id long, score double")
 
     by_head = Window.partitionBy("head").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.withColumn("place", F.row_number().over(by_head)).where(F.col("place") <= k + 1)
