@@ -27,22 +27,33 @@ SIZES = (3, 4, 5, 6)
 #: (rule, verdict)
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
-#: Words of unwanted and of ordinary hosts and paths, from which labelled() makes its table.
-UNWANTED = ["spam", "adult", "xxx", "casino", "poker-bonus", "betting", "pills-cheap", "pharma-deal", "free-money", "click-bait", "porn", "sex-cam", "loan-fast", "warez", "malware"]
-ORDINARY = ["news", "blog", "docs", "wiki", "shop", "library", "museum", "school", "garden", "weather", "recipes", "travel", "forum", "science", "history", "music", "sport", "city", "theatre", "archive", "shore"]
+#: Words from which labelled() makes its table: topics that block lists usually hold, and everyday ones.  Fixed values.
+UNWANTED = """spam adult casino poker betting slots jackpot roulette lottery gamble porn xxx sex nude escort camgirls hookup viagra pills
+pharma steroids weightloss payday loans quickcash freemoney bitcoindoubler forex scam phishing malware virus trojan warez
+crack keygen torrent piracy clickbait popup tracker banner ads advert affiliate redirect giveaway prize winner coupon
+cheap replica fakeid essaywriter hacked exploit botnet""".split()
+ORDINARY = """news blog docs wiki shop library museum school garden weather recipes travel forum science history music sport city
+theatre archive university hospital church kitchen painting poetry football cycling hiking river mountain village
+railway airport market bakery carpenter physics chemistry biology geology astronomy language grammar dictionary
+software database compiler research journal college student teacher family children parents health nutrition yoga
+novel cinema orchestra gallery festival harbour forest farming weather climate energy economy parliament council""".split()
 PREFIXES = ["", "www.", "m.", "blog."]
-ENDINGS = [".com", ".org", ".net", ".example.com", ".example.org", ".example.net"]
+ENDINGS = [".com", ".org", ".net", ".info", ".example.com", ".example.org", ".example.net"]
 PATHS = ["/", "/en/12", "/de/345.html", "/fr/678?page=2", "/es/90/", "/a/b#top", ""]
 
 
 def labelled() -> list[tuple[str, int]]:
-    """A small labelled table: 1 marks URLs to block.  Prefixes, endings and paths occur with both labels."""
-    out, paths = [], PATHS
+    """A small labelled table: 1 marks URLs to block.
+
+    Hosts are single words, and pairs of words of one kind with and without a hyphen.  Prefixes,
+    endings and paths occur with both labels alike, so that only the words tell them apart.
+    """
+    out = []
     for words, label in ((UNWANTED, 1), (ORDINARY, 0)):
-        for i, w in enumerate(words):
-            for j, e in enumerate(ENDINGS):
-                for k in range(len(PREFIXES)):
-                    out.append((f"https://{PREFIXES[(k + i) % len(PREFIXES)]}{w}{e}{paths[(i + j + k) % len(paths)]}", label))
+        names = [*words, *(f"{a}{'-' if k % 2 else ''}{b}" for k, a in enumerate(words) for b in (words[(k + 7) % len(words)], words[(k * 5 + 3) % len(words)]) if a != b)]
+        for k, name in enumerate(names):
+            for j in range(4):
+                out.append((f"https://{PREFIXES[(j + k) % len(PREFIXES)]}{name}{ENDINGS[(3 * j + k) % len(ENDINGS)]}{PATHS[(2 * j + k) % len(PATHS)]}", label))
     return out
 
 
