@@ -4,7 +4,7 @@ Statistics of each whole text (word counts, symbols, repeated lines and words, l
 computed block-wise.  Sequential covering then learns an ordered list of rules from labelled
 statistics: a conjunction of thresholds is grown on two thirds of the labelled rows by information
 gain, pruned on the other third, accepted if it is precise there, and the rows that it covers
-leave both parts.  The list is emitted as one Spark conditional expression.
+leave both parts.  An id with several labels has the least; learning sees rows in a fixed order.  The list is emitted as one Spark conditional expression.
 
 Null and empty texts have zero words, so the base rule fails them.  Repeated rows are judged alike
 and each returned; a null label teaches nothing; without labels the list is empty and only the
@@ -193,8 +193,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> li
     if not n:
         return []
     keep = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * rows / n))
-    known = known.where(keep).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "label_id")
-    got = statistics(docs.select("doc_id", "text").where(keep)).join(known, F.col("doc_id") == F.col("label_id")).orderBy("doc_id").limit(2 * rows).toPandas()
+    known = known.where(keep).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"))
+    got = statistics(docs.select("doc_id", "text").where(keep)).join(known, F.col("doc_id") == F.col("label_id")).orderBy("doc_id", *COUNTS, *FEATURES).limit(2 * rows).toPandas()
     return learn({f: got[f].to_numpy(float) for f in FEATURES}, (got["quality"] == 0).to_numpy()) if len(got) else []
 
 

@@ -9,7 +9,8 @@ A plain noisy-or grows with length, as chance hits of clean sentences add up.  A
 the noisy-or of the run of sentences that stands out most above a background rate, less what the
 most conspicuous run of clean text gains by length; both are learned from folds held out in turn.
 
-Texts that are null or have no word have no sentence and score 0.  Repeated rows score alike.
+Texts that are null or have no word have no sentence and score 0.  Repeated rows score alike.  An id
+with several labels has the largest.
 Without labels of both kinds the model scores every text 0.
 """
 
@@ -196,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
     Rows that are held out (crc32 of the id as text, modulo 4, is 2) are never used.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), "toxic").where(F.col("toxic").isNotNull() & (remainder() != 2))
-    known = known.where("label_id is not null").dropDuplicates(["label_id"])
+    known = known.where("label_id is not null").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if not n:
         return Model(np.zeros(BUCKETS), -30.0)
