@@ -57,9 +57,9 @@ def test_tokens(spark, docs, texts):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
-    from sedimenta.llm.token_counts import count_tokens, new_cache
+    from sedimenta.llm.token_counts import count_tokens, session_cache
 
-    tok, cache = Tokenizer.from_file(P.path("byte_bpe_50k.json")), new_cache(spark)
+    tok, cache = Tokenizer.from_file(P.path("byte_bpe_50k.json")), session_cache(spark)
     run = lambda: {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs, cache, P.path("byte_bpe_50k.json"), ranks_path=P.path("byte_bpe_50k.tiktoken"), pattern=P.PATTERN, specials={"<|endoftext|>": 50256}).collect()}
     want = {d: len(tok.encode(t or "", add_special_tokens=False).ids) for d, t in texts}
     assert run() == want
@@ -164,18 +164,36 @@ def test_multikey_quicksort():
     assert (got == words[np.lexsort(words.T[::-1])]).all()
 
 
-def test_mix(docs, texts):
-    from sedimenta.llm.mixing import plan, targets
-
-    got = plan(docs).collect()
-    total = sum(r["size"] for r in got)
-    assert len(got) == len(texts) and all(r["taken"] <= 2 * r["size"] for r in got)
-    for s in {r["source"] for r in got}:
-        own = [r for r in got if r["source"] == s]
-        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
-    assert abs(sum(t for _, t in targets([(s, sum(r["size"] for r in got if r["source"] == s)) for s in ("a", "b", None)]).values()) - 1.5 * total) < 1e-6
-    at = [r["position"] for r in got if r["position"] is not None]
-    assert all(0 <= x <= 1 for x in at)
+def test_mix(spark, docs, texts):
+    """Targets against a level found by halving, taken words, and each position against the integral of its schedule."""
+    from sedimenta.llm.mixing import SCHEDULES, WEIGHTS, plan
+
+    wide = spark.createDataFrame([(d, t, f"s{d % 23:02}" if d % 5 else None) for d, t in texts], "doc_id long, text string, source string")
+    for table in (docs, wide):
+        got = plan(table).collect()
+        total = sum(r["size"] for r in got)
+        assert len(got) == len(texts) and all(r["taken"] <= 2 * r["size"] for r in got)
+        order = sorted({r["source"] for r in got}, key=lambda s: (s is None, s))
+        own = {s: [r for r in got if r["source"] == s] for s in order}
+        size = {s: sum(r["size"] for r in own[s]) for s in order}
+        weight = {s: WEIGHTS[k % 3] for k, s in enumerate(order)}
+        low, high = 0.0, 10.0 * total
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(2 * size[s], level * weight[s]) for s in order) < 1.5 * total else (low, level)
+        for k, s in enumerate(order):
+            rows = own[s]
+            assert all(r["source_size"] == size[s] for r in rows) and abs(rows[0]["target"] - min(2 * size[s], high * weight[s])) < 1e-6 * total
+            assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= max(r["size"] for r in rows)
+            knots = SCHEDULES[k % 3]
+            t = np.linspace(0, 1, 20001)
+            area = np.concatenate([[0], np.cumsum((np.interp(t, *zip(*knots))[1:] + np.interp(t, *zip(*knots))[:-1]) / 2)])
+            ahead = 0
+            for r in sorted((r for r in rows if r["position"] is not None), key=lambda r: r["position"]):
+                assert abs(r["position"] - np.interp((ahead + r["size"] / 2) / rows[0]["target"], area / area[-1], t)) < 1e-3
+                ahead += r["size"]
+        at = [r["position"] for r in got if r["position"] is not None]
+        assert at == sorted(at) and all(0 <= x <= 1 for x in at)
 
 
 def test_pack(docs, texts):
@@ -195,6 +213,31 @@ def test_pack(docs, texts):
         assert len({key[r["doc_id"]] for r in rows}) == len(rows) and len({r["doc_id"] % 3 for r in rows}) <= 2
 
 
+def test_pack_is_best_fit():
+    """One block against a plain search of all bins for the tightest compatible one."""
+    from sedimenta.llm.packing import pack
+
+    rng = random.Random(9)
+    n, capacity, apart = 400, 100, [0b1000, 0, 0, 0b0001]
+    sizes = [rng.randint(1, 60) for _ in range(n)]
+    sources, clusters = [rng.randrange(4) for _ in range(n)], [rng.choice([-1, -1, 0, 1, 2]) for _ in range(n)]
+    bins, at = pack(sizes, sources, clusters, capacity, 2, apart)
+    room, kinds, groups, want = [], [], [], [0] * n
+    for i in sorted(range(n), key=lambda k: (-sizes[k], k)):
+        fit = [(room[b], b) for b in range(len(room)) if room[b] >= sizes[i] and clusters[i] not in groups[b] and len(kinds[b] | {sources[i]}) <= 2 and not any(apart[sources[i]] >> s & 1 for s in kinds[b])]
+        b = min(fit)[1] if fit else len(room)
+        if not fit:
+            room.append(capacity)
+            kinds.append(set())
+            groups.append(set())
+        want[i] = b
+        assert at[i] == capacity - room[b]
+        room[b] -= sizes[i]
+        kinds[b].add(sources[i])
+        groups[b] |= {clusters[i]} - {-1}
+    assert bins == want and len(room) > 100
+
+
 def test_regions():
     from sedimenta.llm.vector_search import regions
 
@@ -204,21 +247,46 @@ def test_regions():
 
 @pytest.mark.parametrize("leaf_rows", [192, 12])
 def test_search(spark, leaf_rows):
+    """Order, ties and scores, vectors that take no part, and vectors of another length, against brute force."""
     from sedimenta.llm.vector_search import search
 
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 8))
     x[50:170] = x[7]
-    rows = [(k, [float(v) for v in x[k]]) for k in range(400)] + [(400, None), (420, [0.0] * 8), (440, [float("nan")] * 8), (460, [None] * 8)]
+    y = rng.normal(size=(9, 5))
+    rows = [(k, [float(v) for v in x[k]]) for k in range(400)] + [(400, None), (420, [0.0] * 8), (440, [float("nan")] * 8), (460, [None] * 8)] + [(500 + k, [float(v) for v in y[k]]) for k in range(9)]
     got: dict = {}
     for r in search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0, leaf_rows=leaf_rows).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-    assert set(got) == set(range(0, 400, 20))
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {*range(0, 400, 20), 500}
+    vector = {k: x[k] for k in range(400)} | {500 + k: y[k] for k in range(9)}
     hits = 0
     for q, found in got.items():
-        s = [(-round(float((x[q] * x[k]).sum()), 12), k) for k in range(400) if k != q]
-        hits += len({k for _, k in sorted(s)[:20]} & set(found))
-    assert hits >= 0.95 * 20 * len(got)
+        same = [k for k in vector if k != q and len(vector[k]) == len(vector[q])]
+        score = {k: float((vector[q] * vector[k]).sum()) for k in same}
+        assert [r for r, _, _ in found] == list(range(1, min(20, len(same)) + 1))
+        assert all(abs(s - score[k]) < 1e-12 for _, k, s in found)
+        assert [k for _, k, _ in found] == [k for _, k in sorted((-s, k) for _, k, s in found)]
+        hits += len({k for _, k in sorted((-round(score[k], 12), k) for k in same)[:20]} & {k for _, k, _ in found}) / min(20, len(same))
+    assert hits >= 0.95 * len(got)
+
+
+def test_search_recall_at_defaults(spark):
+    """The usual settings on vectors that they were not chosen on: recall of 20 neighbours is 0.9 at least."""
+    from sedimenta.llm.vector_search import search
+
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(40, 24))
+    x = np.concatenate([centre[rng.integers(0, 40, 2500)] + 0.6 * rng.normal(size=(2500, 24)), rng.normal(size=(1500, 24))])
+    got: dict = {}
+    for r in search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 4000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 200
 
 
 def test_urls(spark):
@@ -265,10 +333,22 @@ def test_null_ids(spark):
 
 
 def test_empty(spark, docs):
-    from sedimenta.llm import jaccard_join, mixing, packing, suffix_dedup
+    import public_tokenizers as P
+
+    from sedimenta.llm import jaccard_join, language_id, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filter, vector_search
 
     none = docs.limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert jaccard_join.similar(none).count() == suffix_dedup.removed(none).count() == mixing.plan(none).count() == packing.pack_documents(none).count() == 0
+    assert jaccard_join.keep_one(none).count() == suffix_dedup.without_repeats(none).count() == mixing.mixed(none).count() == 0
+    assert quality_rules.judge(none, labels).count() == toxicity.score(none, toxicity.learn(none, labels)).count() == 0
+    assert token_counts.count_tokens(none, token_counts.session_cache(spark), P.path("byte_bpe_50k.json")).count() == 0
+    assert vector_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert language_id.identify(none, language_id.learn(none.withColumn("lang", none["text"]))).count() == 0
+    # documents without any label, and labels without documents
+    assert quality_rules.judge(docs, labels).where("rule is not null").count() == 0
+    assert toxicity.score(docs, toxicity.learn(docs, labels)).where("score >= 0.3").count() == 0
 
 
 def test_long_clean_texts_stay_clean():
