@@ -91,7 +91,7 @@ _HIDING = [
     (re.compile(r"line-height\s*:\s*0+(?:\.0*)?(?![\d.])[^;\"'>]*", re.I), ""),
     (re.compile(r"display\s*:\s*none\s*;?|visibility\s*:\s*hidden\s*;?", re.I), ""),
     (re.compile(r"color\s*=\s*[\"']?(?:#?ffffff|white)[\"']?", re.I), ""),
-    (re.compile(r"\s+style\s*=\s*[\"']\s*;?\s*[\"']", re.I), ""),
+    (re.compile(r"\s+style\s*=\s*[\"'][\s;]*[\"']", re.I), ""),
 ]
 
 
