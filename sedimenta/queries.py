@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions import forms, html, periods, text
-from sedimenta.operators import companies, facts, filings, fragments, library, updates
+from sedimenta.operators import books, companies, facts, filings, fragments, library, updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -716,3 +716,43 @@ def listing_histograms(spark, sf_dir):
 @register(f"""select accn, date, row_number() over (order by date desc, accn desc) as "rank" from {_ORDERS} qualify "rank" between 41 and 60""")
 def listing_page(spark, sf_dir):
     return filings.page(_orders(spark, sf_dir).select("accn", "date"), [F.desc("date"), F.desc("accn")], 3)
+
+
+@register("""select doc_id, case when doc_id % 5 = 0 then 'write snapshot' when doc_id % 5 = 1 then 'done' when doc_id % 5 = 2 then 'differs' when doc_id % 3 = 0 then 'publish' when doc_id % 3 = 1 then 'build again' else 'restore' end step from documents""")
+def publication_steps(spark, sf_dir):
+    k, h = F.col("doc_id"), F.sha2("text", 256)
+    d = table(spark, sf_dir, "documents").select("doc_id", (k % 5 != 0).alias("snapshot"), h.alias("expected"), F.when(k % 5 == 1, h).when(k % 5 == 2, F.lit("x")).alias("target"), F.when(k % 3 == 0, h).when(k % 3 == 1, F.lit("x")).alias("staged"))
+    return books.publication(d).select("doc_id", "step")
+
+
+_LISTED_IMAGES = "(select l_orderkey book, l_linenumber pos, case when l_partkey % 7 = 0 then 'images/../x' else 'images/' || (l_partkey % 40) || '.png' end href, l_partkey, l_suppkey from lineitem)"
+
+
+@register(f"""with l as (select *, row_number() over (partition by book, href order by pos, l_partkey, l_suppkey) k from {_LISTED_IMAGES}), w as (select *, case when contains(href, '..') then 'name' when l_partkey % 40 >= 35 then 'missing' when l_partkey % 40 = 11 then 'empty' when k > 1 then 'listed again' end why from l)
+ select book, href, why from w where why is not null union all select distinct book, 'images/extra.png', 'not listed' from l""")
+def manifest_warnings(spark, sf_dir):
+    """Images of a book that are not packed, and why; files that nothing lists."""
+    part = F.col("l_partkey")
+    href = F.when(part % 7 == 0, "images/../x").otherwise(F.concat(F.lit("images/"), (part % 40).cast("string"), F.lit(".png")))
+    listed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), href.alias("href"), F.lit("image/png").alias("media_type"), F.lit("").alias("id"), part.alias("p"))
+    disk = listed.where("p % 7 <> 0 and p % 40 < 35").select("book", "href", F.when(F.col("p") % 40 == 11, 0).otherwise(9).alias("size")).distinct()
+    extra = listed.select("book").distinct().select("book", F.lit("images/extra.png").alias("href"), F.lit(1).alias("size"))
+    return books.manifest(listed.drop("p"), disk.union(extra))[1]
+
+
+@register("""select page_id, 'number' kind, k - 1 pos, original, translated from (select page_id, generate_subscripts(a, 1) k, unnest(a) original, unnest(b) translated from (select page_id, regexp_extract_all(t, '[0-9][0-9,.]*') a, regexp_extract_all(replace(t, '1', '2'), '[0-9][0-9,.]*') b from (select page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') t from pages))) where original <> translated""")
+def pair_check(spark, sf_dir):
+    """Pages against copies in which a digit outside tags was changed: the numbers that differ."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    # digits of tags stay: only text between a closing and an opening bracket is changed
+    parts = F.split("html", "(?=<)|(?<=>)")
+    changed = pages.withColumn("html", F.array_join(F.transform(parts, lambda x: F.when(x.startswith("<"), x).otherwise(F.replace(x, F.lit("1"), F.lit("2")))), ""))
+    side = lambda df: books.sequences(df, "page_id", "html").withColumn("kind", F.concat_ws(":", "kind", "page_id"))
+    got = books.pair(side(pages), side(changed))
+    return got.select(F.split_part("kind", F.lit(":"), F.lit(2)).cast("long").alias("page_id"), F.split_part("kind", F.lit(":"), F.lit(1)).alias("kind"), F.col("pos").cast("long").alias("pos"), "original", "translated")
+
+
+@register("""select conv_id, string_agg(case when role is not distinct from before then '' else '<h1>' || role || '</h1>' end || '<h2>' || turn || '</h2>' || text, '' order by turn) html, count(*) n_chapters from (select *, lag(role) over (partition by conv_id order by turn) before from conversations) group by 1""")
+def book_chapters(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("company"), F.col("turn").cast("string").alias("heading"), F.col("text").alias("html"))
+    return books.chapters(c, "conv_id", [F.col("turn")])

@@ -58,21 +58,23 @@ def test_a_batch_is_frozen_resumed_and_committed(spark):
     rows = [("1", f"a{k:02}", "10-K", f"2024-01-{k + 1:02}", k) for k in range(12)]
     listing = u.normalized(spark.createDataFrame(rows, "cik string, accession_number string, formType string, filingDate string, pos long"))
     subs = u.subscriptions(spark.createDataFrame([("CIK1", ["a00"], True)], "cik string, seen array<string>, first_run_done boolean"))
-    new, ups = u.plan(listing, subs, max_new=5)
-    held = u.freeze(subs, new, ups)
+    # state is published between steps, as plans grow with every one
+    kept = lambda *dfs: [spark.createDataFrame(df.collect(), df.schema) for df in dfs]
+    new, ups = kept(*u.plan(listing, subs, max_new=5))
+    (held,) = kept(u.freeze(subs, new, ups))
     assert ups.first()["truncated"] == 6 and [r["accn"] for r in new.orderBy("pos").collect()] == ["a11", "a10", "a09", "a08", "a07"]
     done = lambda *ids: spark.createDataFrame([("0000000001", a) for a in ids], "cik string, accn string")
-    left, subs1 = u.complete(held, subs, done("a11", "zz"))
+    left, subs1 = kept(*u.complete(held, subs, done("a11", "zz")))
     assert left.first()["completed"] == ["a11"] and subs1.first()["seen"] == ["a11", "a00"] and subs1.first()["seen_upto_date"] is None
     assert u.checked(left, subs1).first()["error"] is None
     assert u.resume(new, done("a11")).count() == 4
     assert u.checked(left.withColumn("completed", F.array(F.lit("a10"))), subs1).first()["error"] == "broken"
     assert u.freeze(subs1, new, ups, held=left).count() == 0
-    none, subs2 = u.complete(left, subs1, done("a10", "a09", "a08", "a07"))
+    none, subs2 = kept(*u.complete(left, subs1, done("a10", "a09", "a08", "a07")))
     assert none.count() == 0 and subs2.first()["seen"] == ["a10", "a09", "a08", "a07", "a11", "a00"] and subs2.first()["seen_upto_date"] is None
     # the rest is not truncated: the baseline moves, and nothing is new after it
-    new2, ups2 = u.plan(listing, subs2, max_new=8)
-    subs3 = u.commit(subs2, new2, ups2)
+    new2, ups2 = kept(*u.plan(listing, subs2, max_new=8))
+    (subs3,) = kept(u.commit(subs2, new2, ups2))
     assert ups2.first()["truncated"] == 0 and subs3.first()["seen_upto_date"] == "2024-01-12" and u.plan(listing, subs3)[0].count() == 0
     # a late filing of the baseline's day still counts, an earlier one is history
     late = listing.union(spark.createDataFrame([("0000000001", "b1", "10-K", "2024-01-12", "", "", 20), ("0000000001", "b2", "10-K", "2024-01-11", "", "", 21)], listing.schema))
