@@ -11,16 +11,20 @@ point.  Regions are formed in two levels:
 * A small region yields its pairs, after size and position bounds and a lower bound on the
   symmetric difference (parity sketches).  A large region hands its points to its least point, a
   document pivot; all points handed to one pivot form a cell, which holds every pair of the
-  regions behind it.  Cells join exactly: a cell is split recursively at the median distance to a
-  pivot, points within the radius beyond the median belong to both parts, and parts that are small
-  or no longer shrink are compared by their intersection counts.  A cell above a fixed size is
-  dealt into blocks first, and every pair of blocks joins in its own task.
+  regions behind it.  All points of a cell are measured against its pivot.  Those within the radius
+  are linked, and so need no comparison with each other; what is left are the far points, and the
+  near ones that by the triangle inequality may be within the radius of a far one.  These join
+  exactly: further pivots take their near points out as long as each takes a fixed share, the rest
+  is compared by intersection counts.  What is left of a cell above a fixed size is dealt into
+  blocks, and every pair of blocks joins in its own task.
 
 Only spanning links leave a cell.  Components are found by star contraction over shuffles.
 
 Frequent shingles come last in the order, so passages shared by many documents form no regions.
-They are counted over all data; the list that is sent to tasks has a fixed size, and what it
-leaves out only costs time.  Points are identified by 64-bit digests of their sets.
+Their counts are lower bounds: what a task meets once among COUNT_AT_ONCE shingles is left out.  The
+list that is sent to tasks has a fixed size; the order only decides on time, never on results.
+Points are identified by 64-bit digests of their sets; where two sets share one, which a second
+digest tells, they are renamed.
 
 Null and empty texts, and texts without words, have no shingle and are linked with nothing.
 Repeated rows are each returned.  Rows with a null id take part as copies of their text but name
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.blocks import Block, blocks, grams, mix
 from sedimenta.llm.components import components
-from sedimenta.llm.tables import written
+from sedimenta.llm.tables import Scratch, bitmap, marked
 
 #: Words of a shingle, and the similarity as a fraction.
 WIDTH, NUM, DEN = 5, 3, 4
@@ -47,14 +51,18 @@ WIDTH, NUM, DEN = 5, 3, 4
 FREQUENT, FREQUENT_MIN = 1 << 18, 6
 #: Points of a region whose pairs are formed directly, and rows that a task folds before it hands them out.
 SMALL, FOLD = 32, 300_000
-#: Points of a cell's block, and of a part that is compared directly.
-CELL, LEAF = 1500, 384
+#: Far points and bytes of a cell's block, near points of one, and points of a part that is compared directly.
+CELL, CELL_BYTES, NEAR, LEAF = 6000, 32 << 20, 500, 384
+#: Points and shingles of a tile: what is compared, or measured, at once.
+TILE, TILE_SHINGLES = 1500, 1 << 19
+#: The share of points that a pivot must take out of a cell, or the rest is compared directly; pivots tried at once.
+TAKEN, TRIED = 1 / 4, 4
+#: Members of a shingle up to which its pairs are counted one by one.
+RARE = 24
 #: Least and most bits of a parity sketch; between, the first power of two that the set's size reaches.
 SKETCH = (256, 1 << 14)
 #: Shingles that a task counts at once.
 COUNT_AT_ONCE = 2_000_000
-#: Words (64 bits) of the filter that tells tasks which points' sets are wanted; fixed size.
-FILTER_WORDS = 1 << 17
 
 _I = np.int64
 
@@ -66,13 +74,16 @@ def sets(b: Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     g, at = grams(h, d, width)
     hs, ds = [g], [d[at]]
     n = np.bincount(d, minlength=b.n)
+    short = n[d] < width  # few texts: the whole sequence is their one shingle
+    h, d = h[short], d[short]
     for k in range(1, width):
         g, at = grams(h, d, k)
         own = n[d[at]] == k
         hs.append(g[own])
         ds.append(d[at][own])
     h, d = np.concatenate(hs), np.concatenate(ds)
-    order = np.lexsort((h, d))
+    order = np.argsort(h)  # then by document, a small number, which sorts in linear time
+    order = order[np.argsort(d[order].astype(np.uint16 if b.n < 1 << 16 else _I), kind="stable")]
     h, d = h[order], d[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
@@ -83,13 +94,21 @@ def bounds(d: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(d, np.arange(n + 1))
 
 
-def digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit digests of the sets between bounds; independent of order, 0 for empty sets."""
-    c = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7)), out=c[1:])
-    size = np.diff(at)
-    key = mix(c[at[1:]] - c[at[:-1]] + size.astype(np.uint64)).view(_I)
-    return np.where(size > 0, key, 0)
+def digests(h: np.ndarray, at: np.ndarray, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set between bounds, independent of order; the first is 0 for empty sets.
+
+    shared has first digests that several sets have; these are renamed by the second.
+    """
+    size = np.diff(at).astype(np.uint64)
+    out = []
+    for salt in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
+        c = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h * np.uint64(salt) + np.uint64(7)), out=c[1:])
+        out.append(np.where(size > 0, mix(c[at[1:]] - c[at[:-1]] + size).view(_I), 0))
+    point, check = out
+    if shared is not None and len(shared):
+        point = np.where(np.isin(point, shared), point ^ check, point)
+    return point, check
 
 
 def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -111,15 +130,30 @@ def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
     return out
 
 
-def apart(x: bytes, y: bytes) -> int:
-    """A lower bound of the symmetric difference, from two sketches; the longer is folded to the shorter's size."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) != len(b):
-        if len(a) > len(b):
-            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-        else:
-            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Lower bounds of symmetric differences from pairs of sketches; the longer is folded to the shorter's size."""
+    out = np.zeros(len(x), _I)
+    size = np.array([(len(a) // 8, len(b) // 8) for a, b in zip(x, y, strict=True)], _I).reshape(-1, 2)
+    for n in np.unique(size, axis=0):
+        rows = np.flatnonzero((size == n).all(1))
+        a, b = (np.frombuffer(b"".join(c[k] for k in rows), np.uint64).reshape(len(rows), -1) for c in (x, y))
+        while a.shape[1] > b.shape[1]:
+            a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+        while b.shape[1] > a.shape[1]:
+            b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+        out[rows] = np.bitwise_count(a ^ b).sum(1, dtype=_I)
+    return out
+
+
+def overlaps(x: list[bytes], y: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the intersections of pairs of sets, and of the sets (bytes of distinct 64-bit shingles)."""
+    n, m = (np.array([len(a) // 8 for a in c], _I) for c in (x, y))
+    both = np.frombuffer(b"".join([*x, *y]), np.uint64)
+    row = np.concatenate([np.repeat(np.arange(len(x)), k) for k in (n, m)])
+    order = np.lexsort((both, row))
+    both, row = both[order], row[order]
+    same = row[1:][(both[1:] == both[:-1]) & (row[1:] == row[:-1])]
+    return np.bincount(same, minlength=len(x)), n, m
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +161,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batch.column(1)):
             h, d = sets(b)
             at = bounds(d, b.n)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[b.rows], pa.array(np.diff(at)), pa.array(digests(h, at)), pa.array(sketches(h, at), pa.binary())], ["doc_id", "n_shingles", "point", "sketch"])
+            point, check = digests(h, at)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[b.rows], pa.array(np.diff(at)), pa.array(point), pa.array(check), pa.array(sketches(h, at), pa.binary())], ["doc_id", "n_shingles", "point", "check", "sketch"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +179,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batch.column(0)):
             h, d = sets(b)
             at = bounds(d, b.n)
-            new = _new(digests(h, at), seen)
+            new = _new(digests(h, at)[0], seen)
             kept.append(h[new[d]])
             if sum(map(len, kept)) > COUNT_AT_ONCE:
                 yield flush()
@@ -162,19 +197,24 @@ def _new(points: np.ndarray, seen: set[int]) -> np.ndarray:
     return new
 
 
-def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent shingles and their counts; at most FREQUENT of them."""
-    counts = written(texts.mapInArrow(_counts, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_MIN), "frequent")
-    tally = counts.groupBy(F.least("n", F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).collect()
-    total, least = 0, None
-    for r in tally:
-        total += r["count"]
-        if total > FREQUENT:
+def frequent(texts: DataFrame, scratch: Scratch, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent shingles and their counts, about most of them.
+
+    Of the counts that the list has room for in part only, a share is taken by a hash.
+    """
+    counts = scratch.write(texts.mapInArrow(_counts, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_MIN), "frequent")
+    step = F.floor(8 * F.log2("n")).alias("step")  # a few hundred steps, whatever the counts
+    room, shares = most, []
+    for r in counts.groupBy(step).count().orderBy(F.desc("step")).collect():
+        shares.append((r["step"], min(1.0, room / r["count"])))
+        room -= r["count"]
+        if room <= 0:
             break
-        least = r["c"]
-    if least is None:
+    if not shares:
         return np.zeros(0, np.uint64), np.zeros(0, _I)
-    got = counts.where(F.col("n") >= least).toPandas()
+    last, share = shares[-1]
+    some = F.pmod(F.xxhash64(F.lit(3), "s"), F.lit(1 << 20)) < int(share * (1 << 20))
+    got = counts.where((step > last) | ((step == last) & some)).toPandas()
     s, n = got["s"].to_numpy(_I).view(np.uint64), got["n"].to_numpy(_I)
     order = np.argsort(s)
     return s[order], n[order]
@@ -255,38 +295,54 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from folded()
 
 
-def link_matrix(members: list[np.ndarray]) -> np.ndarray:
-    """Which pairs of sets are within the radius, from their intersection counts.
+def within(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with both in common are within the radius."""
+    return (DEN + NUM) * both >= NUM * (n + m)
+
+
+def link_matrix(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which pairs of sets (left with right, or with each other) are within the radius, from their intersection counts.
 
-    Shingles with the same members count as one column with a weight.
+    Shingles with the same members count as one column with a weight.  Columns of few members count
+    their pairs, the others are multiplied as matrices.
     """
-    m = len(members)
-    size = np.array([len(x) for x in members], np.float32)
-    every = np.concatenate(members)
+    sides = left if right is None else [*left, *right]
+    n, m = len(left), len(sides)
+    size = np.array([len(x) for x in sides], np.float32)
+    every = np.concatenate(sides)
     who = np.repeat(np.arange(m), size.astype(int))
     order = np.argsort(every, kind="stable")
     every, who = every[order], who[order]
     new = np.ones(len(every), bool)
     new[1:] = every[1:] != every[:-1]
-    col = np.cumsum(new) - 1
-    df = np.bincount(col)
+    start = np.flatnonzero(new)
+    df = np.diff(np.append(start, len(every)))
     tag = np.zeros(len(every) + 1, np.uint64)
     np.cumsum(mix(who.astype(np.uint64) + np.uint64(1)), out=tag[1:])
-    start = np.flatnonzero(new)
-    sign = tag[np.append(start[1:], len(every))] - tag[start]
-    sign = np.where(df > 1, sign, 0)
+    sign = np.where(df > 1, tag[start + df] - tag[start], 0)
     _, pick, weight = np.unique(sign, return_index=True, return_counts=True)
     use = df[pick] > 1
     pick, weight = pick[use], weight[use].astype(np.float32)
-    both = np.zeros((m, m), np.float32)
-    for a in range(0, len(pick), 2048):
-        x = np.zeros((m, min(2048, len(pick) - a)), np.float32)
-        number = np.full(len(df), -1)
-        number[pick[a : a + 2048]] = np.arange(x.shape[1])
-        c = number[col]
-        x[who[c >= 0], c[c >= 0]] = 1
-        both += (x * weight[a : a + 2048]) @ x.T
-    return (DEN + NUM) * both >= NUM * (size[:, None] + size[None, :])
+    first = 0 if right is None else n  # where the right side begins
+    both = np.zeros((n, m - first), np.float32)
+    for d in np.unique(df[pick][df[pick] <= RARE]).tolist():
+        cols = np.flatnonzero(df[pick] == d)
+        for k in range(0, len(cols), max(1, 2_000_000 // (d * d))):
+            some = cols[k : k + max(1, 2_000_000 // (d * d))]
+            rows = who[start[pick[some]][:, None] + np.arange(d)]
+            x, y = np.repeat(rows, d, axis=1).ravel(), np.tile(rows, (1, d)).ravel()
+            w = np.repeat(weight[some], d * d)
+            ok = (x < n) & (y >= first)
+            both += np.bincount(x[ok] * (m - first) + (y[ok] - first), w[ok], n * (m - first)).reshape(both.shape).astype(np.float32)
+    wide = np.flatnonzero(df[pick] > RARE)
+    for a in range(0, len(wide), 2048):
+        some = wide[a : a + 2048]
+        x = np.zeros((m, len(some)), np.float32)
+        long = df[pick[some]]
+        at = np.repeat(start[pick[some]] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+        x[who[at], np.repeat(np.arange(len(some)), long)] = 1
+        both += (x[:n] * weight[some]) @ x[first:].T
+    return within(both, size[:n, None], size[None, first:])
 
 
 class Forest:
@@ -301,59 +357,83 @@ class Forest:
             x = self.up[x]
         return x
 
-    def link(self, x: int, y: int) -> None:
+    def link(self, x: int, y: int, tell: bool = True) -> None:
         a, b = self.find(x), self.find(y)
         if a != b:
             self.up[max(a, b)] = min(a, b)
-            self.links.append((x, y))
-
-
-def join_cell(members: list[np.ndarray], forest: Forest, rows: np.ndarray | None = None) -> None:
-    """Links all members of a cell that are within the radius, directly or over others."""
-    rows = np.arange(len(members)) if rows is None else rows
-    if len(rows) > LEAF:
-        pivot = members[rows[0]]
-        d = np.array([_distance(pivot, members[k]) for k in rows])
-        middle = float(np.median(d))
-        near, far = rows[d <= middle], rows[d > middle - (1 - NUM / DEN) - 1e-9]
-        if len(near) < len(rows) and len(far) < len(rows):
-            join_cell(members, forest, near)
-            join_cell(members, forest, far)
-            return
-    links = link_matrix([members[k] for k in rows])
-    for i in range(len(rows)):
-        for j in np.flatnonzero(links[i, :i]):
-            forest.link(int(rows[i]), int(rows[j]))
+            if tell:
+                self.links.append((x, y))
 
 
-def _distance(x: np.ndarray, y: np.ndarray) -> float:
-    k = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    both = int((x[k] == y).sum())
-    return 1 - both / (len(x) + len(y) - both)
+def tiles(rows: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """rows in parts of at most TILE points and about TILE_SHINGLES shingles."""
+    before = np.cumsum(size[rows]) - size[rows]
+    part = np.maximum(before // TILE_SHINGLES, 0)
+    new = np.flatnonzero(np.diff(part)) + 1
+    return [t for p in np.split(rows, new) for t in np.split(p, range(TILE, len(p), TILE)) if len(t)]
 
 
-def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates("b").sort_values("b", ignore_index=True)
-    members = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-    forest = Forest(len(members))
-    join_cell(members, forest)
-    ids = pdf["b"].to_numpy()
-    u, v = (np.array([x[k] for x in forest.links], _I) for k in (0, 1))
-    return pd.DataFrame({"u": ids[u], "v": ids[v]}, columns=["u", "v"]) if len(u) else pd.DataFrame({"u": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64")})
-
-
-def _bitmap(points: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit for each point; bits may be shared."""
-    word = F.shiftright("point", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("w")
-    mask = F.expr("shiftleft(1L, cast(point & 63 as int))").alias("m")
-    got = points.select(word, mask).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    out = np.zeros(FILTER_WORDS, _I)
-    out[got["w"].to_numpy(_I)] = got["m"].to_numpy(_I)
-    return out
+def join_cell(members: list[np.ndarray], forest: Forest) -> None:
+    """Links all members of a cell that are within the radius, directly or over others.
 
+    A pivot takes out the members within its radius: they are linked over it.  Each pair of the others,
+    and of those with members just taken out that may be within the radius, is compared once.
+    """
+    rows, size = np.arange(len(members)), np.array([len(x) for x in members], _I)
+    radius = 1 - NUM / DEN + 1e-9
+    while len(rows) > LEAF:
+        pivots = rows[:: max(1, len(rows) // TRIED)][:TRIED].tolist()
+        both = np.zeros((len(pivots), len(rows)))
+        done = 0
+        for t in tiles(rows, size):
+            every, who = np.concatenate([members[k] for k in t]), np.repeat(np.arange(len(t)), size[t])
+            for i, pivot in enumerate(pivots):
+                x = members[pivot]
+                both[i, done : done + len(t)] = np.bincount(who, x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every, len(t))
+            done += len(t)
+        near = np.stack([within(both[i], size[rows], size[p]) for i, p in enumerate(pivots)])
+        best = int(near.sum(1).argmax())
+        pivot, near, both = pivots[best], near[best], both[best]
+        d = 1 - both / (size[rows] + size[pivot] - both)
+        if near.sum() < TAKEN * len(rows):
+            break
+        for k in rows[near].tolist():
+            forest.link(pivot, k)
+        if not near.all():
+            edge = near & (d >= d[~near].min() - radius)
+            compare(members, size, forest, rows[~near], rows[edge])
+        rows = rows[~near]
+    compare(members, size, forest, rows)
+
+
+def compare(members: list[np.ndarray], size: np.ndarray, forest: Forest, left: np.ndarray, right: np.ndarray | None = None) -> None:
+    """Links the pairs of left and right (or of left) within the radius, by tiles whose sizes allow it."""
+    cut = lambda rows: tiles(rows[np.argsort(size[rows], kind="stable")], size)
+    one = cut(left)
+    two = one if right is None else cut(right)
+    for i, x in enumerate(one):
+        for j, y in enumerate(two):
+            if right is None and j < i or DEN * size[x[-1]] < NUM * size[y[0]] or DEN * size[y[-1]] < NUM * size[x[0]]:
+                continue
+            same = right is None and i == j
+            linked = link_matrix([members[k] for k in x], None if same else [members[k] for k in y])
+            for a, b in zip(*np.nonzero(np.tril(linked, -1) if same else linked), strict=True):
+                forest.link(int(x[a]), int(y[b]))
 
-def _marked(bitmap: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return ((bitmap[(points >> 6) & (FILTER_WORDS - 1)] >> (points & 63)) & 1) != 0
+
+def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The links of two blocks of a cell: of its far members, or of far and near ones, the near being linked already."""
+    pdf = pdf.drop_duplicates("b").sort_values(["near", "b"], ignore_index=True)
+    members = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+    forest, far = Forest(len(members)), int((~pdf["near"].to_numpy(bool)).sum())
+    if far == len(members):
+        join_cell(members, forest)
+    else:
+        for k in range(far + 1, len(members)):
+            forest.link(far, k, tell=False)
+        compare(members, np.array([len(x) for x in members], _I), forest, np.arange(far), np.arange(far, len(members)))
+    ids, pairs = pdf["b"].to_numpy(), np.array(forest.links, _I).reshape(-1, 2)
+    return pd.DataFrame({"u": ids[pairs[:, 0]], "v": ids[pairs[:, 1]]})
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,30 +441,30 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            bound = np.array([apart(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)])
+            bound = apart(batch.column(3).to_pylist(), batch.column(5).to_pylist())
             keep = pa.array((DEN + NUM) * bound <= (DEN - NUM) * n)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a, b with their sets, to those within the radius."""
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs a, b with their sets, to whether they are within the radius, their distance, and the bytes of b's set."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append((DEN + NUM) * both >= NUM * (len(x) + len(y)))
-        keep = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
+        if batch.num_rows:
+            both, n, m = overlaps(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(within(both, n, m)), pa.array(1 - both / (n + m - both)), pa.array(8 * m)], ["a", "b", "near", "d", "bytes"])
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(profiles: doc_id, n_shingles, point, sketch; links between points: u, v, enough to span all components)."""
     spark: SparkSession = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    profiles = written(docs.select("doc_id", "text").mapInArrow(_profiles, f"doc_id {kind}, n_shingles long, point long, sketch binary"), "profiles")
+    profiles = scratch.write(docs.select("doc_id", "text").mapInArrow(_profiles, f"doc_id {kind}, n_shingles long, point long, check long, sketch binary"), "profiles")
+    twice = profiles.where("n_shingles > 0").groupBy("point").agg((F.min("check") != F.max("check")).alias("shared")).where("shared")
+    shared = np.array([r["point"] for r in twice.collect()], _I)  # n * n / 2 ** 65 are expected: 3 of 10 ** 10 sets
+    if len(shared):
+        profiles = profiles.withColumn("point", F.when(F.col("point").isin(shared.tolist()), F.col("point").bitwiseXOR(F.col("check"))).otherwise(F.col("point")))
     texts = docs.select("text")
-    order = spark.sparkContext.broadcast(frequent(texts))  # at most FREQUENT entries
+    order = spark.sparkContext.broadcast(frequent(texts, scratch))  # at most FREQUENT entries
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -392,30 +472,26 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for b in blocks(batch.column(0)):
                 h, d = sets(b)
                 at = bounds(d, b.n)
-                point = digests(h, at)
+                point, _ = digests(h, at, shared)
                 s, d, r = prefixes(h, d, at, *order.value)
                 use = _new(point, seen)[d]
                 s, d, r = s[use], d[use], r[use]
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(_I)), pa.array(point[d]), pa.array((np.diff(at)[d] << 31) | r)], ["s", "point", "size_place"])
 
     regions = texts.mapInArrow(place, "s long, point long, size_place long").repartition("s").sortWithinPartitions("s", "point")
-    found = written(regions.mapInArrow(_regions, "a long, b long, star boolean"), "regions")
+    found = scratch.write(regions.mapInArrow(_regions, "a long, b long, star boolean"), "regions")
+    scratch.drop("frequent")
 
     # small regions give pairs, thinned by sketches
     points = profiles.where("n_shingles > 0").dropDuplicates(["point"])
     one = lambda name: points.select(F.col("point").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"k_{name}"))
     pairs = found.where("not star").select("a", "b").distinct().join(one("a"), "a").join(one("b"), "b")
-    pairs = written(pairs.select("a", "b", "n_a", "k_a", "n_b", "k_b").mapInArrow(_thin, "a long, b long"), "pairs")
+    pairs = scratch.write(pairs.select("a", "b", "n_a", "k_a", "n_b", "k_b").mapInArrow(_thin, "a long, b long"), "pairs")
 
-    # large regions give cells around document pivots; large cells are dealt into pairs of blocks
+    # the sets of the points that pairs and cells need; large regions give cells around document pivots
     cells = found.where("star").select("a", "b").distinct()
-    count = cells.groupBy(F.col("a").alias("pivot")).agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("n"))
-    cells = cells.join(count, F.col("a") == F.col("pivot")).select("a", "b", "n", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("own"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("a", "b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    # the sets of the points that pairs and cells need
     wanted = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).union(found.where("star").select("b")).distinct()
-    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
+    bits = spark.sparkContext.broadcast(bitmap(wanted, wanted.count()))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -423,28 +499,47 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for b in blocks(batch.column(0)):
                 h, d = sets(b)
                 at = bounds(d, b.n)
-                point = digests(h, at)
-                use = np.flatnonzero(_marked(bitmap.value, point))
+                point, _ = digests(h, at, shared)
+                use = np.flatnonzero(marked(bits.value, point))
                 use = use[_new(point[use], seen)]
                 yield pa.RecordBatch.from_arrays([pa.array(point[use]), pa.array([h[at[k] : at[k + 1]].tobytes() for k in use], pa.binary())], ["point", "shingles"])
 
     members = texts.mapInArrow(fetch, "point long, shingles binary").join(wanted, "point", "left_semi").dropDuplicates(["point"])
-    members = written(members, "members")
+    members = scratch.write(members, "members")
+    scratch.drop()
     of = lambda name: members.select(F.col("point").alias(name), F.col("shingles").alias(f"x_{name}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "x_a", "x_b").mapInArrow(_verify, "u long, v long")
-    within = cells.join(of("b"), "b").select("a", "i", "j", "b", F.col("x_b").alias("shingles")).groupBy("a", "i", "j").applyInPandas(_cell, "u long, v long")
-    return profiles, near.union(within)
+    both = lambda df: df.join(of("b"), "b").join(of("a"), "a").select("a", "b", "x_a", "x_b").mapInArrow(_measured, "a long, b long, near boolean, d double, bytes long")
+    close = scratch.write(both(pairs).where("near").select(F.col("a").alias("u"), F.col("b").alias("v")), "close")
+    rays = scratch.write(both(cells), "rays")
+    scratch.drop("regions", "pairs")
+    out = close.union(rays.where("near").select("a", "b"))
+
+    # a cell's far points, and the near ones that one of them may reach
+    far = rays.where("not near").groupBy("a").agg(F.min("d").alias("least"))
+    open_ = rays.join(far, "a").where(F.expr("not near") | (F.col("d") >= F.col("least") - (1 - NUM / DEN) - 1e-9)).select("a", "b", "near", "bytes")
+    open_ = scratch.write(open_, "open")
+    many = lambda kind, points: F.greatest(F.ceil(F.count_if(kind) / F.lit(points)), F.ceil(F.sum(F.when(kind, F.col("bytes"))) / F.lit(CELL_BYTES))).cast("int")
+    count = open_.groupBy("a").agg(many(~F.col("near"), CELL).alias("n_far"), F.coalesce(many(F.col("near"), NEAR), F.lit(0)).alias("n_near"), F.count("*").alias("rows")).where("rows > 1")
+    # far blocks are numbered first; they meet every block, near ones meet the far ones only
+    own = F.when(F.col("near"), F.col("n_far") + F.pmod(F.xxhash64("b"), F.col("n_near"))).otherwise(F.pmod(F.xxhash64("b"), F.col("n_far"))).cast("int")
+    dealt = open_.join(count, "a").withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_far") + F.when(F.col("near"), 0).otherwise(F.col("n_near")) - 1))).select("a", "b", "near", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rest = dealt.join(of("b"), "b").select("a", "i", "j", "b", "near", F.col("x_b").alias("shingles")).groupBy("a", "i", "j").applyInPandas(_cell, "u long, v long")
+    return profiles, out.union(rest)
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (least id reachable by links) of each row."""
-    profiles, edges = links(docs)
+    scratch = Scratch(docs.sparkSession)
+    profiles, edges = links(docs, scratch)
     roots = components(edges)
     least = profiles.where("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("least"))
     least = least.join(roots, F.col("point") == F.col("node"), "left").select("point", "least", F.coalesce("root", "point").alias("root"))
-    least = written(least, "least")
+    least = scratch.write(least, "least")
+    scratch.drop("members", "close", "rays", "open")
     named = least.groupBy(F.col("root").alias("name")).agg(F.min("least").alias("component_id"))
-    named = written(least.join(named, F.col("root") == F.col("name")).select(F.col("point").alias("of"), "component_id"), "named")
+    named = scratch.write(least.join(named, F.col("root") == F.col("name")).select(F.col("point").alias("of"), "component_id"), "named")
+    scratch.drop("least")
     out = profiles.select("doc_id", "n_shingles", "point").join(named, F.col("point") == F.col("of"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -452,7 +547,9 @@ def similar(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of similar documents, the one with the least id, with all columns.
 
-    Rows that share an id stay or go together; rows with a null id stay.
+    Rows that share an id stay or go together; rows with a null id stay.  Columns may have any names:
+    rows travel whole in one column.
     """
     gone = similar(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")
