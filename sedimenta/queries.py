@@ -756,3 +756,23 @@ def pair_check(spark, sf_dir):
 def book_chapters(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("company"), F.col("turn").cast("string").alias("heading"), F.col("text").alias("html"))
     return books.chapters(c, "conv_id", [F.col("turn")])
+
+
+@register("""select p_partkey, form in ('PROMO', 'STANDARD') or split_part(form, '/', 1) in ('PROMO', 'STANDARD') as watched, regexp_matches(form, '^(PROMO|ECONOMY)') reported, not starts_with(form, 'SMALL') as legacy
+ from (select p_partkey, upper(split_part(p_type, ' ', 1)) || case when p_partkey % 3 = 0 then '/A' when p_partkey % 3 = 1 then ' X' else '' end form from part)""")
+def watch_forms(spark, sf_dir):
+    """The watch list's rule, the report prefix and the older view, on the words of part types."""
+    k = F.col("p_partkey") % 3
+    form = F.concat(F.upper(F.split_part("p_type", F.lit(" "), F.lit(1))), F.when(k == 0, "/A").when(k == 1, " X").otherwise(""))
+    as_report = F.regexp_replace(F.regexp_replace(form, "^PROMO", "8-K"), "^ECONOMY", "10-Q")
+    return table(spark, sf_dir, "part").select("p_partkey", forms.in_forms(form, F.array(F.lit("PROMO"), F.lit("STANDARD"))).alias("watched"), forms.is_report(as_report).alias("reported"), forms.legacy_view(F.regexp_replace(form, "^SMALL", "10-")).alias("legacy"))
+
+
+@register("""select o_custkey cik, o_orderkey::varchar accn, row_number() over (partition by o_custkey order by o_orderkey)::int "rank" from orders where o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') qualify "rank" <= 5""")
+def recent_reports(spark, sf_dir):
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    form = F.when(p == "1-URGENT", "10-K405").when(p == "2-HIGH", "8-K/A").when(p == "3-MEDIUM", "10-Q").otherwise("S-1")
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cik")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), form.alias("form")))).alias("x"))
+    cols = F.struct(F.transform("x", lambda r: r["form"]).alias("form"), F.transform("x", lambda r: r["k"].cast("string")).alias("accessionNumber"))
+    src = o.select("cik", F.lit(0).alias("source_pos"), F.to_json(F.struct(F.struct(cols.alias("recent")).alias("filings"))).alias("body"))
+    return filings.recent_filings(src, 5).select("cik", "accn", "rank")

@@ -393,3 +393,52 @@ def test_money_and_labels(spark):
     label = lambda k, s, e, d: one(p.period_label(F.lit(k).cast("string"), F.lit(s).cast("string"), F.lit(e), F.lit(d).cast("int")))
     assert label("Q", "2024-07-01", "2024-09-30", 92) == "2024 Q3" and label("FY", "a", "2024-09-30", 366) == "full year (2024-09)" and label("I", None, "2024-09-30", None) == "2024-09-30" and label(None, None, "2024-09-30", None) == "0 days (nil)"
     assert one(p.text_days(F.lit("2024-02-30"), F.lit("2024-03-01"))) is None and one(p.text_days(F.lit("2024-01-01"), F.lit("2024-01-01"))) == 1
+
+
+def test_directory_index_and_facts_in_small(spark):
+    from sedimenta.functions import text
+    from sedimenta.operators import companies, facts, filings, library, updates
+
+    c = spark.createDataFrame([(1, "A\tB", "x\ny"), (2, "", "z")], "cik long, ticker string, title string")
+    lines = companies.index_lines(c)
+    assert [r["line"] for r in lines.orderBy("cik").collect()] == ["1\tA B\tx y", "2\t\tz"]
+    assert not companies.index_is_sane(lines, 2) and not companies.index_is_sane(lines, 3)
+    many = spark.range(1000).select(F.col("id").alias("cik"), F.lit("T").alias("ticker"), F.lit("n").alias("title"))
+    assert companies.index_is_sane(companies.index_lines(many), 1000)
+    assert companies.tickers_of(c).collect()[0]["tickers"] == ["A\tB"] and companies.directory(spark.createDataFrame([("<html>",), (None,)], "body string")).count() == 0
+    tags = [r["tag"] for r in facts.all_tags(facts.definitions(spark)).collect()]
+    assert len(tags) == 14 and tags[:2] == ["RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues"]
+    got = facts.totals(spark.createDataFrame([(1, "a", "{}", 200, 5), (1, "b", None, 404, None)], "cik long, tag string, body string, code int, bytes long")).first()
+    assert tuple(got) == (1, 2, 5, 1, ["b"])
+    body = json.dumps({"units": {"EUR": [{"end": "2024-01-01", "val": 1}], "USD": [{"start": "2023-01-01", "end": "2023-12-31", "val": 2.5, "accn": "a", "filed": "2024-02-01"}, {"end": "2023-12-31", "val": None}]}})
+    rows = facts.facts(spark.createDataFrame([(1, "Revenues", body), (2, "Revenues", "<p>")], "cik long, tag string, body string"), ["cik", "tag"])
+    assert sorted((r["unit"], r["pos"], None if r["val"] is None else float(r["val"])) for r in rows.collect()) == [("EUR", 0, 1.0), ("USD", 0, 2.5), ("USD", 1, None)]
+    periods, info = facts.periods(rows.join(facts.definitions(spark), "tag"), ["cik", "tag"])
+    one = info.first()
+    assert periods.first()["caliber"] == "FY" and (one["unit"], one["entries"], one["skipped"], one["periods"]) == ("USD", 2, 1, 1)
+    per = spark.createDataFrame([(1, 0), (1, 3), (2, 0)], "cik long, n_shown long")
+    assert {r["cik"]: r["has_chapter"] for r in facts.has_chapter(per).collect()} == {1: True, 2: False}
+    listing = json.dumps({"filings": {"form": ["4", "10-K405", "8-K12B", "10-Q"], "filingDate": ["2024-01-01"], "items": None}})
+    src = spark.createDataFrame([(1, 0, listing), (1, 1, listing), (2, 0, "[]")], "cik long, source_pos int, body string")
+    assert [(r["form"], r["date"], r["size"]) for r in filings.recent_filings(src, 2).orderBy("rank").collect()] == [("10-K405", "", 0), ("8-K12B", "", 0)]
+    picked = spark.createDataFrame([("f1", "ex99.htm")], "accn string, name string")
+    f = spark.createDataFrame([("f1", "8-K", "p.htm"), ("f2", "8-K", "p.htm"), ("f3", "10-K", "p.htm"), ("f4", "10-K", "")], "accn string, form string, primary string")
+    assert {r["accn"]: (r["document"], r["via"]) for r in filings.content_source(f, picked, "accn").collect()} == {"f1": ("ex99.htm", "folder"), "f2": ("p.htm", "primary"), "f3": ("p.htm", "primary"), "f4": (None, "folder")}
+    one = lambda x: spark.range(1).select(x).first()[0]
+    assert one(text.concept_url(F.lit(5), F.lit("Assets"))).endswith("CIK0000000005/us-gaap/Assets.json") and one(text.archive_url(F.lit(5), F.lit(""))) is None
+    kinds = spark.createDataFrame([(p,) for p in ("/b/x.epub", "/w/translation-cache/k", "/w/1/translation-cache/k", "/w/1/a", "/z")], "p string").select(library.storage_kind(F.col("p"), "/b", "/w"))
+    assert [r[0] for r in kinds.collect()] == ["books", "legacy_cache", "cache", "work", None]
+    rec = spark.createDataFrame([("1", "a", "2024-01-01", "/o", "h"), ("2", "a", "2024-01-02", "/p", "h")], "cik string, accn string, date string, original_path string, original_hash string")
+    assert [r["cik"] for r in library.listed(rec).orderBy("rank").collect()] == ["2", "1"]
+    assert [r["cik"] for r in library.verified(rec, spark.createDataFrame([("/o", "h"), ("/p", "x")], "path string, sha256 string")).collect()] == ["1"]
+    row = spark.createDataFrame([("0000000001", 2, True, 0, 3, 0, None)], "cik string, new_count long, first_run boolean, truncated long, history_skipped long, since_skipped long, warning string")
+    assert row.select(updates.summary_line()).first()[0] == "CIK 0000000001, 2 new, first run, 3 history"
+
+
+def test_oversized_batches_are_not_frozen(spark):
+    from sedimenta.operators import updates as u
+
+    rows = spark.range(600).select(F.lit("1").alias("cik"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("accn"), F.lit("8-K").alias("form"), F.lit("2024-01-01").alias("date"), F.col("id").alias("pos"))
+    subs = u.subscriptions(spark.createDataFrame([("1", True)], "cik string, first_run_done boolean"))
+    new, ups = u.plan(u.normalized(rows), subs, max_new=600)
+    assert u.freeze(subs, new, ups).count() == 0 and u.freeze(subs, *u.plan(u.normalized(rows), subs, max_new=512)).first()["new_count"] == 512
