@@ -124,6 +124,32 @@ def image_outcome(items: DataFrame, got: DataFrame, most_bytes: int = 5 << 20) -
     return rows.withColumns({"outcome": outcome, "kind": F.coalesce("seen", "kind")}).drop("seen")
 
 
+def with_images(pages: DataFrame, refs: DataFrame, outcomes: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key and its markup with every image taken from the book (images/item.ending), or by its alternative text where there is none.
+
+    refs come from image_plan, outcomes from image_outcome.
+    """
+    ends = F.create_map(*(F.lit(x) for kv in urls.ENDINGS.items() for x in kv))
+    good = outcomes.where("outcome = 'ok'").select("item", F.concat(F.lit("images/"), "item", F.lit("."), ends[F.col("kind")]).alias("href"))
+    per = refs.join(good, "item", "left").where("href is not null").groupBy(key).agg(F.collect_list(F.struct("pos", "href")).alias("_images"))
+    rows = pages.select(key, html).join(per, key, "left")
+
+    def make(raw: str | None, images: list[dict] | None) -> list[tuple]:
+        hrefs, n, out, at = {i["pos"]: i["href"] for i in images or ()}, 0, [], 0
+        s = raw or ""
+        for name in ("script", "style", "head"):
+            s = markup.without(s, name)
+        for m in markup.TAG.finditer(s):
+            if m[2].lower() == "img" and not m[1]:
+                alt = (markup.attributes(m[3]).get("alt") or "").replace('"', "&quot;")
+                to = f'<img src="{hrefs[n]}" alt="{alt}"/>' if n in hrefs else f"[{alt}]" if alt else ""
+                out += [s[at : m.start()], to]
+                at, n = m.end(), n + 1
+        return [("".join([*out, s[at:]]),)]
+
+    return _per_row(rows, key, [html, "_images"], make, "html string")
+
+
 def image_statistics(outcomes: DataFrame) -> DataFrame:
     """For each outcome: images, references, bytes and the most bytes of one."""
     return outcomes.groupBy("outcome").agg(F.count("*").alias("n_images"), F.sum("n_refs").alias("n_refs"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.max("bytes"), F.lit(0)).cast("long").alias("most_bytes"))

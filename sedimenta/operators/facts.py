@@ -99,7 +99,8 @@ def candidates(defs: DataFrame, companies: DataFrame, info: DataFrame, errors: D
     info has a row for each cik and tag that was got; errors(cik, tag, code, message) for those that
     were not.  The tag with the newest period is chosen, of equal ones the first in the list.
     """
-    rows = defs.join(companies.select("cik")).join(info, ["cik", "tag"], "left") if "tag" in info.columns else defs
+    every = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in r.asDict().items())) for r in defs.collect()))  # a few dozen definitions
+    rows = companies.select("cik", F.inline(every)).join(info, ["cik", "tag"], "left")
     rows = rows.join(errors.select("cik", "tag", "code", "message"), ["cik", "tag"], "left")
     status = (
         F.when(F.col("periods") > 0, "ok").when(F.col("entries").isNotNull(), "no period").when(F.col("code") == 404, "never reported")

@@ -302,6 +302,27 @@ def translate(plan: list[dict], call: Callable[[list[dict]], str]) -> list[dict]
     return out
 
 
+def planned(pages: DataFrame, key: str, html: str, caches: list[DataFrame], make_key: Callable[[Column], Column], size: int = PIECE) -> DataFrame:
+    """The nodes of pages, long texts in pieces: key, pos, kind, text, k (its cache key), needs, and done, what stands in its place.
+
+    Tags, blanks and text that needs no language stand for themselves; other text for its first good
+    answer in the caches, newest first; done is null where there is none.
+    """
+    rows = html_pieces(pages, key, html, size)
+    texts = rows.where("kind = 'text'").withColumn("k", make_key(F.col("text")))
+    frag = fragments(texts, [key, "pos", "kind", "text", "k"])
+    need = F.col("requires_language") & (F.trim("text") != "")
+    got = cached(frag.where(need), [("k", c) for c in caches]) if caches else frag.where(need).withColumn("restored", F.lit(None).cast("string"))
+    cols = [key, "pos", "kind", "text", "k"]
+    out = got.select(*cols, F.lit(True).alias("needs"), F.col("restored").alias("done")).union(frag.where(~need).select(*cols, F.lit(False), "text"))
+    return out.union(rows.where("kind <> 'text'").select(key, "pos", "kind", "text", F.lit(None).cast("string"), F.lit(False), F.when(F.col("kind") == "tag", F.col("text"))))
+
+
+def translated(plan: DataFrame, key: str) -> DataFrame:
+    """key and html of planned nodes: tags byte for byte, texts by their answers; null where one is missing, or the page was refused."""
+    return assembled(plan, key, "done")
+
+
 #: What tokens() takes for a unit: URLs, entities, anything with a digit, financial symbols.
 UNIT = r"https?://[^\s<>]+|&[A-Za-z]+;|&#[0-9]+;|[^\s]*[0-9][^\s]*|[$€£¥%]"
 

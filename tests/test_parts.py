@@ -442,3 +442,31 @@ def test_oversized_batches_are_not_frozen(spark):
     subs = u.subscriptions(spark.createDataFrame([("1", True)], "cik string, first_run_done boolean"))
     new, ups = u.plan(u.normalized(rows), subs, max_new=600)
     assert u.freeze(subs, new, ups).count() == 0 and u.freeze(subs, *u.plan(u.normalized(rows), subs, max_new=512)).first()["new_count"] == 512
+
+
+def test_pages_are_translated_from_the_cache(spark):
+    """Planning and assembling share the splitting: what is missing is planned, then cached, then the page is whole; tags stay as they are."""
+    from sedimenta.operators import fragments as f
+
+    pages = spark.createDataFrame([(1, "<p class='a'>Sales rose 5%</p> <b>$7</b>"), (2, "<script>x</script>"), (3, "<i>Net</i>")], "id long, html string")
+    key = lambda t: f.cache_key(t, version="1", endpoint="e", model="m", thinking="off", language="zh-CN")
+    plan = f.planned(pages, "id", "html", [], key)
+    todo = {(r["id"], r["text"]): r["k"] for r in plan.where("needs and done is null").collect()}
+    assert set(todo) == {(1, "Sales rose 5%"), (3, "Net")}
+    assert {r["id"]: r["html"] for r in f.translated(plan, "id").collect()} == {1: None, 2: None, 3: None}
+    cache = spark.createDataFrame([(todo[1, "Sales rose 5%"], "销售增长 SECX1X"), (todo[3, "Net"], "Net")], "key string, value string")
+    older = spark.createDataFrame([(todo[3, "Net"], "净")], "key string, value string")
+    got = {r["id"]: r["html"] for r in f.translated(f.planned(pages, "id", "html", [cache, older], key), "id").collect()}
+    assert got == {1: "<p class='a'>销售增长 5%</p> <b>$7</b>", 2: None, 3: "<i>净</i>"}
+
+
+def test_images_in_books(spark):
+    from sedimenta.functions import html as h
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 16
+    pages = spark.createDataFrame([(1, "https://www.sec.gov/a/", "<p><img src=a.png alt='A &lt;'>x<IMG SRC='http://evil/b.png' alt=B><img src='c.png'></p>")], "page_id long, url string, html string")
+    refs, items = h.image_plan(pages)
+    got = items.select("item", F.when(F.col("target").endswith("a.png"), F.lit(png)).alias("content"), F.when(F.col("target").endswith("c.png"), "net").alias("failure"))
+    out = h.with_images(pages, refs, h.image_outcome(items, got)).first()["html"]
+    item = items.where("target like '%a.png'").first()["item"]
+    assert out == f'<p><img src="images/{item}.png" alt="A &lt;"/>x[B]</p>'
