@@ -37,6 +37,8 @@ theatre archive university hospital church kitchen painting poetry football cycl
 railway airport market bakery carpenter physics chemistry biology geology astronomy language grammar dictionary
 software database compiler research journal college student teacher family children parents health nutrition yoga
 novel cinema orchestra gallery festival harbour forest farming weather climate energy economy parliament council""".split()
+#: Made-up names among the ordinary ones.
+MADE_UP = 200
 PREFIXES = ["", "www.", "m.", "blog."]
 ENDINGS = [".com", ".org", ".net", ".info", ".example.com", ".example.org", ".example.net"]
 PATHS = ["/", "/en/12", "/de/345.html", "/fr/678?page=2", "/es/90/", "/a/b#top", ""]
@@ -45,12 +47,17 @@ PATHS = ["/", "/en/12", "/de/345.html", "/fr/678?page=2", "/es/90/", "/a/b#top",
 def labelled() -> list[tuple[str, int]]:
     """A small labelled table: 1 marks URLs to block.
 
-    Hosts are single words, and pairs of words of one kind with and without a hyphen.  Prefixes,
-    endings and paths occur with both labels alike, so that only the words tell them apart.
+    Hosts are single words, and pairs of words of one kind with and without a hyphen.  An unwanted
+    word beside an ordinary one is unwanted, too.  Ordinary hosts are also made-up names of
+    syllables, as a name that says nothing is no ground to block.
+    Prefixes, endings and paths occur with both labels alike, so that only the words tell them apart.
     """
     out = []
+    syllables = [c + v + e for c in "bdfghklmnprstvw" for v in "aeiou" for e in ("", "n", "r", "s", "th")]
+    made_up = ["".join(syllables[(k * 7919 + j * 104_729 + j * j * k) % len(syllables)] for j in range(1, 3 + k % 3)) for k in range(MADE_UP)]
+    mixed = [name for k, a in enumerate(UNWANTED) for j in range(3) for b in [ORDINARY[(k * 13 + j * 29) % len(ORDINARY)]] for name in (f"{a}-{b}" if j % 2 else f"{a}{b}", f"{b}{a}" if j % 2 else f"{b}-{a}")]
     for words, label in ((UNWANTED, 1), (ORDINARY, 0)):
-        names = [*words, *(f"{a}{'-' if k % 2 else ''}{b}" for k, a in enumerate(words) for b in (words[(k + 7) % len(words)], words[(k * 5 + 3) % len(words)]) if a != b)]
+        names = [*words, *(mixed if label else made_up), *(f"{a}{'-' if k % 2 else ''}{b}" for k, a in enumerate(words) for b in (words[(k + 7) % len(words)], words[(k * 5 + 3) % len(words)]) if a != b)]
         for k, name in enumerate(names):
             for j in range(4):
                 out.append((f"https://{PREFIXES[(j + k) % len(PREFIXES)]}{name}{ENDINGS[(3 * j + k) % len(ENDINGS)]}{PATHS[(2 * j + k) % len(PATHS)]}", label))
