@@ -38,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ RARE = 24
 #: Least and most bits of a parity sketch; between, the first power of two that the set's size reaches.
 SKETCH = (256, 1 << 14)
 #: Shingles that a task counts at once.
-COUNT_AT_ONCE = 2_000_000
+COUNT_AT_ONCE = 1_000_000
 
 _I = np.int64
 
@@ -447,11 +448,14 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a, b with their sets, to whether they are within the radius, their distance, and the bytes of b's set."""
+    """Pairs a, b with their sets, to whether they are within the radius, their distance, and the bytes of b's set; some at a time."""
     for batch in batches:
         if batch.num_rows:
-            both, n, m = overlaps(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(within(both, n, m)), pa.array(1 - both / (n + m - both)), pa.array(8 * m)], ["a", "b", "near", "d", "bytes"])
+            size = sum(pa.compute.binary_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(_I) for k in (2, 3)) // 8
+            for rows in tiles(np.arange(batch.num_rows), size):
+                part = batch.slice(int(rows[0]), len(rows))
+                both, n, m = overlaps(part.column(2).to_pylist(), part.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(within(both, n, m)), pa.array(1 - both / (n + m - both)), pa.array(8 * m)], ["a", "b", "near", "d", "bytes"])
 
 
 def links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
