@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.blocks import Block, blocks, mix, powers
+from sedimenta.llm.blocks import Block, blocks, powers
 
 #: Weights of the model (hash buckets).
 BUCKETS = 1 << 18
