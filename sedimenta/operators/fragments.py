@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -50,7 +51,9 @@ def units(text: str) -> list[str]:
     return _UNIT.findall(text)
 
 
+@lru_cache(1 << 16)  # words come again and again
 def _kept(u: str) -> bool:
+    """Whether a unit must come back unchanged."""
     return u in SYMBOLS or any(c.isascii() and c.isdigit() for c in u) or unicodedata.category(u[0]) == "Nd" or u.startswith(("http://", "https://")) or re.fullmatch(r"&[#A-Za-z0-9]+;", u) is not None or u in NAMES or ":" in u
 
 
@@ -66,10 +69,11 @@ def protect(text: str) -> tuple[str, list[str], bool, list[str]]:
             kept.append(u)
             out.append(f"SECX{len(kept)}X")
         else:
-            word = u.lower().rstrip(".")
-            if _HYPHENED.fullmatch(word) and re.search("[a-z]-[a-z]", word):
-                words.append(word)
             out.append(u)
+            if "-" in u:
+                word = u.lower().rstrip(".")
+                if _HYPHENED.fullmatch(word) and re.search("[a-z]-[a-z]", word):
+                    words.append(word)
     protected = "".join(out)
     rest = re.sub(r"(?<![A-Za-z])us-gaap(?![A-Za-z])", "", _MARK.sub("", protected))
     mark = text
