@@ -51,33 +51,36 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def share(n: Column, total: Column, terms: Column, scale: int = SCALE) -> Column:
-    """1 + floor(scale * (n + 1) / (total + terms)), exactly."""
-    whole = F.lit(scale).cast("decimal(38,0)") * (n + 1).cast("decimal(38,0)")
-    return F.lit(1) + F.call_function("div", whole, (total + terms).cast("decimal(38,0)"))
+    """1 + floor(scale * (n + 1) / (total + terms)), exactly: in longs where they hold it, else in decimals."""
+    small = F.call_function("div", F.lit(scale).cast("long") * (n + 1), total + terms)
+    wide = F.call_function("div", F.lit(scale).cast("decimal(38,0)") * (n + 1).cast("decimal(38,0)"), (total + terms).cast("decimal(38,0)"))
+    return F.lit(1) + F.when(n < (2**63 - 1) // scale - 1, small).otherwise(wide)
 
 
 def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def densified(docs: DataFrame, scratch: Scratch, least: int = LEAST_DOCS, scale: int = SCALE) -> tuple[DataFrame, DataFrame]:
-    """(groups: lang, source; lang, source, term, n, p and q of every group and every kept term of its language).
+def densified(docs: DataFrame, scratch: Scratch, least: int = LEAST_DOCS, scale: int = SCALE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups: lang, source and their number gid; kept: lang, term and their number tid; tid, gid, n, p and q of each group and each kept term of its language).
 
-    p is the group's share, q the language's.
+    p is the group's share, q the language's.  Terms and groups are numbered once, so that what is as
+    large as groups times terms is joined by numbers.
     """
     counts = scratch.write(counted(docs), "counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least).drop("docs")
-    kept = scratch.write(kept, "kept")
-    groups = scratch.write(grouped(docs).select("lang", "source").distinct(), "groups")
+    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least)
+    kept = scratch.write(kept.select(F.monotonically_increasing_id().alias("tid"), "lang", "term", "lang_n"), "kept")
+    groups = scratch.write(grouped(docs).select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()), "groups")
+    known = scratch.write(counts.join(kept.select("tid", "lang", "term"), ["lang", "term"]).join(groups, ["lang", "source"]).select("tid", "gid", "n"), "known")
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-    totals = counts.join(kept, ["lang", "term"]).groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = known.groupBy("gid").agg(F.sum("n").alias("total"))
     parts = 1 + kept.count() // PART
-    own = groups.join(langs, "lang").join(totals, ["lang", "source"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    every = own.join(kept.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")), ["lang", "part"])
-    every = every.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    own = groups.join(langs, "lang").join(totals, "gid", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    every = own.join(kept.select("tid", "lang", "lang_n", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")), ["lang", "part"])
+    every = every.join(known, ["tid", "gid"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     p = share(F.col("n"), F.coalesce("total", F.lit(0)), F.col("terms"), scale)
     q = share(F.col("lang_n"), F.col("lang_total"), F.col("terms"), scale)
-    return groups, scratch.write(every.select("lang", "source", "term", "n", p.alias("p"), q.alias("q")), "dense")
+    return groups, kept, scratch.write(every.select("tid", "gid", "n", p.alias("p"), q.alias("q")), "dense")
 
 
 def audit(docs: DataFrame, *, least: int = LEAST_DOCS, scale: int = SCALE, top: int = TOP) -> DataFrame:
@@ -88,15 +91,15 @@ def audit(docs: DataFrame, *, least: int = LEAST_DOCS, scale: int = SCALE, top:
     from it, the first top of them.
     """
     scratch = Scratch(docs.sparkSession)
-    groups, dense = densified(docs, scratch, least, scale)
-    one, two = dense.select("lang", "term", "source", "p"), dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    met = one.join(two, ["lang", "term"]).where("source <> item")
-    sums = met.groupBy("lang", "source", "item").agg(F.sum(divergence(F.col("p"), F.col("q"))).alias("value"))
-    pairs = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
-    pairs = pairs.join(sums, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+    groups, kept, dense = densified(docs, scratch, least, scale)
+    one, two = dense.select("tid", "gid", "p"), dense.select("tid", F.col("gid").alias("other"), F.col("p").alias("q"))
+    sums = one.join(two, "tid").where("gid <> other").groupBy("gid", "other").agg(F.sum(divergence(F.col("p"), F.col("q"))).alias("value"))
+    pairs = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("gid").alias("other")), "lang").where("gid <> other")
+    pairs = pairs.join(sums, ["gid", "other"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
     by = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(by))
-    terms = dense.where("n > 0 and p > q").select("lang", "source", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
+    terms = dense.where("n > 0 and p > q").select("tid", "gid", divergence(F.col("p"), F.col("q")).alias("value"))
+    terms = terms.join(groups.select("gid", "source"), "gid").join(kept.select("tid", "lang", F.col("term").alias("item")), "tid")
     terms = terms.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
     columns = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
     return columns(pairs, "pair").unionByName(columns(terms, "term"))
