@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.functions import markup, tables, urls
+from sedimenta.functions import balance, markup, tables, urls
 
 #: Bytes below which a cleaned document is refused, and of a text that counts as one in a check.
 LEAST_BYTES, LEAST_TEXT = 200, 2048
@@ -156,7 +156,7 @@ def image_statistics(outcomes: DataFrame) -> DataFrame:
 
 
 def _found_tables(html: str | None) -> Iterator[tables.Grid]:
-    html, at = html or "", 0
+    html, at = balance.balanced(html or "")[0], 0
     while m := markup.TAG.search(html, at):
         at = m.end()
         if m[2].lower() == "table" and not m[1] and (end := tables.element_end(html, "table", at)):

@@ -17,17 +17,18 @@ ALIGNED = ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "col
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "minus": "−", "times": "×", "hellip": "…", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“"}
 BLANKS = "      ​"
 DASHES = ("—", "–", "-")
+_BLANK = dict.fromkeys(map(ord, BLANKS), " ")
 
-#: A tag; quoted attribute values may hold a closing bracket.
-TAG = re.compile(r"""<(/?)([A-Za-z][\w:.-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""")
+#: A tag; quoted attribute values may hold brackets.
+TAG = re.compile(r"""<(/?)([A-Za-z][\w:.-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""([\w:.-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 def attributes(text: str) -> dict[str, str | None]:
     """The attributes of a tag by lower-case names; the first of equal names counts, a bare one has no value."""
     out: dict[str, str | None] = {}
-    for name, *values in _ATTRIBUTE.findall(text.rstrip("/ ")):
-        out.setdefault(name.lower(), next((v for v in values if v), "" if "=" in text else None))
+    for m in _ATTRIBUTE.finditer(text.rstrip("/ ")):
+        out.setdefault(m[1].lower(), m[m.lastindex] if m.lastindex > 1 else None)
     return out
 
 
@@ -35,15 +36,18 @@ def _entity(m: re.Match) -> str:
     digits, hexes, name = m.groups()
     if name:
         return ENTITIES.get(name.lower(), "")
+    if len(digits or hexes) > 9:
+        return ""
     n = int(digits) if digits else int(hexes, 16)
     return chr(n) if 32 <= n <= 0x10FFFF and not 0xD800 <= n < 0xE000 else ""
 
 
 def plain_text(html: str) -> str:
     """The text without tags, entities decoded (unknown named ones go), blanks of any kind in a row as one."""
-    t = re.sub("<[^>]*>", " ", html)
-    t = re.sub(r"&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);|&([A-Za-z]+);", _entity, t)
-    return " ".join(t.translate(dict.fromkeys(map(ord, BLANKS), " ")).split())
+    t = re.sub("<[^<>]*+>", " ", html) if "<" in html else html
+    if "&" in t:
+        t = re.sub(r"&#([0-9]++);|&#[xX]([0-9A-Fa-f]++);|&([A-Za-z]++);", _entity, t)
+    return " ".join((t if t.isascii() else t.translate(_BLANK)).split())
 
 
 @lru_cache(4096)
@@ -62,23 +66,26 @@ def text_width(text: str) -> float:
     return sum(map(_width, text))
 
 
+_word_width = lru_cache(1 << 14)(text_width)
+
+
 def token_width(text: str) -> float:
     """The width of its widest part without a blank: it cannot get narrower."""
-    return max(map(text_width, text.split()), default=0.0)
+    return max((_word_width(w) if len(w) < 40 else text_width(w) for w in text.split()), default=0.0)
+
+
+_MONEY, _NUMBER = re.compile(r"[$\s%]"), re.compile(r"\(?[-–—]?[0-9,.]+\)?")
 
 
 def is_numeric(text: str) -> bool:
     """A number as statements print it: with currency, percent, parentheses or a sign; or a lone dash."""
-    x = re.sub(r"[$\s%]", "", text)
-    if x in DASHES:
-        return True
-    x = re.sub(r"^[-–—]", "", re.sub(r"^\(|\)$", "", x))
-    return re.fullmatch("[0-9,.]+", x) is not None
+    x = _MONEY.sub("", text)
+    return x in DASHES or _NUMBER.fullmatch(x) is not None
 
 
 def is_amount(text: str) -> bool:
     """A number of over four digits: a sum, not a year or a note."""
-    return is_numeric(text) and sum(c.isdigit() for c in text) > 4
+    return len(text) > 4 and sum(map(str.isdigit, text)) > 4 and is_numeric(text)
 
 
 def has_letters(text: str) -> bool:
@@ -91,7 +98,7 @@ _HIDING = [
     (re.compile(r"line-height\s*:\s*0+(?:\.0*)?(?![\d.])[^;\"'>]*", re.I), ""),
     (re.compile(r"display\s*:\s*none\s*;?|visibility\s*:\s*hidden\s*;?", re.I), ""),
     (re.compile(r"color\s*=\s*[\"']?(?:#?ffffff|white)[\"']?", re.I), ""),
-    (re.compile(r"\s+style\s*=\s*[\"'][\s;]*[\"']", re.I), ""),
+    (re.compile(r"(?<!\s)\s++style\s*=\s*[\"'][\s;]*+[\"']", re.I), ""),
 ]
 
 
@@ -128,8 +135,8 @@ def subtotals(html: str) -> tuple[str, int]:
 
 def alignment(own: dict[str, str | None]) -> str | None:
     found = re.search(r"text-align\s*:\s*([A-Za-z-]+)", own.get("style") or "")
-    to = found[1] if found else own.get("align")
-    return to if to and to != "left" else None
+    to = found[1] if found else own.get("align") or ""
+    return to if to != "left" and re.fullmatch("[A-Za-z-]+", to) else None
 
 
 def plain_tags(html: str) -> str:
@@ -156,7 +163,7 @@ def without(html: str, name: str) -> str:
     if f"<{name}" not in html.lower():
         return html
     out, depth, at = [], 0, 0
-    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s>/])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", html, re.I):
+    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s>/])(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>", html, re.I):
         if not depth and not m[1]:
             out.append(html[at : m.start()])
         if not m[0].endswith("/>"):
@@ -170,32 +177,19 @@ def without(html: str, name: str) -> str:
     return "".join(out)
 
 
-_ENVELOPE = re.compile(r"<document\s*>.*?<text\s*>|</text\s*>.*?</document\s*>", re.I | re.S)
-_PROLOGUE = re.compile(r"﻿|<\?.*?\?>|<!doctype.*?>", re.I | re.S)
-
-
 def clean(raw: str, images: bool = True, **wide) -> tuple[str, dict[str, int]]:
     """A filing's markup for reading, and what was found: images, subtotal_marks, tables, split, subtables, kept, collapsed.
 
-    In order: prologue, scripts and styles, hiding styles, the submission's envelope, inline data,
-    images if unwanted, document tags, subtotal lines, wide tables, presentation.  Markup is not
-    balanced: tags that do not match stay as they are.
+    Well-formed for any input; cleaning the result again changes nothing in it.  Prologue, scripts,
+    styles, the submission's envelope, inline data, document tags, hiding styles and presentation go,
+    images if unwanted; then wide tables are cut into parts.
     """
+    from sedimenta.functions.balance import balanced
     from sedimenta.functions.tables import split_wide
 
-    s = _PROLOGUE.sub("", raw)
-    s = without(without(s, "script"), "style")
-    s = _ENVELOPE.sub("", unhidden(s))
-    for name in DROPPED[4:]:
-        s = without(s, name)
-    s = re.sub(r"</?[\w.-]+:[\w.-]+(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", "", s)
-    pictures = re.findall(r"<img(?=[\s/>])[^>]*>", s, re.I)
-    if not images:
-        s = re.sub(r"<img(?=[\s/>])[^>]*>", "", s, flags=re.I)
-    s = without(without(s, "head"), "title")
-    s, marks = subtotals(s)
-    s, found = split_wide(s, **wide)
-    return plain_tags(s), {"images": len(pictures), "subtotal_marks": marks} | found
+    s, found = balanced(raw, images)
+    s, more = split_wide(s, **wide)
+    return s, found | more
 
 
 def unescaped(text: str) -> str:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from collections.abc import Iterator
+from dataclasses import dataclass
+from heapq import heappop, heappush
 
 from sedimenta.functions.markup import TAG, _classes, alignment, attributes, is_amount, is_numeric, has_letters, plain_text, token_width
 
 #: Em of a page and columns of a part, columns of a label, live columns that a heading binds, and nested levels.
 BUDGET, COLUMNS, LABELS, BOUND, DEPTH = 15.0, 6, 3, 4, 3
+#: Most columns and rows of a span, as the HTML standard has them.
+SPANS = 1000, 65534
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Cell:
     row: int
     col: int
@@ -25,20 +30,61 @@ class Cell:
 
 @dataclass
 class Grid:
-    """Cells laid out with their spans: at has the cell of each place, live the columns where some text begins."""
+    """Cells laid out with their spans, found by row and by column.
 
-    cells: list[Cell] = field(default_factory=list)
-    at: dict[tuple[int, int], Cell] = field(default_factory=dict)
-    rows: int = 0
-    columns: int = 0
-    row_class: dict[int, str] = field(default_factory=dict)
+    live: the columns where some text begins; widest: the least width of what begins in a column.
+    """
+
+    cells: list[Cell]
+    rows: int
+    columns: int
+    row_class: dict[int, str]
 
-    @property
-    def live(self) -> list[int]:
-        return sorted({c.col for c in self.cells if c.text})
+    def __post_init__(self):
+        self.by_column: dict[int, list[Cell]] = {}
+        for c in self.cells:
+            self.by_column.setdefault(c.col, []).append(c)
+        self.live = sorted(col for col, cells in self.by_column.items() if any(c.text for c in cells))
+        self.widest = {col: max(token_width(c.text) for c in cells) for col, cells in self.by_column.items()}
 
     def starting(self, column: int) -> list[Cell]:
-        return [c for c in self.cells if c.col == column]
+        return self.by_column.get(column, [])
+
+    def under(self, c: Cell) -> tuple[int, int]:
+        """The places in live of the columns that a cell covers: from, to (exclusive)."""
+        return bisect_left(self.live, c.col), bisect_left(self.live, c.col + c.cs)
+
+
+class _Taken:
+    """The columns that cells of rows above hold in a row: intervals without a gap between them, and when each span ends."""
+
+    def __init__(self):
+        self.ends: list[tuple[int, int, int]] = []  # last row, first and last column
+        self.intervals: list[tuple[int, int]] = []
+
+    def row(self, row: int) -> None:
+        """Spans that end before a row leave."""
+        if self.ends and self.ends[0][0] < row:
+            while self.ends and self.ends[0][0] < row:
+                heappop(self.ends)
+            self.intervals = []
+            for _, a, b in sorted(self.ends, key=lambda x: x[1]):
+                if self.intervals and a <= self.intervals[-1][1] + 1:
+                    self.intervals[-1] = self.intervals[-1][0], max(b, self.intervals[-1][1])
+                else:
+                    self.intervals.append((a, b))
+
+    def add(self, spans: list[tuple[int, int, int]]) -> None:
+        """Spans of the row at hand, which hold from the next one on."""
+        for x in spans:
+            heappush(self.ends, x)
+        both = sorted([*self.intervals, *((a, b) for _, a, b in spans)])
+        self.intervals = both[:1]
+        for a, b in both[1:]:
+            if a <= self.intervals[-1][1] + 1:
+                self.intervals[-1] = self.intervals[-1][0], max(b, self.intervals[-1][1])
+            else:
+                self.intervals.append((a, b))
 
 
 def element_end(html: str, name: str, start: int) -> tuple[int, int] | None:
@@ -60,39 +106,64 @@ def element_end(html: str, name: str, start: int) -> tuple[int, int] | None:
     return None
 
 
-def _span(value: str | None) -> int:
-    return max(1, int(value)) if value and value.isascii() and value.isdigit() else 1
+def _span(value: str | None, most: int) -> int:
+    return min(max(1, int(value)), most) if value and value.isascii() and value.isdigit() and len(value) < 10 else 1
+
+
+def _cells(table: str, at: int) -> Iterator[tuple[str, str | None, str]]:
+    """(tr, its attributes, "") and (td or th, its attributes, what it holds) of a table from a place on, in one pass.
+
+    A cell that is not closed ends where the next cell or row begins.
+    """
+    depth, cell = 0, None  # tables inside; name, attributes and start of the open cell
+    for m in TAG.finditer(table, at):
+        name = m[2].lower()
+        if name == "table":
+            depth += -1 if m[1] else 1
+            if depth < 0:
+                break
+        elif not depth and name in ("td", "th", "tr"):
+            if cell and (not m[1] or name in (cell[0], "tr")):
+                yield cell[0], cell[1], table[cell[2] : m.start()]
+                cell = None
+            if m[1]:
+                continue
+            if name == "tr":
+                yield name, m[3], ""
+            elif m[3].endswith("/"):
+                yield name, m[3], ""
+            else:
+                cell = name, m[3], m.end()
+    if cell:
+        yield cell[0], cell[1], table[cell[2] : m.start()]
 
 
 def grid(table: str) -> Grid:
     """The grid of a table (its tags included); nested tables belong to the cell that holds them."""
-    g = Grid()
     head = TAG.match(table)
-    at = head.end() if head else 0
-    while m := TAG.search(table, at):
-        name, at = m[2].lower(), m.end()
-        if name == "table":
-            if m[1] or not (end := element_end(table, "table", at)):
-                break
-            at = end[1]
-        elif name == "tr" and not m[1]:
-            g.rows += 1
-            g.row_class[g.rows] = _classes(attributes(m[3]).get("class"))
-        elif name in ("td", "th") and not m[1]:
-            own, inner = attributes(m[3]), ""
-            if not m[3].endswith("/") and (end := element_end(table, name, at)):
-                inner, at = table[at : end[0]], end[1]
-            g.rows = max(1, g.rows)
-            col = 1
-            while (g.rows, col) in g.at:
-                col += 1
-            cell = Cell(g.rows, col, _span(own.get("colspan")), _span(own.get("rowspan")), name, own, inner, plain_text(inner))
-            g.cells.append(cell)
-            for r in range(cell.rs):
-                for c in range(cell.cs):
-                    g.at[cell.row + r, col + c] = cell
-            g.columns = max(g.columns, col + cell.cs - 1)
-    return g
+    cells: list[Cell] = []
+    row_class: dict[int, str] = {}
+    taken, rows, columns = _Taken(), 0, 0
+    next_, k, down = 1, 0, []  # the next column of the row, the place in the intervals taken, spans to rows below
+    for name, raw, inner in _cells(table, head.end() if head else 0):
+        own = attributes(raw) if raw else {}
+        if name == "tr":
+            if down:
+                taken.add(down)
+            rows, next_, k, down = rows + 1, 1, 0, []
+            taken.row(rows)
+            row_class[rows] = _classes(own.get("class"))
+            continue
+        rows = max(1, rows)
+        while k < len(taken.intervals) and taken.intervals[k][0] <= next_:
+            next_, k = max(next_, taken.intervals[k][1] + 1), k + 1
+        cell = Cell(rows, next_, _span(own.get("colspan"), SPANS[0]), _span(own.get("rowspan"), SPANS[1]), name, own, inner, plain_text(inner))
+        cells.append(cell)
+        next_ += cell.cs
+        columns = max(columns, next_ - 1)
+        if cell.rs > 1:
+            down.append((cell.row + cell.rs - 1, cell.col, next_ - 1))
+    return Grid(cells, rows, columns, row_class)
 
 
 def labels(g: Grid) -> list[int]:
@@ -108,27 +179,44 @@ def labels(g: Grid) -> list[int]:
 
 def bound(g: Grid) -> set[int]:
     """Live columns that must stay with the next one, as one cell spans both and not many more."""
-    out = set()
+    out: set[int] = set()
     for c in g.cells:
-        under = [x for x in g.live if c.col <= x < c.col + c.cs]
-        if c.cs > 1 and len(under) <= BOUND:
-            out.update(under[:-1])
+        if c.cs > 1:
+            a, b = g.under(c)
+            if 1 < b - a <= BOUND:
+                out.update(g.live[a : b - 1])
     return out
 
 
 def width(g: Grid, columns: list[int]) -> float:
     """The least width of columns: their widest unbreakable texts and an em for each."""
-    return sum(max((token_width(c.text) for c in g.starting(col)), default=0.0) + 1.0 for col in columns)
+    return sum(g.widest.get(col, 0.0) + 1.0 for col in columns)
+
 
+def headed(g: Grid) -> set[int]:
+    """Live columns whose headings are those of the live column before.
 
-def signatures(g: Grid) -> dict[int, str]:
-    """For each column the headings above it; empty without rows before the first one with two amounts."""
+    Headings are the texts above the first row with two amounts.  Two columns have the same ones if
+    some text stands above them and none above only one of them.
+    """
     amounts: dict[int, int] = {}
     for c in g.cells:
-        amounts[c.row] = amounts.get(c.row, 0) + is_amount(c.text)
+        if is_amount(c.text):
+            amounts[c.row] = amounts.get(c.row, 0) + 1
     first = min((r for r, n in amounts.items() if n >= 2), default=1)
-    above = {col: [g.at[r, col] for r in range(1, first) if (r, col) in g.at] for col in range(1, g.columns + 1)}
-    return {col: "|".join(f"{c.text}@{c.col}" for c in cells if c.text) for col, cells in above.items()}
+    cut, change = set(), [0] * (len(g.live) + 1)
+    for c in g.cells:
+        if c.row < first and c.text:
+            a, b = g.under(c)
+            cut.update((a, b))
+            change[a] += 1
+            change[b] -= 1
+    above, out = 0, set()
+    for k, col in enumerate(g.live):
+        above += change[k]
+        if above and k not in cut:
+            out.add(col)
+    return out
 
 
 def chunks(g: Grid, budget: float = BUDGET, most: int | None = COLUMNS) -> list[list[int]]:
@@ -138,10 +226,10 @@ def chunks(g: Grid, budget: float = BUDGET, most: int | None = COLUMNS) -> list[
     first piece of a part is taken even if it alone is too wide.
     """
     label = labels(g)
-    own, sign, tied = width(g, label), signatures(g), bound(g)
+    own, same, tied = width(g, label), headed(g), bound(g)
     groups: list[list[int]] = []
-    for col in (c for c in g.live if c not in label):
-        if groups and sign.get(col) and sign[col] == sign.get(groups[-1][-1]):
+    for col in g.live[len(label) :]:
+        if groups and col in same:
             groups[-1].append(col)
         else:
             groups.append([col])
@@ -171,21 +259,24 @@ def chunks(g: Grid, budget: float = BUDGET, most: int | None = COLUMNS) -> list[
 
 
 def render(g: Grid, columns: list[int]) -> str:
-    """The table with some of its columns: spans are counted anew, rows without text go."""
-    have = set(columns)
-    seen = lambda c: sum(x in have for x in range(c.col, c.col + c.cs))
-    kept = {r: [c for c in g.cells if c.row == r and c.col in have] for r in range(1, g.rows + 1)}
-    kept = {r: cells for r, cells in kept.items() if any(c.text for c in cells)}
-    out = []
-    for r, cells in kept.items():
-        row = []
-        for c in cells:
-            down = sum(rr in kept for rr in range(c.row, min(c.row + c.rs, g.rows + 1)))
-            own = {"colspan": seen(c) if seen(c) > 1 else None, "rowspan": down if c.rs > 1 and down > 1 else None, "id": c.own.get("id"), "class": _classes(c.own.get("class")) or None}
-            own["style"] = f"text-align:{to}" if (to := alignment(c.own)) else None
-            row.append(f"<{c.tag}{''.join(f' {k}=%s' % (chr(34) + str(v) + chr(34)) for k, v in own.items() if v)}>{c.inner}</{c.tag}>")
-        out.append(f"<tr{f' class={chr(34)}{g.row_class[r]}{chr(34)}' if g.row_class.get(r) else ''}>{''.join(row)}</tr>")
-    return f"<table>{''.join(out)}</table>"
+    """The table with some of its columns, in order: spans are counted anew, rows without text go."""
+    rows: dict[int, list[Cell]] = {}
+    for col in columns:
+        for c in g.starting(col):
+            rows.setdefault(c.row, []).append(c)
+    kept = sorted(r for r, cells in rows.items() if any(c.text for c in cells))
+    out = ["<table>"]
+    for r in kept:
+        out.append(f'<tr class="{g.row_class[r]}">' if g.row_class.get(r) else "<tr>")
+        for c in rows[r]:
+            across = bisect_left(columns, c.col + c.cs) - bisect_left(columns, c.col) if c.cs > 1 else 1
+            down = bisect_left(kept, c.row + c.rs) - bisect_left(kept, c.row) if c.rs > 1 else 1
+            own = {"colspan": across if across > 1 else None, "rowspan": down if down > 1 else None}
+            if c.own:
+                own |= {"id": c.own.get("id"), "class": _classes(c.own.get("class")) or None, "style": f"text-align:{to}" if (to := alignment(c.own)) else None}
+            out.append(f"<{c.tag}{''.join(f' {k}=%s' % (chr(34) + str(v) + chr(34)) for k, v in own.items() if v)}>{c.inner}</{c.tag}>")
+        out.append("</tr>")
+    return "".join([*out, "</table>"])
 
 
 def _tables(html: str) -> int:

@@ -348,10 +348,11 @@ def html_audit(spark, sf_dir):
     return html.audit(table(spark, sf_dir, "pages"))
 
 
+# paragraphs that hold a bold line are not closed in these pages
 _BODY = r"regexp_replace(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>', '', 'gs'), '<!DOCTYPE[^>]*>|<head>.*</head>', '', 'gs')"
 
 
-@register(rf"""with c as (select page_id, replace(regexp_replace(regexp_replace({_BODY}, '</?(html|body)[^>]*>', '', 'g'), '<(div|footer|article|nav|ul|p|h1)( [^>]*)>', '<\1>', 'g'), '<br>', '<br/>') clean from pages)
+@register(rf"""with c as (select page_id, replace(replace(replace(replace(regexp_replace(regexp_replace({_BODY}, '</?(html|body)[^>]*>', '', 'g'), '<(div|footer|article|nav|ul|p|h1)( [^>]*)>', '<\1>', 'g'), '<br>', '<br/></b></p>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·') clean from pages)
  select page_id, clean, 0::bigint n_images, 0::bigint n_subtotal_marks, 0::bigint n_tables, 0::bigint n_split, 0::bigint n_subtables, 0::bigint n_kept, 0::bigint n_collapsed, len(regexp_extract_all(clean, '<a href='))::bigint n_links, strlen(clean) >= 200 long_enough from c""")
 def html_clean(spark, sf_dir):
     return html.clean(table(spark, sf_dir, "pages"))
@@ -395,6 +396,26 @@ def table_split(spark, sf_dir):
     return html.split_tables(_order_tables(spark, sf_dir), budget=7.0)
 
 
+# a table for each order: years as columns of 6.5 em, each with an empty column beside it under one heading, a line above some of
+# the sums; beside the label of 4.66 em a page of 15 em has room for one year
+@register("""with n as (select l_orderkey, count(*) n, sum(l_linenumber % 2) lines from lineitem group by 1)
+ select l_orderkey, n::bigint n_years, lines::bigint n_subtotal_marks, 1::bigint n_tables, (n > 1)::bigint n_split, (case when n > 1 then n else 0 end)::bigint n_subtables, 0::bigint n_kept, (n = 1)::bigint n_collapsed, n::bigint tables_left, n::bigint sums_left, (4 * n)::bigint rows_left from n""")
+def table_clean(spark, sf_dir):
+    """Cleaning of statements wider than a page: each year falls into a part of its own, with labels and lines above its sums."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("$"), F.format_number(F.col("l_partkey") % 9_000_000 + 100_000_000, 0)).alias("v"))
+    per = li.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "v"))).alias("x"))
+    joined = lambda f: F.array_join(F.transform("x", f), "")
+    years = joined(lambda r: F.concat(F.lit("<th colspan=2>FY "), r["l_linenumber"].cast("string"), F.lit("</th>")))
+    cells = joined(lambda r: F.concat(F.lit("<td>"), r["v"], F.lit("<td>")))
+    lines = joined(lambda r: F.concat(F.when(r["l_linenumber"] % 2 == 1, F.lit("<td style='Border-Top:1px solid' align=right>")).otherwise(F.lit("<td class=secsum>")), r["v"], F.lit("<td></td>")))
+    head = F.lit("<style>td{}</style><table width=100%><tr><td>")
+    html_ = F.concat(head, years, F.lit("<tr><td>Revenue"), cells, F.lit("<tr><td><font color=white>Cost"), cells, F.lit("</font><tr><td>Totals"), lines, F.lit("</table>"))
+    got = html.clean(per.select(F.col("k").alias("l_orderkey"), html_.alias("html")), "l_orderkey", "html")
+    count = lambda what: F.regexp_count("clean", F.lit(what)).cast("long")
+    found = got.select("l_orderkey", *(f"n_{c}" for c in ("subtotal_marks", "tables", "split", "subtables", "kept", "collapsed")), count("<table>").alias("tables_left"), count("secsum").alias("sums_left"), count("<tr>").alias("rows_left"))
+    return found.join(per.select(F.col("k").alias("l_orderkey"), F.size("x").cast("long").alias("n_years")), "l_orderkey")
+
+
 @register()
 def protect_tokens(spark, sf_dir):
     """Fragments of every turn and every document, with their units protected."""
