@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import forms, html, periods, text
 from sedimenta.operators import books, companies, facts, filings, fragments, library, updates
+from sedimenta.sources import book_sink, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -779,6 +780,27 @@ def book_chapters(spark, sf_dir):
     return books.chapters(c, "conv_id", [F.col("turn")])
 
 
+_ESCAPED = """replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+
+
+@register(f"""with c as (select *, lag(role) over (partition by conv_id order by turn) before from conversations), b as (select conv_id, count(*) n_chapters, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>Talk ' || conv_id || '</title><link rel="stylesheet" type="text/css" href="stylesheet.css"/></head><body>' || chr(10)
+ || string_agg(case when role is distinct from before then '<h2 class="company">' || role || '</h2>' || chr(10) else '' end || '<h1 id="t' || turn || '">Turn ' || turn || '</h1>' || chr(10) || '<div><p>' || {_ESCAPED.format("text")} || '</p></div>' || chr(10), '' order by turn) || '</body></html>' || chr(10) html from c group by 1)
+ select conv_id, n_chapters, 6::bigint n_entries, sha256(html) content_sha256, strlen(html)::bigint n_bytes, 0::bigint n_faults from b""")
+def book_packages(spark, sf_dir):
+    """Conversations written as packages to the shared folder and read again: their entries, content, and faults of their structure but short texts and covers."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.col("turn").cast("string")
+    body = F.concat(F.lit("<p>"), text.escaped(F.col("text")), F.lit("</p>"))
+    rows = c.select(F.col("conv_id").cast("string").alias("book"), F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("title"), F.lit("en").alias("language"), F.col("turn").alias("pos"), F.concat(F.lit("t"), turn).alias("id"), F.concat(F.lit("Turn "), turn).alias("heading"), F.col("role").alias("company"), body.alias("html"))
+    folder = scratch.shared(spark, "books")
+    book_sink.save(rows, folder)
+    entries = scratch.written(book_sink.read(spark, folder), "entries")
+    faults = books.structure(entries, *book_sink.parsed(entries)).where("fault not in ('short', 'no cover')").groupBy("book").agg(F.count("*").alias("n_faults"))
+    content = F.col("name") == "OEBPS/content.html"
+    per = entries.groupBy("book").agg(F.count("*").alias("n_entries"), F.max(F.when(content, F.sha2("body", 256))).alias("content_sha256"), F.max(F.when(content, F.col("size"))).alias("n_bytes"), F.max(F.when(content, F.regexp_count(F.decode("body", "UTF-8"), F.lit("<h1 ")))).cast("long").alias("n_chapters"))
+    return per.join(faults, "book", "left").select(F.col("book").cast("long").alias("conv_id"), "n_chapters", "n_entries", "content_sha256", "n_bytes", F.coalesce("n_faults", F.lit(0).cast("long")).alias("n_faults"))
+
+
 @register("""select p_partkey, form in ('PROMO', 'STANDARD') or split_part(form, '/', 1) in ('PROMO', 'STANDARD') as watched, regexp_matches(form, '^(PROMO|ECONOMY)') reported, not starts_with(form, 'SMALL') as legacy
  from (select p_partkey, upper(split_part(p_type, ' ', 1)) || case when p_partkey % 3 = 0 then '/A' when p_partkey % 3 = 1 then ' X' else '' end form from part)""")
 def watch_forms(spark, sf_dir):
