@@ -182,13 +182,17 @@ def verified(records: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def translation_step(records: DataFrame, events: DataFrame) -> DataFrame:
-    """records after events(cik, accn, event, fingerprint, output_hash, message): one step of the state machine.
+    """records after one event each, events(cik, accn, event, fingerprint, output_hash, found_hash, message), as expressions.
+
+    A record with several events is refused: operators.histories takes them, in order.
 
     start: reused (complete) where the output of the same fingerprint is there, refused where another
     one is, else translating.  stop: paused for a cancellation or a limit, else failed.  built:
     publishing with the output's hash.  published: complete.  Other events change nothing.
     """
     e = events.select("cik", "accn", "event", F.col("fingerprint").alias("_print"), F.col("output_hash").alias("_out"), F.col("found_hash").alias("_found"), F.lower(F.coalesce("message", F.lit(""))).alias("_why"))
+    e = e.groupBy("cik", "accn").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in e.columns[2:]))
+    e = e.withColumn("event", F.when(F.col("_n") > 1, F.raise_error(F.lit("a record has several events")).cast("string")).otherwise(F.col("event"))).drop("_n")
     rows = records.join(e, ["cik", "accn"], "left")
     begin = F.col("event") == "start"
     same = F.col("status").isin("complete", "publishing") & (F.col("fingerprint") == F.col("_print")) & (F.col("output_hash") == F.col("_found"))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions import forms, html, periods, text
-from sedimenta.operators import books, companies, facts, filings, fragments, library, updates
+from sedimenta.operators import books, companies, facts, filings, fragments, histories, library, updates
 from sedimenta.sources import book_sink, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -550,6 +550,28 @@ def translation_states(spark, sf_dir):
     return library.translation_step(r, events).select("cik", "accn", "status", "outcome")
 
 
+@register("""with recursive e as (select l_orderkey k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) no, case l_partkey % 5 when 1 then 'built' when 2 then 'published' when 3 then 'stop' else 'start' end ev, case when l_partkey % 2 = 0 then 'f' else 'g' end fp, case when l_suppkey % 3 = 0 then 'h' end found, case when l_suppkey % 2 = 0 then 'limit' else 'broken' end why from lineitem),
+ v as (select * from e where not (k % 11 = 3 and no = 3)),
+ s as (select o_orderkey k, 0::bigint no, case o_orderkey % 3 when 0 then 'pending' when 1 then 'complete' else 'translating' end st, 'f' fp, 'h' out_, null::varchar err, null::varchar outcome from orders union all
+ select s.k, v.no, case when ev = 'start' and found is null then 'translating' when ev = 'start' and st in ('complete', 'publishing') and s.fp = v.fp and out_ = found then 'complete' when ev = 'stop' and st = 'translating' then case when why = 'limit' then 'paused' else 'failed' end when ev = 'built' and st = 'translating' then 'publishing' when ev = 'published' and st = 'publishing' then 'complete' else st end,
+ case when ev = 'start' and found is null then v.fp else s.fp end, case when ev = 'start' and found is null then null when ev = 'built' and st = 'translating' then 'h' else out_ end, case when ev = 'start' and found is null then null when ev = 'stop' and st = 'translating' then why else err end,
+ case when ev = 'start' and found is null then null when ev = 'start' and st in ('complete', 'publishing') and s.fp = v.fp and out_ = found then 'reused' when ev = 'start' then 'refused' else outcome end from s join v on v.k = s.k and v.no = s.no + 1),
+ z as (select * from s qualify no = max(no) over (partition by k))
+ select z.k o_orderkey, st status, z.fp fingerprint, out_ output_hash, err last_error, outcome, z.no event_no, (select count(*) from v where v.k = z.k and v.no > z.no) n_held from z""")
+def translation_histories(spark, sf_dir):
+    """Line items as events of their orders, some twice and some missing: where each order stands, and how many of its events wait."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    no = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    e = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), no.cast("long").alias("event_no"), F.when(part % 5 == 1, "built").when(part % 5 == 2, "published").when(part % 5 == 3, "stop").otherwise("start").alias("event"),
+        F.when(part % 2 == 0, "f").otherwise("g").alias("fingerprint"), F.lit("h").alias("output_hash"), F.when(supp % 3 == 0, "h").alias("found_hash"), F.when(supp % 2 == 0, "limit").otherwise("broken").alias("message"),
+    )
+    e = e.withColumn("n", F.explode(F.when(F.col("event_no") == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("n").where("not (o_orderkey % 11 = 3 and event_no = 3)")
+    k = F.col("o_orderkey")
+    r = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, "pending").when(k % 3 == 1, "complete").otherwise("translating").alias("status"), F.lit("f").alias("fingerprint"), F.lit("h").alias("output_hash"), F.lit(None).cast("string").alias("last_error"))
+    return histories.histories(r, e, ("o_orderkey",))
+
+
 @register("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, lag(l_suppkey) over w is distinct from l_suppkey heading from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)""")
 def company_headings(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
