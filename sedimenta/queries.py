@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions import forms, html, periods, text
-from sedimenta.operators import books, companies, facts, filings, fragments, histories, library, updates
+from sedimenta.operators import books, companies, facts, filings, fragments, histories, library, sessions, updates
 from sedimenta.sources import book_sink, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,6 +470,17 @@ def html_assembled(spark, sf_dir):
     return fragments.assembled(fragments.html_pieces(d, "conv_id", "html", 300), "conv_id")
 
 
+@register()
+def translation_requests(spark, sf_dir):
+    """What a new session asks for conversations: each run's requests in order, and those that its budget lets it reserve in the ledger."""
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<p>"), F.replace("text", F.lit("<"), F.lit("")), F.lit("</p>")).alias("t"))
+    d = d.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda r: r["t"]), "").alias("html"))
+    s = sessions.Session(spark, scratch.shared(spark, "session"), "conv_id", lambda t: fragments.cache_key(t, version="1", endpoint="e", model="m", thinking="off", language="zh-CN"), sessions.Budget(requests=2, input_bytes=1500, wire_bytes=2500))
+    asked = scratch.written(s.requests(s.plan(d)), "requests")
+    kept = s.reserve(asked).select("run", "pos", F.lit(True).alias("reserved"))
+    return asked.join(kept, ["run", "pos"], "left").select("run", "pos", F.size("items").alias("n_items"), "input_bytes", "wire_bytes", F.coalesce("reserved", F.lit(False)).alias("reserved"))
+
+
 @register("""with a as (select doc_id, sha256(text) listed from documents), b as (select doc_id, sha256(case when doc_id % 5 = 0 then lower(text) else text end) found from documents where doc_id % 7 <> 0)
  select coalesce(a.doc_id, b.doc_id) doc_id, listed, found from a full join b on a.doc_id = b.doc_id where listed is distinct from found""")
 def asset_mismatch(spark, sf_dir):

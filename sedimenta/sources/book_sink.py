@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from sedimenta.sources.scratch import system
+
 ROW = "book string, title string, language string, kind string, pos long, id string, heading string, company string, href string, media_type string, body binary"
 ENTRY = "book string, pos int, name string, stored boolean, size long, body binary"
 #: Fixed values of the package format.
@@ -41,10 +43,6 @@ IN_MEMORY, COPY = 8 << 20, 1 << 20
 PACKED = ("image/png", "image/jpeg", "image/gif", "image/webp")
 
 
-def _system(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
 def rows_of(chapters: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Rows for the sink from chapters(book, title, language, pos, id, heading, company, html) and images(book, pos, id, href, media_type, content), as a book's manifest lists them."""
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
@@ -69,13 +67,13 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
 
 def _parts(folder: str) -> list[str]:
     """The folders that the lists below _books name."""
-    system, path = _system(folder)
-    if system.get_file_info(f"{path}/_books").type != fs.FileType.Directory:
+    files, path = system(folder)
+    if files.get_file_info(f"{path}/_books").type != fs.FileType.Directory:
         return []
     out = []
-    for info in sorted(system.get_file_info(fs.FileSelector(f"{path}/_books")), key=lambda x: x.path):
+    for info in sorted(files.get_file_info(fs.FileSelector(f"{path}/_books")), key=lambda x: x.path):
         if info.path.endswith(".json"):
-            with system.open_input_stream(info.path) as f:
+            with files.open_input_stream(info.path) as f:
                 out += json.loads(f.read())["parts"]
     return out
 
@@ -160,17 +158,17 @@ class _Writer(DataSourceWriter):
         self.folder, self.overwrite, self.job = folder.rstrip("/"), overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
-        system, top = _system(self.folder)
+        files, top = system(self.folder)
         name = uuid.uuid4().hex
         attempt = f"{top}/_staging/{self.job}/{name}"
-        system.create_dir(attempt)
+        files.create_dir(attempt)
         package, done, size = None, set(), 0
         try:
-            with system.open_output_stream(f"{attempt}/index.jsonl") as index:
+            with files.open_output_stream(f"{attempt}/index.jsonl") as index:
 
                 def close() -> int:
                     digest, n, file = hashlib.sha256(), 0, f"{quote(package.book, safe=' ')}.epub"
-                    with package.finished() as whole, system.open_output_stream(f"{attempt}/{file}") as to:
+                    with package.finished() as whole, files.open_output_stream(f"{attempt}/{file}") as to:
                         while part := whole.read(COPY):
                             digest.update(part)
                             n += len(part)
@@ -192,33 +190,33 @@ class _Writer(DataSourceWriter):
                         package.chapter(r["id"], r["heading"], r["company"], bytes(r["body"] or b""))
                 size += close() if package else 0
         except BaseException:
-            system.delete_dir(attempt)
+            files.delete_dir(attempt)
             raise
         return Written(name, len(done), size)
 
     def commit(self, messages: list) -> None:
-        system, top = _system(self.folder)
+        files, top = system(self.folder)
         before = _parts(self.folder) if self.overwrite else []
-        lists = [x.path for x in system.get_file_info(fs.FileSelector(f"{top}/_books", allow_not_found=True))] if self.overwrite else []
+        lists = [x.path for x in files.get_file_info(fs.FileSelector(f"{top}/_books", allow_not_found=True))] if self.overwrite else []
         parts = []
         for m in messages:
             if m is not None and m.books:
-                system.move(f"{top}/_staging/{self.job}/{m.folder}", f"{top}/part-{m.folder}")
+                files.move(f"{top}/_staging/{self.job}/{m.folder}", f"{top}/part-{m.folder}")
                 parts.append(f"part-{m.folder}")
-        system.create_dir(f"{top}/_books")
-        with system.open_output_stream(f"{top}/_books/{self.job}.new") as f:
+        files.create_dir(f"{top}/_books")
+        with files.open_output_stream(f"{top}/_books/{self.job}.new") as f:
             f.write(json.dumps({"parts": parts, "books": sum(m.books for m in messages if m), "bytes": sum(m.bytes for m in messages if m)}).encode())
-        system.move(f"{top}/_books/{self.job}.new", f"{top}/_books/{self.job}.json")
+        files.move(f"{top}/_books/{self.job}.new", f"{top}/_books/{self.job}.json")
         for x in lists:
-            system.delete_file(x)
+            files.delete_file(x)
         for p in before:
-            system.delete_dir(f"{top}/{p}")
+            files.delete_dir(f"{top}/{p}")
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        system, top = _system(self.folder)
-        if system.get_file_info(f"{top}/_staging/{self.job}").type == fs.FileType.Directory:
-            system.delete_dir(f"{top}/_staging/{self.job}")
+        files, top = system(self.folder)
+        if files.get_file_info(f"{top}/_staging/{self.job}").type == fs.FileType.Directory:
+            files.delete_dir(f"{top}/_staging/{self.job}")
 
 
 class _Reader(DataSourceReader):
@@ -233,11 +231,11 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
-        system, top = _system(self.folder)
-        with system.open_input_stream(f"{top}/{partition.value}/index.jsonl") as f:
+        files, top = system(self.folder)
+        with files.open_input_stream(f"{top}/{partition.value}/index.jsonl") as f:
             listed = [json.loads(x) for x in f.read().splitlines()]
         for own in listed:
-            with system.open_input_file(f"{top}/{partition.value}/{own['name']}") as f, zipfile.ZipFile(f) as z:
+            with files.open_input_file(f"{top}/{partition.value}/{own['name']}") as f, zipfile.ZipFile(f) as z:
                 for k, e in enumerate(z.infolist()):
                     yield own["book"], k, e.filename, e.compress_type == zipfile.ZIP_STORED, e.file_size, z.read(e)
 
