@@ -55,6 +55,21 @@ def clean(pages: DataFrame, key: str = "page_id", html: str = "html", **options)
     return _per_row(pages, key, [html], make, f"clean string, {', '.join(f'n_{c} long' for c in COUNTS)}, n_links long, long_enough boolean")
 
 
+def cleaned(df: DataFrame, html: str = "html") -> DataFrame:
+    """df with clean, n_images and long_enough behind each row, in one pass; null markup gives nulls."""
+    at = df.columns.index(html)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, raw in enumerate(batch.column(at).to_pylist()):
+                text, found = (None, {"images": None}) if raw is None else markup.clean(raw)
+                own = ((text, pa.string()), (found["images"], pa.int64()), (None if text is None else len(text.encode()) >= LEAST_BYTES, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, *(pa.array([x], t) for x, t in own)], [*batch.schema.names, "clean", "n_images", "long_enough"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{kinds}, clean string, n_images long, long_enough boolean")
+
+
 def plain(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key and the plain text of its markup, without scripts, styles and head."""
 

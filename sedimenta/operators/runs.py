@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import html
 from sedimenta.functions.dates import years_before
-from sedimenta.functions.text import archive_url
-from sedimenta.operators import companies, filings, library, updates
+from sedimenta.functions.text import archive_url, concept_url, looks_like_json
+from sedimenta.operators import companies, facts, filings, library, updates
 from sedimenta.sources.fetch import CAPS, Answer, fetched
+from sedimenta.sources.scratch import written
 from sedimenta.sources.state import Versions
 
 #: Years and rows that a search of filings covers.
@@ -26,21 +27,21 @@ def traced(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("rows")), seen
 
 
-def made(new: DataFrame, transport: Callable[[str], Answer], have: DataFrame | None = None, pause: float = 0.0) -> DataFrame:
-    """new(cik, accn, form, date, primary) with outcome, html and bytes: fetched and cleaned, one request for each filing.
+def made(new: DataFrame, transport: Callable[[str], Answer], have: DataFrame | None = None, pause: float = 0.0, kept: str | None = None) -> DataFrame:
+    """new(cik, accn, form, date, primary) with outcome, html and bytes: fetched and cleaned in one pass, one request for each filing.
 
     have(cik, accn) are books that exist; they are reused.  A failure is an outcome of its row and
-    ends nothing; a document that is too short is one, too.
+    ends nothing; a document that is too short is one, too.  kept: a folder for answers (see fetched).
     """
     old = have.select("cik", "accn", F.lit(True).alias("_old")) if have is not None else new.select("cik", "accn").limit(0).withColumn("_old", F.lit(True))
     rows = new.join(old, ["cik", "accn"], "left").withColumn("url", F.when(F.coalesce("primary", F.lit("")) != "", archive_url(F.col("cik"), F.col("accn"), F.col("primary"))))
     todo = rows.where("_old is null").drop("_old")
-    got = fetched(todo, "url", transport, most=CAPS["document"], pause=pause).withColumn("raw", F.decode("body", "UTF-8")).withColumn("id", F.concat_ws("|", "cik", "accn"))
-    text = html.clean(got.where("body is not null"), "id", "raw").select("id", F.col("clean").alias("html"), "n_images", "long_enough")
-    got = got.join(text, "id", "left")
-    outcome = F.when(F.col("error_kind").isNotNull(), "failed").when(~F.col("long_enough"), "failed").otherwise("made")
-    why = F.coalesce("error_kind", F.when(~F.col("long_enough"), "too short"))
-    out = got.select("cik", "accn", "form", "date", outcome.alias("outcome"), why.alias("why"), F.when(outcome == "made", F.col("html")).alias("html"), F.coalesce("n_images", F.lit(0).cast("long")).alias("images"), F.coalesce(F.octet_length("body"), F.lit(0)).cast("long").alias("bytes"))
+    got = fetched(todo, "url", transport, most=CAPS["document"], pause=pause, kept=kept).withColumn("raw", F.decode("body", "UTF-8")).withColumn("bytes", F.coalesce(F.octet_length("body"), F.lit(0)).cast("long")).drop("body")
+    got = html.cleaned(got, "raw")
+    enough = F.coalesce("long_enough", F.lit(False))
+    outcome = F.when(F.col("error_kind").isNotNull() | ~enough, "failed").otherwise("made")
+    why = F.coalesce("error_kind", F.when(~enough, "too short"))
+    out = got.select("cik", "accn", "form", "date", outcome.alias("outcome"), why.alias("why"), F.when(outcome == "made", F.col("clean")).alias("html"), F.coalesce("n_images", F.lit(0).cast("long")).alias("images"), "bytes")
     reused = rows.where("_old").select("cik", "accn", "form", "date", F.lit("reused"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(0).cast("long"))
     return out.union(reused)
 
@@ -65,6 +66,26 @@ def run(listing: DataFrame, subs: Versions, transport: Callable[[str], Answer],
     return outcomes, library.run_info(outcomes.select("cik", "outcome", "images", "bytes").union(idle))
 
 
+def metrics(companies_: DataFrame, transport: Callable[[str], Answer], *, definitions: DataFrame | None = None, pause: float = 0.0, kept: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows that a chapter shows, one row for each company and metric) of companies(cik): each tag is asked for once, and all the way to the report.
+
+    The answers are a table before anything is derived from them.  A tag that a company never
+    reported (not found) and one that could not be got are told apart in the report.
+    """
+    spark = companies_.sparkSession
+    defs = facts.definitions(spark) if definitions is None else definitions
+    tags = [r["tag"] for r in facts.all_tags(defs).collect()]  # a few dozen
+    asked = companies_.select("cik").distinct().select("cik", F.explode(F.array(*map(F.lit, tags))).alias("tag")).withColumn("url", concept_url(F.col("cik"), F.col("tag")))
+    got = written(fetched(asked, "url", transport, most=CAPS["concept"], pause=pause, kept=kept).withColumn("body", F.decode("body", "UTF-8")), "concepts")
+    rows = facts.facts(got.where("error_kind is null"), ["cik", "tag"]).join(defs, "tag")
+    shape = got.where("error_kind is null").select("cik", "tag", looks_like_json(F.col("body")).alias("ok")).where("not coalesce(ok, false)")
+    errors = got.where("error_kind is not null").select("cik", "tag", F.when(F.col("error_kind") == "notfound", 404).alias("code"), F.concat_ws(": ", "error_kind", "message").alias("message"))
+    errors = errors.unionByName(shape.select("cik", "tag", F.lit(None).cast("int").alias("code"), F.lit("no JSON").alias("message")))
+    found, info = facts.periods(rows, ["cik", "tag"])
+    found = written(found, "periods")
+    return facts.report(found, written(facts.candidates(defs, companies_.select("cik").distinct(), info, errors), "candidates"))
+
+
 class Generations:
     """Jobs of a session by number: starting a new one cancels those before, and late results are known by their number."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 import time
@@ -10,10 +12,14 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes of an answer, at most, by what it is; attempts; seconds between requests of one task.
+from sedimenta.sources.scratch import put, system
+
+#: Bytes of an answer, at most, by what it is; attempts; seconds between requests to one host.
 CAPS = {"document": 12 << 20, "concept": 4 << 20, "listing": 32 << 20}
 ATTEMPTS, PAUSE = 3, 0.15
 #: Statuses that mean too many requests, kinds of errors that a further attempt cannot mend,
@@ -83,19 +89,55 @@ def fetch(url: str, transport: Callable[[str], Answer], *, most: int = CAPS["doc
     return None, kind, message, attempts
 
 
-def fetched(df: DataFrame, url: str, transport: Callable[[str], Answer], *, most: int = CAPS["document"], attempts: int = ATTEMPTS, pause: float = PAUSE) -> DataFrame:
-    """df with body, error_kind, message and attempts; each task asks for its rows in turn, with a pause between."""
+def paced(transport: Callable[[str], Answer], pause: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], Answer]:
+    """A transport whose requests to one host begin at least pause seconds apart, further attempts included."""
+    last: dict[str, float] = {}
+
+    def get(url: str) -> Answer:
+        host = urlsplit(url).netloc.lower()
+        if host in last and (wait := last[host] + pause - clock()) > 0:
+            sleep(wait)
+        last[host] = clock()
+        return transport(url)
+
+    return get
+
+
+def _stored(kept: str, url: str) -> tuple | None:
+    files, top = system(kept)
+    path = f"{top}/{hashlib.sha256(url.encode()).hexdigest()}"
+    if files.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with files.open_input_stream(path) as f:
+        head, _, body = f.read().partition(b"\n")
+    kind, message, attempts, has = json.loads(head)
+    return body if has else None, kind, message, attempts
+
+
+def fetched(df: DataFrame, url: str, transport: Callable[[str], Answer], *, most: int = CAPS["document"], attempts: int = ATTEMPTS, pause: float = PAUSE, kept: str | None = None) -> DataFrame:
+    """df with body, error_kind, message and attempts.
+
+    Rows are dealt by host, and a host's rows are asked for by one task, one after the other: so its
+    pause holds for the whole job, however many tasks there are.  With kept, a folder that all tasks
+    share, each answer is stored as soon as it is there, and what is stored (or stands there twice) is
+    not asked for again: a job that was lost midway goes on where it was.
+    """
     at = df.columns.index(url)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = paced(transport, pause)
         for batch in batches:
-            for k in range(batch.num_rows):
-                got = fetch(batch.column(at)[k].as_py(), transport, most=most, attempts=attempts)
-                time.sleep(pause)
+            for k, address in enumerate(batch.column(at).to_pylist()):
+                got = _stored(kept, address) if kept and address else None
+                if got is None:
+                    got = fetch(address, ask, most=most, attempts=attempts)
+                    if kept and address:
+                        put(kept, hashlib.sha256(address.encode()).hexdigest(), json.dumps([*got[1:], got[0] is not None]).encode() + b"\n" + (got[0] or b""))
                 yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, *(pa.array([x], t) for x, t in zip(got, (pa.binary(), pa.string(), pa.string(), pa.int32()), strict=True))], [*batch.schema.names, "body", "error_kind", "message", "attempts"])
 
-    return df.mapInArrow(run, f"{kinds}, body binary, error_kind string, message string, attempts int")
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "^[A-Za-z]+://([^/?#]*)", 1))
+    return df.repartition(host).mapInArrow(run, f"{kinds}, body binary, error_kind string, message string, attempts int")
 
 
 def file_transport(root: str, chunk: int = 1 << 16) -> Callable[[str], Answer]:
