@@ -625,9 +625,9 @@ def filing_names(spark, sf_dir):
     )
 
 
-@register("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_discount * 100 > 0 then regexp_replace(regexp_replace(format('{:.4f}', l_discount * l_quantity), '(\\.[0-9]{2}[0-9]?[1-9])0*$', '\\1'), '(\\.[0-9]{2})0+$', '\\1') else '0.00' end eps from lineitem where l_orderkey % 3 = 0""")
+@register("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_discount * 100 > 0 then regexp_replace(regexp_replace(format('{:.4f}', l_discount * l_quantity), '(\\.[0-9]{2}[0-9]?[1-9])0*$', '\\1'), '(\\.[0-9]{2})0+$', '\\1') else '0.00' end eps from lineitem""")
 def per_share_format(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    li = table(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", periods.per_share(F.col("l_discount") * F.col("l_quantity")).alias("eps"))
 
 

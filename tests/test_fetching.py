@@ -114,3 +114,29 @@ def test_concept_answers_become_a_report(spark, tmp_path):
     assert info[1, "revenue"]["available"] and info[1, "revenue"]["tag"] == "Revenues" and not info[2, "cash"]["available"]
     assert "never reported" in info[2, "revenue"]["why"] and "no JSON" in info[2, "cash"]["why"]
     assert len(_asked(tmp_path / "n")) == 6
+
+
+def test_an_increment_whose_publication_fails_takes_nothing_twice(spark, tmp_path):
+    from sedimenta.operators import updates as u
+    from sedimenta.sources.state import Versions
+    from sedimenta.streaming.increments import step, taken_log
+
+    subs, log, seen = Versions(spark, str(tmp_path / "subs")), taken_log(spark, str(tmp_path / "taken")), []
+    subs.publish(u.subscriptions(spark.createDataFrame([("1",)], "cik string").withColumns({"seen_upto_date": F.lit("2023-01-01"), "first_run_done": F.lit(True)})))
+    rows = spark.createDataFrame([("1", f"1-{k}", "8-K", f"2024-01-0{k}", k) for k in range(1, 4)], "cik string, accn string, form string, date string, pos long")
+
+    def take(new):
+        got = sorted(r["accn"] for r in new.collect())
+        seen.append(got)
+        return new.where("accn <> '1-2'").select("cik", "accn")
+
+    publish = subs.publish
+    subs.publish = lambda *a, **b: "disk full"
+    with pytest.raises(RuntimeError, match="disk full"):
+        step(rows, subs, take, log, 1)
+    subs.publish = publish
+    step(rows, subs, take, log, 1)
+    assert seen == [["1-1", "1-2", "1-3"], ["1-2"]]
+    assert sorted(subs.load().first()["seen"]) == ["1-1", "1-3"]
+    step(rows, subs, lambda new: new.select("cik", "accn"), log, 2)
+    assert sorted(subs.load().first()["seen"]) == ["1-1", "1-2", "1-3"]
