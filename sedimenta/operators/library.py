@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.dates import is_date
+from sedimenta.operators.lifecycle import digest, numbered
 
 #: States of a translation, what a path's end says about its rank in a deletion, endings of unfinished files, and shapes.
 STATES = ["pending", "translating", "paused", "failed", "publishing", "complete"]
@@ -137,7 +138,7 @@ def deletion_rank(path: Column) -> Column:
 
 def deletion_order(files: DataFrame) -> DataFrame:
     """files with place, the order of deletion: others, then state, journals and sources last; by path within."""
-    return files.withColumn("place", F.row_number().over(Window.orderBy(deletion_rank(F.col("path")), "path")))
+    return numbered(files, [deletion_rank(F.col("path")), F.col("path")], "place")
 
 
 def cleaning_plan(records: DataFrame, inventory: DataFrame, chosen: DataFrame, *, remove_books: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -155,10 +156,8 @@ def cleaning_plan(records: DataFrame, inventory: DataFrame, chosen: DataFrame, *
     books = rows.select(F.explode(F.array("original_path", "output_path")).alias("path")).distinct()
     target = inside.union(files.join(books, "path", "left_semi")).distinct() if remove_books else inside
     plan = deletion_order(target)
-    line = lambda *c: F.concat_ws("\0", *c)
-    sign = lambda df, e: df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(e)), "\n"), 256).alias("s"))
-    one = plan.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes")).join(F.broadcast(why))
-    one = one.join(F.broadcast(sign(plan, line("path", "sha256")).withColumnRenamed("s", "_a"))).join(F.broadcast(sign(inventory, line("path", "mode", F.col("size").cast("string"))).withColumnRenamed("s", "_b")))
+    one = plan.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"), digest("path", "sha256").alias("_a")).join(F.broadcast(why))
+    one = one.join(F.broadcast(inventory.agg(digest("path", "mode", "size").alias("_b"))))
     return plan, one.withColumn("signature", F.sha2(F.concat_ws("\n", "_a", "_b", F.lit(str(remove_books))), 256)).drop("_a", "_b")
 
 
