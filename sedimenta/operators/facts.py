@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions.dates import day, is_date
 from sedimenta.functions.periods import caliber, money, per_share, period_label, range_label, scale, text_days
 from sedimenta.functions.text import archive_url, looks_like_json
+from sedimenta.sources.scratch import written
 
 #: Metrics in order, with their kind, the unit wanted, and the tags to try in order.
 METRICS = [
@@ -74,7 +75,8 @@ def periods(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     Of a period's facts the last filed counts, then the larger accession, then the first in the
     answer.  caliber is I for points in time, else by the days, null for none.  info counts facts,
     those skipped, periods, those with several facts and with differing ones, and has their bounds;
-    error is set where no fact has a unit's period.
+    error is set where no fact has a unit's period.  The periods are a table, written once when this
+    is called, as info and reports are made of them.
     """
     own = pick_unit(rows, keys)
     good = own.where(valid(F.col("kind")))
@@ -85,7 +87,7 @@ def periods(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     days = F.when(F.col("kind") == "duration", text_days(F.col("start"), F.col("end")))
     got = got.withColumn("days", days).withColumn("caliber", F.when(F.col("kind") == "duration", caliber(F.col("days"))).otherwise("I")).drop("_span")
     by = Window.partitionBy(*keys).orderBy(F.desc("end"), F.desc(F.coalesce("start", F.lit(""))))
-    got = got.withColumn("period_pos", F.row_number().over(by))
+    got = written(got.withColumn("period_pos", F.row_number().over(by)), "periods")
     counts = own.groupBy(*keys, "unit").agg(F.count("*").alias("entries"), F.count_if(~valid(F.col("kind"))).alias("skipped"))
     per = got.groupBy(*keys).agg(F.count("*").alias("periods"), F.count_if(F.col("folded") > 0).alias("dup_groups"), F.count_if("revised").alias("revised"), F.max("end").alias("newest"), F.min("end").alias("oldest"))
     info = counts.join(per, keys, "left")
@@ -154,7 +156,7 @@ def report(got: DataFrame, chosen: DataFrame, days: int = RECENT_DAYS, shown: di
     """
     keys = ["cik", "metric"]
     own = got.drop("metric", "metric_pos", "want", "tag_rank").join(chosen.where("chosen").select("cik", "tag", "metric", "metric_pos", F.col("want").alias("_want")), ["cik", "tag"]).withColumn("group", group_of(F.col("caliber")))
-    rows = recent(own, keys, "group", "end", days, shown, [F.desc(F.coalesce("start", F.lit("")))])
+    rows = written(recent(own, keys, "group", "end", days, shown, [F.desc(F.coalesce("start", F.lit("")))]), "shown")  # a few rows of each metric
     quality = series_quality(rows, keys, "end", F.col("group") == "Q", F.col("caliber") == "FY", F.col("start"))
     rows = rows.join(quality, keys).where((F.col("group") != "Q") | F.col("quarters_ok"))
     rows = rows.withColumn("scale", scale(F.max(F.abs("val")).over(Window.partitionBy(*keys))))

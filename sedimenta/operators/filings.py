@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions.dates import SHAPE
 from sedimenta.functions.forms import is_report, matches_form, passes
 from sedimenta.functions.text import looks_like_json
+from sedimenta.sources.scratch import written
 
 #: Fields of a listing's column dictionary, those of a filing in the same order, and shard names.
 COLUMNS = ["form", "filingDate", "reportDate", "accessionNumber", "primaryDocument", "primaryDocDescription", "items"]
@@ -115,12 +116,14 @@ def list_filings(sources: DataFrame, flt: Filter) -> tuple[DataFrame, DataFrame,
     full, max_extra good ones were read, or one ends before since; badly named and unreadable ones
     are failures.  Entries are ranked by date and accession, newest first, up to the limit.
     Histograms have a row for each form and scope: all (met), window (dates and amendments only),
-    entries.  A main listing without a dictionary has an envelope with an error and no rows.
+    entries.  A main listing without a dictionary has an envelope with an error and no rows.  Two
+    tables in the shared folder, of parsed listings and of rows met, are written when this is called.
     """
     keys = ["cik", "source_pos"]
-    src = parsed(sources)
+    # bodies are parsed once; a second table holds what the scans met
+    src = written(parsed(sources).withColumn("lost", F.col("body").isNull()).drop("body"), "listings")
     named = (F.col("source_pos") == 0) | F.coalesce(F.col("name").rlike(SHARD), F.lit(False))
-    src = src.withColumn("_good", named & F.col("cols").isNotNull()).withColumn("_lost", named & F.col("body").isNull())
+    src = src.withColumn("_good", named & F.col("cols").isNotNull()).withColumn("_lost", named & F.col("lost"))
     before = Window.partitionBy("cik").orderBy("source_pos").rowsBetween(Window.unboundedPreceding, -1)
     shard = F.col("source_pos") > 0
     full = shard & (F.coalesce(F.sum((F.col("_good") & shard).cast("int")).over(before), F.lit(0)) >= flt.max_extra)
@@ -129,19 +132,20 @@ def list_filings(sources: DataFrame, flt: Filter) -> tuple[DataFrame, DataFrame,
     src = src.withColumn("_ended", F.first("_stop", ignorenulls=True).over(Window.partitionBy("cik").orderBy("source_pos").rowsBetween(Window.unboundedPreceding, 0)))
     main = src.where("source_pos = 0").select("cik", "company", "tickers", F.col("_good").alias("ok"))
     src = src.join(main.where("ok").select("cik"), "cik", "left_semi")
+    rest = src.drop("cols", "files", "company", "tickers")
 
     order = [F.col("source_pos"), F.col("row_pos")]
     rows = filings_of(src.where("_good and _ended is null"), keys)
     hit = flt.passing(F.col("form")) & flt.dates(F.col("date"))
     rows = scanned(rows, "cik", order, hit, flt.max_total, "accn")
-    rows = rows.withColumn("in_window", ~F.col("duplicate") & flt.dates(F.col("date")) & passes(F.col("form"), [], flt.amendments))
+    rows = written(rows.withColumn("in_window", ~F.col("duplicate") & flt.dates(F.col("date")) & passes(F.col("form"), [], flt.amendments)), "scanned")
 
     by = Window.partitionBy("cik").orderBy(F.desc("date"), F.desc("accn"), *order)
     ranked_ = rows.where("returned").withColumn("rank", F.row_number().over(by))
     entries = (ranked_.where(F.col("rank") <= flt.limit) if flt.limit else ranked_).select("cik", "rank", *FIELDS, "size")
 
     per = rows.groupBy("cik").agg(F.count_if(~F.col("duplicate")).alias("scanned"), F.count_if("returned").alias("matched_before_limit"), F.count_if("duplicate").alias("duplicates"), F.max("tripped").alias("budget_full"), F.max(F.when(F.col("tripped"), F.col("source_pos"))).alias("_trip"))
-    used = src.join(per.select("cik", "_trip"), "cik", "left").withColumn("_met", F.col("_ended").isNull() & (F.col("_trip").isNull() | (F.col("source_pos") <= F.col("_trip"))))
+    used = rest.join(per.select("cik", "_trip"), "cik", "left").withColumn("_met", F.col("_ended").isNull() & (F.col("_trip").isNull() | (F.col("source_pos") <= F.col("_trip"))))
     sums = used.groupBy("cik").agg(
         F.count("*").alias("sources_total"), F.count_if(F.col("_met") & F.col("_good")).alias("sources_used"), F.count_if(F.col("_met") & ~F.col("_good")).alias("sources_failed"), F.count_if(~F.col("_met")).alias("sources_skipped"),
         F.max(F.col("_met") & F.col("_lost")).alias("_lost"), F.max(F.when(F.col("_trip").isNull(), F.col("_ended"))).alias("_why"),

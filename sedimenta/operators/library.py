@@ -88,25 +88,28 @@ def library_status(records: DataFrame, inventory: DataFrame) -> DataFrame:
     unfinished file lies beside a path, or the record's state is publishing.
     """
     files = inventory.where("mode = 'file'")
-    paths = records.select("cik", "accn", F.explode(F.array(F.struct(F.lit("original").alias("which"), F.col("original_path").alias("path")), F.struct(F.lit("output").alias("which"), F.col("output_path").alias("path")))).alias("p")).select("cik", "accn", "p.*")
-    have = paths.join(files.select("path", F.lit(True).alias("have")), "path", "left")
-    alias = files.select(F.lower("path").alias("low"), F.col("path").alias("_other")).groupBy("low").agg(F.collect_set("_other").alias("others"))
-    have = have.withColumn("low", F.lower("path")).join(alias, "low", "left")
-    begun = files.select(F.explode(F.array(*(F.when(F.col("path").endswith(e), F.expr(f"substring(path, 1, length(path) - {len(e)})")) for e in UNFINISHED))).alias("path")).where("path is not null").distinct().withColumn("begun", F.lit(True))
-    have = have.join(begun, "path", "left")
+    begun = F.filter(F.array(*(F.when(F.col("path").endswith(e), F.expr(f"substring(path, 1, length(path) - {len(e)})")) for e in UNFINISHED)), lambda p: p.isNotNull())
+    # a file speaks for its own path, and an unfinished one for the path that it will have
+    said = files.select(F.explode(F.concat(F.array(F.struct(F.col("path"), F.lit(False).alias("begun"))), F.transform(begun, lambda p: F.struct(p.alias("path"), F.lit(True).alias("begun"))))).alias("s")).select("s.*")
+    said = said.groupBy("path").agg(F.max(~F.col("begun")).alias("have"), F.max("begun").alias("begun"))
+    lows = files.groupBy(F.lower("path").alias("low")).agg(F.lit(True).alias("any_case"))
+    paths = records.select("cik", "accn", F.posexplode(F.array("original_path", "output_path")).alias("which", "path"))
+    have = paths.join(said, "path", "left").withColumn("low", F.lower("path")).join(lows, "low", "left")
     flag = lambda c: F.max(F.coalesce(c, F.lit(False)))
     per = have.groupBy("cik", "accn").agg(
-        flag(F.col("have") & (F.col("which") == "original")).alias("original_present"), flag(F.col("have") & (F.col("which") == "output")).alias("output_present"),
-        flag(F.col("begun")).alias("_begun"), flag(F.col("have").isNull() & F.col("others").isNotNull()).alias("_case"), F.collect_set("path").alias("_paths"),
+        flag(F.col("have") & (F.col("which") == 0)).alias("original_present"), flag(F.col("have") & (F.col("which") == 1)).alias("output_present"),
+        flag(F.col("begun")).alias("_begun"), flag(~F.coalesce("have", F.lit(False)) & F.col("any_case")).alias("_case"),
     )
     books = files.where(F.col("path").endswith(".epub")).select("path", F.regexp_extract("path", r"([0-9]{10}-[0-9]{2}-[0-9]{6})", 1).alias("accn")).where("accn <> ''")
-    named = books.groupBy("accn").agg(F.collect_set("path").alias("_books"))
-    out = presence(records.join(per, ["cik", "accn"], "left").join(named, "accn", "left").withColumnRenamed("status", "state"), F.col("original_present"), F.col("output_present")).withColumnRenamed("status", "presence")
-    strange = F.size(F.array_except(F.filter(F.coalesce("_books", F.array().cast("array<string>")), lambda p: ~F.exists(F.col("_paths"), lambda q: p.startswith(q))), "_paths")) > 0
+    own = F.array_compact(F.array("original_path", "output_path"))
+    strange = records.select("cik", "accn", own.alias("own")).join(books, "accn").where(~F.exists("own", lambda q: F.startswith(F.col("path"), q)))
+    strange = strange.groupBy("cik", "accn").agg(F.lit(True).alias("_strange"))
+    rows = records.join(per, ["cik", "accn"], "left").join(strange, ["cik", "accn"], "left").withColumnRenamed("status", "state")
+    out = presence(rows, F.col("original_present"), F.col("output_present")).withColumnRenamed("status", "presence")
     publishing = F.col("state") == "publishing"
-    blocked = F.when(publishing, "publishing").when(F.col("_case"), "path in another case").when(F.col("_begun"), "unfinished file").when(strange, "another book of this filing")
-    kind = F.when(publishing, "recoverable").when(F.col("_case"), "unknown").when(F.col("_begun"), "recoverable").when(strange, "unknown").otherwise(F.col("presence"))
-    return out.withColumns({"blocked": blocked, "presence": kind}).drop("_begun", "_case", "_paths", "_books")
+    blocked = F.when(publishing, "publishing").when(F.col("_case"), "path in another case").when(F.col("_begun"), "unfinished file").when(F.col("_strange"), "another book of this filing")
+    kind = F.when(publishing, "recoverable").when(F.col("_case"), "unknown").when(F.col("_begun"), "recoverable").when(F.col("_strange"), "unknown").otherwise(F.col("presence"))
+    return out.withColumns({"blocked": blocked, "presence": kind}).drop("_begun", "_case", "_strange")
 
 
 def storage(files: DataFrame, kind: Column, size: Column) -> DataFrame:

@@ -82,7 +82,6 @@ def metrics(companies_: DataFrame, transport: Callable[[str], Answer], *, defini
     errors = got.where("error_kind is not null").select("cik", "tag", F.when(F.col("error_kind") == "notfound", 404).alias("code"), F.concat_ws(": ", "error_kind", "message").alias("message"))
     errors = errors.unionByName(shape.select("cik", "tag", F.lit(None).cast("int").alias("code"), F.lit("no JSON").alias("message")))
     found, info = facts.periods(rows, ["cik", "tag"])
-    found = written(found, "periods")
     return facts.report(found, written(facts.candidates(defs, companies_.select("cik").distinct(), info, errors), "candidates"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions.dates import is_date
 from sedimenta.functions.forms import DEFAULT_FORMS, in_forms, normalize_form
 from sedimenta.functions.text import watch_cik
+from sedimenta.sources.scratch import written
 
 #: Filings of a company that one run takes, and of its first run; accessions that a subscription remembers.
 MAX_NEW, FIRST_RUN, KEEP_SEEN = 8, 10, 200
@@ -60,16 +61,20 @@ def subscriptions(rows: DataFrame) -> DataFrame:
 
 
 def considered(filings: DataFrame, subs: DataFrame, *, since: str | None = None, exact: bool = False, only_enabled: bool = True) -> DataFrame:
-    """Filings of a subscription's forms, each accession once (the first of the listing), with dropped: older than since.
+    """Filings of subscriptions, each accession once (the first of the listing), with dropped: older than since.
 
-    A since without the shape of a date drops nothing; nor do rows whose date has not.
+    hit marks those of a subscription's forms; all others of a company are one row without an
+    accession.  What a subscription remembers is asked before rows are shuffled and stays behind.  A
+    since without the shape of a date drops nothing; nor do rows whose date has not.
     """
     wanted = subs.where(F.coalesce("enabled", F.lit(True))) if only_enabled else subs
-    state = wanted.select("cik", "forms", "seen", F.col("seen_upto_date").alias("baseline"), "first_run_done")
-    rows = filings.join(state, "cik").where(in_forms(F.col("form"), F.col("forms"), exact)).drop("forms")
-    one = rows.groupBy("cik", "accn").agg(F.min_by(F.struct("form", "date", "seen", "baseline", "first_run_done"), "pos").alias("f"), F.count("*").alias("times"))
+    untouched = F.col("seen_upto_date").isNull() & (F.size("seen") == 0) & ~F.coalesce("first_run_done", F.lit(False))
+    state = wanted.select("cik", "forms", F.col("seen").alias("_seen"), F.col("seen_upto_date").alias("baseline"), untouched.alias("untouched"))
+    rows = filings.join(state, "cik").withColumn("hit", F.coalesce(in_forms(F.col("form"), F.col("forms"), exact), F.lit(False)))
+    rows = rows.select("cik", "hit", F.when(F.col("hit"), F.col("accn")).alias("accn"), "form", "date", "pos", F.array_contains("_seen", F.col("accn")).alias("seen"), "baseline", "untouched")
+    one = rows.groupBy("cik", "hit", "accn").agg(F.min_by(F.struct("form", "date", "seen", "baseline", "untouched"), "pos").alias("f"), F.count("*").alias("times"))
     strict = F.lit(since).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") if since else F.lit(False)
-    return one.select("cik", "accn", "f.*", "times").withColumn("dropped", strict & is_date(F.col("date")) & (F.col("date") < F.lit(since or "")))
+    return one.select("cik", "hit", "accn", "f.*", "times").withColumn("dropped", strict & is_date(F.col("date")) & (F.col("date") < F.lit(since or "")))
 
 
 def plan(filings: DataFrame, subs: DataFrame, *, max_new: int = MAX_NEW, first_run_new: int = FIRST_RUN, since: str | None = None, exact: bool = False, only_enabled: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -79,40 +84,46 @@ def plan(filings: DataFrame, subs: DataFrame, *, max_new: int = MAX_NEW, first_r
     counted.  On a first run (no baseline, nothing seen, none done) what is above the cap becomes
     history, later it is truncated and comes again.  closing lists the accessions of the newest date,
     if nothing was truncated.  A subscription without any listing has a warning and zeros.
+
+    The plan is made when this is called: filings are read once, and a table of one row a
+    subscription, written to the shared folder, serves both results and all that is made of them.
     """
     rows = considered(filings, subs, since=since, exact=exact, only_enabled=only_enabled)
     date, valid = F.col("date"), is_date(F.col("date"))
-    seen = F.array_contains("seen", F.col("accn"))
     old = F.coalesce(valid & (date < F.col("baseline")), F.lit(False))
-    rows = rows.withColumn("kind", F.when(F.col("dropped"), "since").when(seen, "seen").when(old, "history").otherwise("new"))
-    rows = rows.withColumn("untouched", F.col("baseline").isNull() & (F.size("seen") == 0) & ~F.coalesce("first_run_done", F.lit(False)))
+    kind = F.when(~F.col("hit"), "other").when(F.col("dropped"), "since").when(F.col("seen"), "seen").when(old, "history").otherwise("new")
+    rows = written(rows.select("cik", "hit", "accn", "form", "date", kind.alias("kind"), "untouched", "times"), "considered")
     cap = F.when(F.col("untouched"), min(first_run_new, max_new)).otherwise(max_new)
     by = Window.partitionBy("cik").orderBy(F.desc("date"), F.desc("accn"))
-    new = rows.where("kind = 'new'").withColumn("pos", F.row_number().over(by)).where((F.col("pos") <= max_new) & (F.col("pos") <= cap)).select("cik", "accn", "form", "date", "pos")
-
-    kept = ~F.col("dropped")
-    per = rows.groupBy("cik").agg(
-        F.count_if(kept).alias("total_known"), F.count_if(F.col("kind") == "new").alias("n_unseen"), F.count_if(F.col("kind") == "history").alias("n_history"),
-        F.count_if(F.col("dropped")).alias("since_skipped"), F.sum(F.col("times") - 1).alias("duplicates"), F.count_if(kept & ~valid & (F.col("kind") != "seen")).alias("bad_dates"),
-        F.max(F.when(kept, F.struct("date", "accn"))).alias("newest"), F.first("untouched").alias("untouched"),
+    new = rows.where("kind = 'new'").withColumn("pos", F.row_number().over(by)).where((F.col("pos") <= max_new) & (F.col("pos") <= cap))
+    new = new.groupBy("cik").agg(F.array_sort(F.collect_list(F.struct("pos", "accn", "form", "date"))).alias("new"))
+
+    # a company's dates first: what is collected is one day's, and a company with most of the rows is summed in parts
+    kept = F.col("hit") & (F.col("kind") != "since")
+    days = rows.groupBy("cik", "date").agg(
+        F.count_if(kept).alias("total_known"), *(F.count_if(F.col("kind") == k).alias(n) for k, n in (("new", "n_unseen"), ("history", "n_history"), ("since", "since_skipped"))),
+        F.sum(F.when(F.col("hit"), F.col("times") - 1).otherwise(0)).alias("duplicates"), F.count_if(kept & ~F.coalesce(valid, F.lit(False)) & (F.col("kind") != "seen")).alias("bad_dates"),
+        F.array_sort(F.collect_list(F.when(kept, F.col("accn")))).alias("accns"), F.max(F.when(kept, F.col("accn"))).alias("accn"), F.max(F.when(F.col("hit"), F.col("untouched"))).alias("untouched"),
     )
+    sums = ["total_known", "n_unseen", "n_history", "since_skipped", "duplicates", "bad_dates"]
+    some = F.col("total_known") > 0
+    per = days.select("*", some.alias("_some")).groupBy("cik").agg(*(F.sum(c).alias(c) for c in sums), F.max(F.when(F.col("_some"), F.struct("date", "accn"))).alias("newest"), F.max_by("accns", F.when(F.col("_some"), F.col("date"))).alias("accns"), F.max("untouched").alias("untouched"), F.lit(True).alias("listed"))
     wanted = subs.where(F.coalesce("enabled", F.lit(True))) if only_enabled else subs
-    listed = filings.select("cik").distinct().withColumn("listed", F.lit(True))
-    up = wanted.select("cik", F.col("seen_upto_date").alias("baseline_date")).join(listed, "cik", "left").join(per, "cik", "left")
+    up = wanted.select("cik", F.col("seen_upto_date").alias("baseline_date")).join(per, "cik", "left").join(new, "cik", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     n, first = zero("n_unseen"), F.coalesce(F.col("untouched") & (F.col("n_unseen") > 0), F.lit(False))
     most = F.when(first, min(first_run_new, max_new)).otherwise(max_new)
     over = F.greatest(n - most, F.lit(0))
     date_of = F.when(is_date(F.col("newest.date")), F.col("newest.date"))
+    none = F.array().cast(rows.select(F.array("accn").alias("a")).schema["a"].dataType)
     up = up.select(
         "cik", F.least(n, most).cast("long").alias("new_count"), first.alias("first_run"), zero("total_known").alias("total_known"), F.when(first, F.lit(0)).otherwise(over).cast("long").alias("truncated"),
         (zero("n_history") + F.when(first, over).otherwise(F.lit(0))).cast("long").alias("history_skipped"), zero("since_skipped").alias("since_skipped"), zero("duplicates").alias("duplicates"), zero("bad_dates").alias("bad_dates"),
         "baseline_date", F.when(first | (over == 0), date_of).alias("baseline_new_date"), F.col("newest.date").alias("latest_filing"), F.col("newest.accn").alias("latest_accession"),
-        F.when(F.col("listed").isNull(), "no metadata").alias("warning"),
+        F.when(F.col("listed").isNull(), "no metadata").alias("warning"), "accns", "new",
     )
-    last = up.where("baseline_new_date is not null").select("cik", F.col("baseline_new_date").alias("date"))
-    closing = rows.where(kept).join(last, ["cik", "date"]).groupBy("cik").agg(F.array_sort(F.collect_list("accn")).alias("closing"))
-    return new, up.join(closing, "cik", "left").withColumn("closing", F.coalesce("closing", F.array().cast("array<string>")))
+    up = written(up.withColumn("closing", F.when(F.col("baseline_new_date").isNotNull(), F.col("accns")).otherwise(none)).drop("accns"), "plan")
+    return up.select("cik", F.inline("new")).select("cik", "accn", "form", "date", "pos"), up.drop("new")
 
 
 def mark_seen(subs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -120,12 +131,16 @@ def mark_seen(subs: DataFrame, marks: DataFrame) -> DataFrame:
 
     The baseline moves forward only, and only to a date.  Marks have one row for a cik.
     """
-    rows = subs.join(marks.select("cik", "accns", "upto_date", "newest"), "cik", "left")
+    return _marked(subs, marks.select("cik", "accns", "upto_date", "newest")).select(*subs.columns)
+
+
+def _marked(subs: DataFrame, marks: DataFrame) -> DataFrame:
+    rows = subs.join(marks, "cik", "left")
     none = F.array().cast("array<string>")
     fresh = F.reverse(F.array_sort(F.array_distinct(F.array_except(F.filter(F.coalesce("accns", none), lambda a: a != ""), F.coalesce("seen", none)))))
     merged = F.slice(F.concat(fresh, F.coalesce("seen", none)), F.lit(1), F.coalesce("keep_seen", F.lit(KEEP_SEEN)))
     upto = F.when(is_date(F.col("upto_date")), F.col("upto_date"))
-    return rows.withColumns({"seen": merged, "seen_upto_date": F.greatest("seen_upto_date", upto), "last_accession": F.coalesce("newest", "last_accession")}).select(*subs.columns)
+    return rows.withColumns({"seen": merged, "seen_upto_date": F.greatest("seen_upto_date", upto), "last_accession": F.coalesce("newest", "last_accession")})
 
 
 def commit(subs: DataFrame, new: DataFrame, updates: DataFrame) -> DataFrame:
@@ -134,8 +149,8 @@ def commit(subs: DataFrame, new: DataFrame, updates: DataFrame) -> DataFrame:
     upto = F.when(F.col("truncated") == 0, F.coalesce("baseline_new_date", "latest_filing"))
     marks = updates.join(got, "cik", "left").select("cik", F.concat(F.coalesce("accns", F.array().cast("array<string>")), "closing").alias("accns"), upto.alias("upto_date"), F.col("latest_accession").alias("newest"), F.col("latest_filing"))
     marks = marks.withColumn("newest", F.when((F.size("accns") > 0) | F.col("upto_date").isNotNull(), F.col("newest")))
-    out = mark_seen(subs, marks).join(updates.select("cik", F.col("latest_filing").alias("_latest"), F.lit(True).alias("_done")), "cik", "left")
-    out = out.withColumns({"first_run_done": F.col("first_run_done") | F.coalesce("_done", F.lit(False)), "last_filing_date": F.coalesce("_latest", "last_filing_date")})
+    out = _marked(subs, marks.withColumn("_done", F.lit(True)))
+    out = out.withColumns({"first_run_done": F.col("first_run_done") | F.coalesce("_done", F.lit(False)), "last_filing_date": F.coalesce("latest_filing", "last_filing_date")})
     return out.select(*subs.columns)
 
 

@@ -524,15 +524,15 @@ def _inventory(records):
  case when state = 'publishing' then 'recoverable' when k % 55 = 0 then 'unknown' when k % 14 = 3 then 'recoverable' when k % 13 = 0 then 'unknown' when k % 5 <> 0 and k % 2 = 0 then 'present' when k % 5 <> 0 or k % 2 = 0 then 'partial' else 'missing' end presence from {_RECORDS}""")
 def library_status(spark, sf_dir):
     r = _records(spark, sf_dir)
-    return library.library_status(r, _inventory(r)).select("cik", "accn", "original_present", "output_present", "blocked", "presence")
+    return library.library_status(r, scratch.written(_inventory(r), "inventory")).select("cik", "accn", "original_present", "output_present", "blocked", "presence")
 
 
 @register(f"""with f as (select '/work/' || cik || '/' || accn || n path, k % 100 size, r from {_RECORDS}, (values ('/source.json', 3), ('/translation.json', 1), ('/page.htm', 0)) v(n, r) where k % 10 = 5 and k % 9 <> 0 and k % 14 <> 3 and k % 13 <> 0 and k % 55 <> 0 and k % 4 = 1)
  select path, size, row_number() over (order by r, path) place from f""")
 def cleaning_plan(spark, sf_dir):
     r = _records(spark, sf_dir)
-    inventory = _inventory(r)
-    status = library.library_status(r, inventory)
+    inventory = scratch.written(_inventory(r), "inventory")
+    status = scratch.written(library.library_status(r, inventory), "status")
     chosen = status.where("presence = 'missing' and k % 4 = 1").select("cik", "accn")
     return library.cleaning_plan(status, inventory, chosen)[0].select("path", "size", "place")
 
@@ -692,7 +692,7 @@ def _chosen(spark, sf_dir):
     got, info = facts.periods(_facts(spark, sf_dir), ["cik", "tag"])
     ciks = _facts(spark, sf_dir).select("cik").distinct()
     errors = ciks.select("cik", F.lit("Other").alias("tag"), F.lit(404).alias("code"), F.lit("").alias("message"))
-    return got, facts.candidates(_definitions(spark), ciks, info, errors)
+    return got, scratch.written(facts.candidates(_definitions(spark), ciks, info, errors), "candidates")
 
 
 @register(f"""with {_PERIODS} select cik, metric, tag, tag_rank, status, newest, chosen from b""")
