@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions import forms, html, periods, text
-from sedimenta.operators import books, companies, facts, filings, fragments, histories, library, sessions, updates
-from sedimenta.sources import book_sink, scratch
+from sedimenta.operators import books, companies, facts, filings, fragments, histories, library, resolving, sessions, updates
+from sedimenta.sources import book_sink, files, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -131,6 +131,24 @@ def company_by_number(spark, sf_dir):
     return _answer(companies.resolve(_companies(spark, sf_dir), "CIK 0000000017")[1])
 
 
+_ASKED = """(select s_suppkey id, case s_suppkey % 5 when 0 then 'Customer#' || lpad(s_suppkey::varchar, 9, '0') when 1 then ' mer ' || lpad((s_suppkey // 10)::varchar, 8, '0') when 2 then 'CIK ' || s_suppkey when 3 then 'c-' || s_suppkey else '0' || lpad(s_suppkey::varchar, 6, '0') || 'x' end query, s_suppkey k from supplier)"""
+
+
+@register(f"""with c as (select c_custkey cik, 'C.' || c_custkey ticker, c_name title, replace(lower(c_name), '#', ' ') t from customer),
+ r as (select id, cik, title, 1000 score, 'cik' how from {_ASKED} join c on c.cik = k where k % 5 = 2 union all select id, cik, title, 1000, 'ticker' from {_ASKED} join c on c.cik = k where k % 5 = 3
+ union all select id, cik, title, case when t = q then 900 else 400 end, 'name' from (select *, replace(trim(lower(query)), '#', ' ') q from {_ASKED} where k % 5 in (0, 1, 4)) join c on contains(t, q)),
+ s as (select *, row_number() over (partition by id order by score desc, strlen(title), 'C.' || cik, cik) n, count(*) over (partition by id) total, lead(score) over (partition by id order by score desc, strlen(title), 'C.' || cik, cik) two from r)
+ select a.id query_id, case when s.id is null and k % 5 <> 2 then 'no_match' end error, coalesce(cik, case when k % 5 = 2 then k end) cik_num, title as name, coalesce(how, case when k % 5 = 2 then 'cik' end) matched_by, coalesce(total, 0) candidates_total, coalesce(total, 0) > 1 ambiguous, coalesce(score = two, false) tie from {_ASKED} a left join s on s.id = a.id and n = 1""")
+def company_resolve_all(spark, sf_dir):
+    """A query made of each supplier's number against a directory of all customers: equal names, ends and beginnings of words, numbers, tickers, and some that fit nothing."""
+    k = F.col("s_suppkey")
+    wide = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    query = F.when(k % 5 == 0, F.concat(F.lit("Customer#"), wide(k, 9))).when(k % 5 == 1, F.concat(F.lit(" mer "), wide(F.floor(k / 10), 8))).when(k % 5 == 2, F.concat(F.lit("CIK "), k.cast("string"))).when(k % 5 == 3, F.concat(F.lit("c-"), k.cast("string"))).otherwise(F.concat(F.lit("0"), wide(k, 6), F.lit("x")))
+    asked = table(spark, sf_dir, "supplier").select(k.alias("query_id"), query.alias("query"))
+    directory = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cik"), F.concat(F.lit("C."), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_name").alias("title"))
+    return resolving.resolve_all(directory, asked)[1].select("query_id", "error", "cik_num", "name", "matched_by", "candidates_total", "ambiguous", "tie")
+
+
 @register("""select p_partkey cik, 'T.' || p_size ticker, p_name title from part where p_partkey % 9 <> 0""")
 def company_directory(spark, sf_dir):
     entry = F.struct(F.when(F.col("cik") % 9 == 0, "n/a").otherwise(F.col("cik").cast("string")).alias("cik_str"), "ticker", "title")
@@ -326,6 +344,19 @@ def content_relink(spark, sf_dir):
     return library.same_content(table(spark, sf_dir, "documents"), "doc_id", F.sha2("text", 256))
 
 
+@register("""with f as (select page_id, (page_id % 50)::varchar || '/' || page_id || '.html' path, sha256(html) h, strlen(html)::bigint size from pages where html is not null), l as (select page_id, h, size from f where page_id % 10 = 3)
+ select page_id, h sha256, n_paths, first_path, n_paths > 20 many from l join (select h, count(*) n_paths, min(path) first_path from f group by 1) using (h)""")
+def stored_relink(spark, sf_dir):
+    """Every page stored as a file; of each tenth the file is lost and found again by size, then by content, among all that are stored."""
+    pages = table(spark, sf_dir, "pages").where("html is not null").select("page_id", F.concat((F.col("page_id") % 50).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    folder = scratch.shared(spark, "pages")
+    files.store(pages.select("path", "content"), folder)
+    lost = pages.where("page_id % 10 = 3").select("page_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"))
+    found = files.digests(files.of_sizes(files.listing(spark, folder), lost), folder)
+    per = found.groupBy("sha256").agg(F.count("*").alias("n_paths"), F.min("path").alias("first_path"))
+    return lost.join(per, "sha256").select("page_id", "sha256", "n_paths", "first_path", (F.col("n_paths") > library.HITS).alias("many"))
+
+
 @register("""select o_custkey cik, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int row_pos, o_orderkey::varchar accn, case when o_orderstatus = 'P' then '' else o_orderpriority end form from orders""")
 def json_columns_zip(spark, sf_dir):
     form = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
