@@ -7,8 +7,8 @@ the bits of these masks, an n-gram of several languages as a part for each; the
 for the filters' false positives, and the largest share decides (ties: the first language by code
 point).  A slot has as many 64-bit words as the languages need.
 
-Every language is learned, from a hash sample of its training rows and the beginnings of long texts:
-an n-gram belongs to each language that holds it in a few of these.  Texts that are null or hold
+Every language is learned, from a hash sample of its training rows, of long texts from pieces drawn
+over their whole length: an n-gram belongs to each language that holds it in a few of these.  Texts that are null or hold
 no letter are `und`, score 0.  A text with letters but without any known n-gram gets the most
 frequent language, score 0; without any learned language, `und`.  Repeated rows are each returned.
 """
@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.blocks import LOWER, Block, blocks, mix
-from sedimenta.llm.tables import remainder
+from sedimenta.llm.tables import pieces, remainder
 
 #: Languages that a word of a mask holds.
 WORD_BITS = 64
-#: Documents per language that are learned from, about (a sample by hash of the id; fewer beyond 64 languages), and characters taken of each.
-TRAIN_ROWS, TEXT_CHARS = 1500, 20_000
+#: Documents per language that are learned from, about (a sample by hash of the id; fewer beyond 64 languages), and characters taken of each, in as many pieces where it is longer.
+TRAIN_ROWS, TEXT_CHARS, PIECES = 1500, 20_000, 20
+#: Salt of the hash that orders them.
+SALT = 8
 #: Slots of the filters and hash functions.
 SLOTS, HASHES = 1 << 21, 3
 #: n-gram lengths in bytes, the word's edges included.
@@ -142,10 +144,11 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Filters:
     if not sizes:
         return Filters([], np.zeros((1, SLOTS), np.uint64), np.zeros(0), 0)
     rows = max(1, min(rows, rows * WORD_BITS // len(sizes)))
-    draw = F.lit(False)
-    for r in sizes:
-        draw = draw | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * rows / r["count"]))))
-    got = known.where(draw).select("doc_id", F.substring("text", 1, TEXT_CHARS).alias("text"), "lang").orderBy("doc_id").limit(2 * rows * len(sizes)).toPandas()
+    # a row for each language, of which the driver holds the filters too
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, int(1_000_000 * rows / r["count"]))) for r in sizes], "lang string, rate int")
+    drawn = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate"))
+    drawn = drawn.select(F.xxhash64(F.lit(SALT), "doc_id").alias("place"), "doc_id", pieces(F.col("text"), F.col("doc_id"), TEXT_CHARS, PIECES, " ").alias("text"), "lang")
+    got = drawn.orderBy("place", "doc_id", "text", "lang").limit(2 * rows * len(sizes)).toPandas()
     f = build(list(got["text"]), list(got["lang"]))
     top = sizes[0]["lang"]
     f.common = f.languages.index(top) if top in f.languages else f.common

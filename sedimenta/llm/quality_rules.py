@@ -25,6 +25,8 @@ from sedimenta.llm.blocks import SPACE, blocks, grams, repeated, with_doc
 
 #: Labelled rows from which a list is learned, at most (a sample by hash of the id).
 LABEL_ROWS = 20_000
+#: Salt of the hash that orders them.
+SALT = 1
 #: The symbols that n_symbols counts.
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
 #: Features that conditions may test.
@@ -194,7 +196,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> li
         return []
     keep = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * rows / n))
     known = known.where(keep).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"))
-    got = statistics(docs.select("doc_id", "text").where(keep)).join(known, F.col("doc_id") == F.col("label_id")).orderBy("doc_id", *COUNTS, *FEATURES).limit(2 * rows).toPandas()
+    got = statistics(docs.select("doc_id", "text").where(keep)).join(known, F.col("doc_id") == F.col("label_id")).orderBy(F.xxhash64(F.lit(SALT), "doc_id"), "doc_id", *COUNTS, *FEATURES).limit(2 * rows).toPandas()
     return learn({f: got[f].to_numpy(float) for f in FEATURES}, (got["quality"] == 0).to_numpy()) if len(got) else []
 
 

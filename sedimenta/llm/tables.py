@@ -94,6 +94,19 @@ def marked(bits: np.ndarray, points: np.ndarray) -> np.ndarray:
     return ((bits[(points >> 6) & (len(bits) - 1)] >> (points & 63)) & 1) != 0
 
 
+def pieces(text: Column, key: Column, chars: int, n: int, between: str = "\n") -> Column:
+    """A text to learn from: the whole one, or, where it is longer than chars, n pieces of it with chars characters in all.
+
+    Each piece lies in its own nth of the text, at a place drawn by a hash of key, so that every part
+    of a long text can be learned from, and the same ones in each run.
+    """
+    length, width = F.char_length(text), chars // n
+    share = F.floor(length / n)
+    at = lambda k: k * share + F.pmod(F.xxhash64(key, k), F.greatest(share - width + 1, F.lit(1)))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(text, (at(k) + 1).cast("int"), F.lit(width)))
+    return F.when(length > chars, F.array_join(drawn, between)).otherwise(text)
+
+
 def remainder(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4; rows with 2 are held out from learning."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4

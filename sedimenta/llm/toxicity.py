@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.blocks import Block, blocks, mix
-from sedimenta.llm.tables import remainder
+from sedimenta.llm.tables import pieces, remainder
 
 #: Weights of the model (hash buckets).
 BUCKETS = 1 << 18
-#: Labelled documents from which the model is learned, at most, their bytes, and characters taken of one text.
-TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 8_000, 10_000_000, 1_000_000
+#: Labelled documents from which the model is learned, at most, their bytes, and characters taken of one text, in as many pieces where it is longer.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT, PIECES = 8_000, 10_000_000, 1_000_000, 50
 #: Folds that calibrate the background, and what the score of clean text of any length should stay below.
 FOLDS, CLEAN = 3, 0.2
 #: Salt of the hash that orders them.
@@ -203,8 +203,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
         return Model(np.zeros(BUCKETS), -30.0)
     keep = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * rows / n))
     sample = docs.select("doc_id", "text").where(keep("doc_id") & F.col("text").isNotNull()).join(known.where(keep("label_id")), F.col("doc_id") == F.col("label_id"))
-    # of the longest texts a part is learned from; scoring always sees the whole
-    sample = sample.select("doc_id", F.xxhash64(F.lit(SALT), "doc_id").alias("place"), F.substring("text", 1, TRAIN_TEXT).alias("text"), "toxic")
+    # of the longest texts pieces from all over are learned from; scoring always sees the whole
+    sample = sample.select("doc_id", F.xxhash64(F.lit(SALT), "doc_id").alias("place"), pieces(F.col("text"), F.col("doc_id"), TRAIN_TEXT, PIECES).alias("text"), "toxic")
     # sizes first: the bytes are met by a lower rate of the hash, whatever the order of the ids
     sizes = sample.select("place", F.octet_length("text").alias("size")).orderBy("place").limit(2 * rows).toPandas()
     use = int((sizes["size"].cumsum() <= size).sum())
