@@ -85,8 +85,8 @@ def plan(filings: DataFrame, subs: DataFrame, *, max_new: int = MAX_NEW, first_r
     history, later it is truncated and comes again.  closing lists the accessions of the newest date,
     if nothing was truncated.  A subscription without any listing has a warning and zeros.
 
-    The plan is made when this is called: filings are read once, and a table of one row a
-    subscription, written to the shared folder, serves both results and all that is made of them.
+    Filings are read once, when this is called: a narrow table of those considered, written to the
+    shared folder, serves both results and all that is made of them.
     """
     rows = considered(filings, subs, since=since, exact=exact, only_enabled=only_enabled)
     date, valid = F.col("date"), is_date(F.col("date"))
@@ -96,7 +96,7 @@ def plan(filings: DataFrame, subs: DataFrame, *, max_new: int = MAX_NEW, first_r
     cap = F.when(F.col("untouched"), min(first_run_new, max_new)).otherwise(max_new)
     by = Window.partitionBy("cik").orderBy(F.desc("date"), F.desc("accn"))
     new = rows.where("kind = 'new'").withColumn("pos", F.row_number().over(by)).where((F.col("pos") <= max_new) & (F.col("pos") <= cap))
-    new = new.groupBy("cik").agg(F.array_sort(F.collect_list(F.struct("pos", "accn", "form", "date"))).alias("new"))
+    new = new.select("cik", "accn", "form", "date", "pos")
 
     # a company's dates first: what is collected is one day's, and a company with most of the rows is summed in parts
     kept = F.col("hit") & (F.col("kind") != "since")
@@ -109,7 +109,7 @@ def plan(filings: DataFrame, subs: DataFrame, *, max_new: int = MAX_NEW, first_r
     some = F.col("total_known") > 0
     per = days.select("*", some.alias("_some")).groupBy("cik").agg(*(F.sum(c).alias(c) for c in sums), F.max(F.when(F.col("_some"), F.struct("date", "accn"))).alias("newest"), F.max_by("accns", F.when(F.col("_some"), F.col("date"))).alias("accns"), F.max("untouched").alias("untouched"), F.lit(True).alias("listed"))
     wanted = subs.where(F.coalesce("enabled", F.lit(True))) if only_enabled else subs
-    up = wanted.select("cik", F.col("seen_upto_date").alias("baseline_date")).join(per, "cik", "left").join(new, "cik", "left")
+    up = wanted.select("cik", F.col("seen_upto_date").alias("baseline_date")).join(per, "cik", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     n, first = zero("n_unseen"), F.coalesce(F.col("untouched") & (F.col("n_unseen") > 0), F.lit(False))
     most = F.when(first, min(first_run_new, max_new)).otherwise(max_new)
@@ -120,10 +120,9 @@ def plan(filings: DataFrame, subs: DataFrame, *, max_new: int = MAX_NEW, first_r
         "cik", F.least(n, most).cast("long").alias("new_count"), first.alias("first_run"), zero("total_known").alias("total_known"), F.when(first, F.lit(0)).otherwise(over).cast("long").alias("truncated"),
         (zero("n_history") + F.when(first, over).otherwise(F.lit(0))).cast("long").alias("history_skipped"), zero("since_skipped").alias("since_skipped"), zero("duplicates").alias("duplicates"), zero("bad_dates").alias("bad_dates"),
         "baseline_date", F.when(first | (over == 0), date_of).alias("baseline_new_date"), F.col("newest.date").alias("latest_filing"), F.col("newest.accn").alias("latest_accession"),
-        F.when(F.col("listed").isNull(), "no metadata").alias("warning"), "accns", "new",
+        F.when(F.col("listed").isNull(), "no metadata").alias("warning"), "accns",
     )
-    up = written(up.withColumn("closing", F.when(F.col("baseline_new_date").isNotNull(), F.col("accns")).otherwise(none)).drop("accns"), "plan")
-    return up.select("cik", F.inline("new")).select("cik", "accn", "form", "date", "pos"), up.drop("new")
+    return new, up.withColumn("closing", F.when(F.col("baseline_new_date").isNotNull(), F.col("accns")).otherwise(none)).drop("accns")
 
 
 def mark_seen(subs: DataFrame, marks: DataFrame) -> DataFrame:
