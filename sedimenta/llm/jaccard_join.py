@@ -551,9 +551,12 @@ def similar(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of similar documents, the one with the least id, with all columns.
 
-    Rows that share an id stay or go together; rows with a null id stay.  Columns may have any names:
-    rows travel whole in one column.
+    Rows that share id and text stay or go together; rows that share an id only are judged apart, and
+    of those of one group the one with the least digest of its text stays.  Rows with a null id stay.
+    Columns may have any names: rows travel whole in one column.
     """
-    gone = similar(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")
+    digest = F.xxhash64("text")
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", digest.alias("digest"))).alias("doc_id"), "text")
+    gone = similar(keyed).where("doc_id <> component_id").select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.digest").alias("gone_digest")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest.alias("digest"))
+    return rows.join(gone, (F.col("row.doc_id") == F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti").select("row.*")

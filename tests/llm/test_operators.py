@@ -326,6 +326,8 @@ def test_null_ids(spark):
     assert ids(toxicity.score(docs, model)) == ids(toxicity.keep_clean(docs, model)) == every
     assert ids(jaccard_join.similar(docs)) == ids(suffix_dedup.removed(docs)) == ids(mixing.plan(docs)) == every
     assert ids(jaccard_join.keep_one(docs)) == sorted({*every} - {2})
+    shared = jaccard_join.keep_one(spark.createDataFrame([(1, a), (2, a), (2, long), (2, None), (3, a + " z"), (4, long), (4, long + " z"), (None, a)], "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in shared.collect()) == [(0, a), (1, a), (2, ""), (2, long)]
     assert sorted(set(ids(packing.pack_documents(docs)))) == sorted(set(every))
     assert {-1, big} <= set(ids(mixing.mixed(docs))) and mixing.mixed(docs).columns == docs.columns
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs)).collect()}
