@@ -109,6 +109,28 @@ def old_progress(metadata: Column) -> Column:
     return F.coalesce(F.try_element_at(metadata, F.lit("percent_finished")), F.try_element_at(metadata, F.lit("last_percent"))).try_cast("double")
 
 
+def restored_progress(snapshots: DataFrame, policy: str = "reset", notes: bool = False) -> DataFrame:
+    """snapshots(metadata, old_chars, old_size, new_chars, new_size) with what a rebuilt book gets: metadata, policy and shifted.
+
+    New filings stand in front of a book, so a place moves back by the share that is new: with shift,
+    a share f of the old text is (1 - r) + f r of the new one, r being old by new length, 1 at most.
+    Lengths are characters where known, else bytes.  Where the place or a length is unknown or not
+    above 0, shift is reset: the book opens at its start.  Null metadata is an empty map.
+    """
+    if policy not in ("reset", "shift"):
+        raise ValueError(f"unknown policy {policy}")
+    meta = F.coalesce("metadata", F.create_map().cast("map<string, string>"))
+    old, new, at = F.coalesce("old_chars", "old_size"), F.coalesce("new_chars", "new_size"), old_progress(meta)
+    ratio = F.least(old / new, F.lit(1.0))
+    known = F.coalesce((at > 0) & (old > 0) & (new > 0), F.lit(False)) & F.lit(policy == "shift")
+    place = F.greatest(F.least((1 - ratio) + at * ratio, F.lit(1.0)), F.lit(0.0))
+    rows = snapshots.withColumns({"shifted": F.when(known, place), "metadata": meta})
+    text = F.col("shifted").cast("string")
+    moved = F.create_map(F.lit("last_percent"), text, F.lit("percent_finished"), text)
+    kept = kept_progress(F.col("metadata"), notes)
+    return rows.withColumn("policy", F.when(F.col("shifted").isNull(), "reset").otherwise("shift")).withColumn("metadata", F.when(F.col("shifted").isNull(), kept).otherwise(F.map_concat(kept, moved)))
+
+
 def wrapped(tag: str, limit: int = 40) -> list[str]:
     """A long name in parts, cut where a capital follows a small letter or digit, each of limit - 12 characters at least but the last."""
     out, now = [], ""

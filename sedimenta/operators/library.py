@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.dates import is_date
+from sedimenta.functions.text import watch_cik
 from sedimenta.operators.lifecycle import digest, numbered
 
 #: States of a translation, what a path's end says about its rank in a deletion, endings of unfinished files, and shapes.
@@ -233,6 +234,23 @@ def toggled(entries: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return rows.select(key, F.when(F.col("_hit") & F.col("enabled").isNotNull(), ~F.col("enabled")).otherwise(F.coalesce("enabled", F.lit(True))).alias("enabled"))
 
 
+def removed(entries: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Entries and keys with outcome: kept, removed, or absent for a key that no entry has, which is no fault.
+
+    keys may repeat; a null key removes nothing and is left out.  The new table is the kept rows.
+    """
+    asked = keys.where(F.col(key).isNotNull()).select(key, F.lit(True).alias("_asked")).distinct()
+    rows = entries.withColumn("_here", F.lit(True)).join(asked, key, "full_outer")
+    return rows.withColumn("outcome", F.when(F.col("_here").isNull(), "absent").when(F.col("_asked"), "removed").otherwise("kept")).drop("_asked", "_here")
+
+
+def found(entries: DataFrame, asked: DataFrame, text: str) -> DataFrame:
+    """asked with the entry that its text, any way of writing a cik, names: cik null where the text is none, entry null where nothing is known."""
+    known = entries.select(F.col("cik").alias("_cik"), F.struct(*(F.col(c) for c in entries.columns)).alias("entry"))
+    rows = asked.withColumn("cik", watch_cik(F.col(text)))
+    return rows.join(known, F.col("cik") == F.col("_cik"), "left").drop("_cik")
+
+
 def tokens_of(df: DataFrame, text: Column, pattern: str = "[0-9][0-9,.]*") -> DataFrame:
     """How often each token (by default, number) occurs in all texts."""
     return df.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), 0)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))

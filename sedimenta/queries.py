@@ -646,6 +646,36 @@ def subscription_toggle(spark, sf_dir):
     return library.toggled(entries, "key", c.where("key % 3 = 0 or (key % 7 = 0 and key % 3 = 1)"))
 
 
+@register("""with k as (select distinct c_custkey * 2 as key from customer where c_custkey % 3 = 0)
+ select coalesce(c_custkey, k.key) as key, c_name as name, case when c_custkey is null then 'absent' when k.key is not null then 'removed' else 'kept' end as outcome from customer full outer join k on k.key = c_custkey""")
+def subscription_remove(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    return library.removed(c, "key", c.where("key % 3 = 0").select((F.col("key") * 2).alias("key")))
+
+
+@register("""with o as (select o_orderkey, case when o_orderkey % 5 = 0 then null when o_orderkey % 5 = 1 then lpad((o_custkey * 2)::varchar, 10, '0') else lpad(o_custkey::varchar, 10, '0') end cik from orders)
+ select o_orderkey, cik, c_name as name, c_custkey is not null known from o left join customer on lpad(c_custkey::varchar, 10, '0') = cik""")
+def subscription_find(spark, sf_dir):
+    entries = table(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("cik"), F.col("c_name").alias("name"))
+    k, cik = F.col("o_orderkey") % 5, F.col("o_custkey")
+    asked = F.when(k == 0, "12345678901").when(k == 1, F.concat(F.lit("CIK "), (cik * 2).cast("string"))).otherwise(F.concat(F.lit(" "), cik.cast("string")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", asked.alias("asked"))
+    return library.found(entries, rows, "asked").select("o_orderkey", "cik", F.col("entry.name").alias("name"), F.col("entry").isNotNull().alias("known"))
+
+
+@register("""with b as (select o_orderkey, case when o_orderkey % 4 = 0 then null else (o_orderkey % 100)::double / 100 end f, case when o_orderkey % 3 = 0 then null else o_totalprice::double end oc, o_custkey::double os, case when o_orderkey % 5 = 0 then null else o_totalprice::double + o_orderkey end nc, o_custkey::double + 7 ns from orders),
+ r as (select *, coalesce(oc, os) o, coalesce(nc, ns) n, coalesce(f > 0 and coalesce(oc, os) > 0 and coalesce(nc, ns) > 0, false) ok from b)
+ select o_orderkey, case when ok then 'shift' else 'reset' end as policy, case when ok then greatest(least((1 - least(o / n, 1.0)) + f * least(o / n, 1.0), 1.0), 0.0) end shifted, case when ok then 'font,last_percent,percent_finished' else 'font' end as keys from r""")
+def progress_restore(spark, sf_dir):
+    k = F.col("o_orderkey")
+    share = F.when(k % 4 != 0, (k % 100).cast("double") / 100).cast("string")
+    meta = F.create_map(F.lit("font"), F.lit("a"), F.lit("percent_finished"), share, F.lit("bookmarks"), F.lit("b"))
+    price, cust = F.col("o_totalprice").cast("double"), F.col("o_custkey").cast("double")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", meta.alias("metadata"), F.when(k % 3 != 0, price).alias("old_chars"), cust.alias("old_size"), F.when(k % 5 != 0, price + k).alias("new_chars"), (cust + 7).alias("new_size"))
+    out = books.restored_progress(rows, "shift")
+    return out.select("o_orderkey", "policy", "shifted", F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("keys"))
+
+
 @register("""select c_custkey, case when c_name = '' then 'company' else replace(c_name, '#', '-') end as part, lpad(c_custkey::varchar, 10, '0') || ':' || 'a-' || c_nationkey as "key",
  'https://www.sec.gov/Archives/edgar/data/' || c_custkey || '/' || replace('0-' || c_nationkey, '-', '') || '/' url, case when strlen(c_mktsegment) <= 8 then c_mktsegment else c_mktsegment[1:8] || '…' end short, '&lt;' || c_mktsegment || ' &amp; &quot;co&quot;' esc from customer""")
 def filing_names(spark, sf_dir):

@@ -52,14 +52,20 @@ class Versions:
     def load(self) -> DataFrame | None:
         """The current version, or the one before if it cannot be read; None before the first."""
         for v in self._pointer():
-            try:
-                df = self.spark.read.parquet(f"{self.folder}/{v['name']}")
-                df.limit(1).collect()
+            df = self._read(v["name"])
+            if df is not None:
                 return df
-            except (PySparkException, Py4JJavaError):
-                continue
         return None
 
+    def _read(self, name: str) -> DataFrame | None:
+        """A version; None if it cannot be read."""
+        try:
+            df = self.spark.read.parquet(f"{self.folder}/{name}")
+            df.limit(1).collect()
+            return df
+        except (PySparkException, Py4JJavaError):
+            return None
+
     def info(self, now: float | None = None) -> dict | None:
         """name, rows, written and age of the current version."""
         found = self._pointer()
@@ -80,6 +86,23 @@ class Versions:
             self.fs.delete(self._path(f"{self.folder}/{v['name']}"), True)
         return None
 
+    def revise(self, change: Callable[[DataFrame | None], DataFrame], check: Callable[[DataFrame], str | None] | None = None, adopt: bool = False, now: float | None = None) -> str | None:
+        """Publishes change(current version), None before the first; returns the fault.
+
+        Where the pointer or the newest version cannot be read nothing is written, as a state that
+        was not seen would be lost; adopt goes on from the version before, if that can be read.
+        """
+        try:
+            known = self._pointer()
+        except (ValueError, PySparkException, Py4JJavaError):
+            return "the pointer cannot be read"
+        df = self._read(known[0]["name"]) if known else None
+        if known and df is None:
+            df = self.load() if adopt else None
+            if df is None:
+                return "the newest version cannot be read"
+        return self.publish(change(df), check, now)
+
     def restore(self) -> bool:
         """Points to the version before, if there is one."""
         known = self._pointer()
