@@ -171,12 +171,10 @@ def image_statistics(outcomes: DataFrame) -> DataFrame:
 
 
 def _found_tables(html: str | None) -> Iterator[tables.Grid]:
-    html, at = balance.balanced(html or "")[0], 0
-    while m := markup.TAG.search(html, at):
-        at = m.end()
-        if m[2].lower() == "table" and not m[1] and (end := tables.element_end(html, "table", at)):
-            yield tables.grid(html[m.start() : end[1]])
-            at = end[1]
+    pieces, tags = tables.parts_of(balance.balanced(html or "")[0])
+    for k, end in tables.outermost(tags):
+        if end is not None:
+            yield tables.laid_out(["", *pieces[2 * k + 1 : 2 * end + 2], ""], tags[k : end + 1])
 
 
 def table_grid(docs: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
@@ -194,7 +192,7 @@ def split_tables(docs: DataFrame, key: str = "doc_id", html: str = "html", budge
     def make(raw: str | None) -> list[tuple]:
         out = []
         for t, g in enumerate(_found_tables(raw)):
-            label = set(tables.labels(g))
+            label = set(g.labels)
             parts = tables.chunks(g, budget, None if tables.width(g, g.live) <= budget else most)
             part = {c: k for k, cols in enumerate(parts) for c in cols if c not in label} | dict.fromkeys(label, -1)
             out += [(t, c.row, c.col, c.cs, part[c.col], c.text) for c in g.cells if c.text]

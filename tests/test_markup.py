@@ -182,3 +182,22 @@ def test_borders_wide_headings_and_images_are_counted():
     out, found = clean(raw)
     assert found == {"images": 1, "subtotal_marks": 3, "tables": 2, "split": 1, "subtables": 3, "kept": 1, "collapsed": 0}
     assert out.count('class="secsum"') == 9 and len(re.findall("<table>", out)) == 4
+
+
+def test_documents_with_the_same_tags_share_their_walk_and_layout():
+    from sedimenta.functions import balance, markup, tables
+
+    def page(n):
+        return f"<p>x{n}<table><tr><th colspan=2>FY {n}<td>a &amp; {n}<tr><td>{n},000<td><b>{n}</b></table>"
+
+    def asked(f):
+        return f.cache_info().misses
+
+    first = markup.clean(page(1))
+    before = asked(balance._kept_walk), asked(tables._kept_layout)
+    for n in range(2, 50):
+        assert markup.clean(page(n))[0] == first[0].replace("x1", f"x{n}").replace("FY 1", f"FY {n}").replace("amp; 1", f"amp; {n}").replace("1,000", f"{n},000").replace("<b>1", f"<b>{n}")
+    assert (asked(balance._kept_walk), asked(tables._kept_layout)) == before
+    # what depends on the place of a text is not shared
+    assert markup.clean("<title>a<p>b</p>")[0] == "a<p>b</p>" and markup.clean("<title>a<p></title></p>")[0] == ""
+    assert [markup.traits(t) for t in ("Ab 1,2", "$1,234,567", "—", "é 5", "")] == [(markup.token_width(t), markup.is_numeric(t), markup.is_amount(t), markup.has_letters(t)) for t in ("Ab 1,2", "$1,234,567", "—", "é 5", "")]
