@@ -13,14 +13,17 @@ from sedimenta.functions import balance, markup, tables, urls
 
 #: Bytes below which a cleaned document is refused, and of a text that counts as one in a check.
 LEAST_BYTES, LEAST_TEXT = 200, 2048
-#: Rows of a batch that goes back to Spark.
-OUT_ROWS = 10_000
+#: Rows of a batch that goes back to Spark, characters after which it goes earlier, and documents of a batch that comes.
+OUT_ROWS, OUT_CHARS, IN_ROWS = 10_000, 1 << 22, 500
 
 COUNTS = ["images", "subtotal_marks", "tables", "split", "subtables", "kept", "collapsed"]
 
 
 def _per_row(df: DataFrame, key: str, columns: list[str], make: Callable[..., list[tuple]], out: str) -> DataFrame:
-    """Rows key, *fields from make(*columns) of each document; out: the fields as name type, ..."""
+    """Rows key, *fields from make(*columns) of each document; out: the fields as name type, ...
+
+    A task holds IN_ROWS documents, and of what is made of them OUT_CHARS characters and one document.
+    """
     names = [key, *(x.strip().split(" ")[0] for x in out.split(","))]
     kind = df.schema[key].dataType.simpleString()
     of = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
@@ -29,19 +32,24 @@ def _per_row(df: DataFrame, key: str, columns: list[str], make: Callable[..., li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
+            chars = 0
             own = [batch.schema.field(0).type, *kinds]
 
             def some() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), own, strict=True)], names)  # noqa: B023
 
-            for k, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(k, *r) for r in make(*values)]
-                if len(rows) >= OUT_ROWS:
+            for row in zip(*batch.columns, strict=True):
+                k, *values = (x.as_py() for x in row)
+                made = make(*values)
+                rows += [(k, *r) for r in made]
+                chars += sum([len(x) for r in made for x in r if isinstance(x, str)])
+                if len(rows) >= OUT_ROWS or chars >= OUT_CHARS:
                     yield some()
-                    rows = []
+                    rows, chars = [], 0
             if rows:
                 yield some()
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(IN_ROWS))
     return df.select(key, *columns).mapInArrow(run, f"`{key}` {kind}, {out}")
 
 
@@ -67,6 +75,7 @@ def cleaned(df: DataFrame, html: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, *(pa.array([x], t) for x, t in own)], [*batch.schema.names, "clean", "n_images", "long_enough"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(IN_ROWS))
     return df.mapInArrow(run, f"{kinds}, clean string, n_images long, long_enough boolean")
 
 

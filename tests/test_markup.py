@@ -201,3 +201,19 @@ def test_documents_with_the_same_tags_share_their_walk_and_layout():
     # what depends on the place of a text is not shared
     assert markup.clean("<title>a<p>b</p>")[0] == "a<p>b</p>" and markup.clean("<title>a<p></title></p>")[0] == ""
     assert [markup.traits(t) for t in ("Ab 1,2", "$1,234,567", "—", "é 5", "")] == [(markup.token_width(t), markup.is_numeric(t), markup.is_amount(t), markup.has_letters(t)) for t in ("Ab 1,2", "$1,234,567", "—", "é 5", "")]
+
+
+def test_a_task_holds_few_documents():
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    from sedimenta.functions import html
+
+    df, texts = MagicMock(), [f"<p>{n} " + "word " * 100_000 for n in range(40)]
+    html.plain(df)
+    run = df.select.return_value.mapInArrow.call_args[0][0]
+    assert df.sparkSession.conf.set.call_args[0] == ("spark.sql.execution.arrow.maxRecordsPerBatch", str(html.IN_ROWS))
+    got = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["page_id", "html"])])))
+    assert [x for b in got for x in b.column(1).to_pylist()] == [t[3:].strip() for t in texts]
+    assert max(b.nbytes for b in got) < 2 * html.OUT_CHARS
