@@ -22,6 +22,8 @@ RECORD_DIR = r"^(.*/[0-9]{10}/[0-9]{10}-[0-9]{2}-[0-9]{6})/"
 IMAGE_NAME = r"^images/[A-Za-z0-9_./-]+$"
 #: Chapters and images of a book, hits of a search for a lost file, records of a list, levels and entries of an inventory.
 CHAPTERS, IMAGES, HITS, RECORDS, DEPTH, FILES = 20, 5000, 20, 1000, 16, 10_000
+#: Rows of an inventory for each part in which records are compared with it.
+PART_ROWS = 500_000
 
 
 def safe_path(path: Column, *roots: str) -> Column:
@@ -92,20 +94,23 @@ def library_status(records: DataFrame, inventory: DataFrame) -> DataFrame:
     begun = F.filter(F.array(*(F.when(F.col("path").endswith(e), F.expr(f"substring(path, 1, length(path) - {len(e)})")) for e in UNFINISHED)), lambda p: p.isNotNull())
     # a file speaks for its own path, and an unfinished one for the path that it will have
     said = files.select(F.explode(F.concat(F.array(F.struct(F.col("path"), F.lit(False).alias("begun"))), F.transform(begun, lambda p: F.struct(p.alias("path"), F.lit(True).alias("begun"))))).alias("s")).select("s.*")
-    said = said.groupBy("path").agg(F.max(~F.col("begun")).alias("have"), F.max("begun").alias("begun"))
-    lows = files.groupBy(F.lower("path").alias("low")).agg(F.lit(True).alias("any_case"))
+    # as many parts as the inventory has rows for, so that a task's share does not grow with it
+    n = max(records.sparkSession.sparkContext.defaultParallelism, inventory.count() // PART_ROWS + 1)
+    said = said.withColumn("low", F.lower("path")).repartition(n, "low")
+    said = said.groupBy("low").agg(F.collect_set(F.when(~F.col("begun"), F.col("path"))).alias("have"), F.collect_set(F.when(F.col("begun"), F.col("path"))).alias("begun"))
     paths = records.select("cik", "accn", F.posexplode(F.array("original_path", "output_path")).alias("which", "path"))
-    have = paths.join(said, "path", "left").withColumn("low", F.lower("path")).join(lows, "low", "left")
+    have = paths.withColumn("low", F.lower("path")).repartition(n, "low").join(said, "low", "left")
+    have = have.select("cik", "accn", "which", F.array_contains("have", F.col("path")).alias("have"), F.array_contains("begun", F.col("path")).alias("begun"), (F.size("have") > 0).alias("any_case"))
     flag = lambda c: F.max(F.coalesce(c, F.lit(False)))
-    per = have.groupBy("cik", "accn").agg(
+    per = have.repartition(n, "cik", "accn").groupBy("cik", "accn").agg(
         flag(F.col("have") & (F.col("which") == 0)).alias("original_present"), flag(F.col("have") & (F.col("which") == 1)).alias("output_present"),
         flag(F.col("begun")).alias("_begun"), flag(~F.coalesce("have", F.lit(False)) & F.col("any_case")).alias("_case"),
     )
     books = files.where(F.col("path").endswith(".epub")).select("path", F.regexp_extract("path", r"([0-9]{10}-[0-9]{2}-[0-9]{6})", 1).alias("accn")).where("accn <> ''")
     own = F.array_compact(F.array("original_path", "output_path"))
-    strange = records.select("cik", "accn", own.alias("own")).join(books, "accn").where(~F.exists("own", lambda q: F.startswith(F.col("path"), q)))
-    strange = strange.groupBy("cik", "accn").agg(F.lit(True).alias("_strange"))
-    rows = records.join(per, ["cik", "accn"], "left").join(strange, ["cik", "accn"], "left").withColumnRenamed("status", "state")
+    strange = records.select("cik", "accn", own.alias("own")).repartition(n, "accn").join(books.repartition(n, "accn"), "accn").where(~F.exists("own", lambda q: F.startswith(F.col("path"), q)))
+    strange = strange.repartition(n, "cik", "accn").groupBy("cik", "accn").agg(F.lit(True).alias("_strange"))
+    rows = records.repartition(n, "cik", "accn").join(per, ["cik", "accn"], "left").join(strange, ["cik", "accn"], "left").withColumnRenamed("status", "state")
     out = presence(rows, F.col("original_present"), F.col("output_present")).withColumnRenamed("status", "presence")
     publishing = F.col("state") == "publishing"
     blocked = F.when(publishing, "publishing").when(F.col("_case"), "path in another case").when(F.col("_begun"), "unfinished file").when(F.col("_strange"), "another book of this filing")
