@@ -172,8 +172,10 @@ def cleaning_plan(records: DataFrame, inventory: DataFrame, chosen: DataFrame, *
 
 def relink(files: DataFrame, lost: DataFrame, owned: DataFrame, hits: int = HITS) -> DataFrame:
     """lost(cik, accn, sha256) with the paths of equal content that no record owns, whatever the case; error if there are over hits, or none."""
-    free = files.withColumn("_low", F.lower("path")).join(owned.select(F.lower("path").alias("_low")), "_low", "left_anti")
-    found = lost.join(free.select("sha256", "path"), "sha256", "left").groupBy("cik", "accn", "sha256").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    held = owned.select(F.lower("path").alias("_low"), F.lit(True).alias("_held")).distinct()
+    # contents are met first: only files of a lost content are compared with owned paths
+    met = lost.join(files.select("sha256", "path"), "sha256", "left").withColumn("_low", F.lower("path")).join(held, "_low", "left")
+    found = met.groupBy("cik", "accn", "sha256").agg(F.array_sort(F.collect_list(F.when(F.col("_held").isNull(), F.col("path")))).alias("paths"))
     return found.withColumn("error", F.when(F.size("paths") == 0, "not found").when(F.size("paths") > hits, "too many"))
 
 
