@@ -161,7 +161,8 @@ def cleaning_plan(records: DataFrame, inventory: DataFrame, chosen: DataFrame, *
     error = F.when(F.col("presence").isNull(), "gone").when(F.col("blocked").isNotNull(), F.col("blocked")).when((F.col("presence") != "missing") & ~F.lit(remove_books), "books exist")
     why = rows.agg(F.min(error).alias("error"))
     files = inventory.where("mode = 'file'")
-    inside = files.withColumn("dir", F.regexp_extract("path", RECORD_DIR, 1)).join(rows.select("dir").distinct(), "dir", "left_semi").select(*files.columns)
+    # files outside the folders of records have none, and would all meet in one task
+    inside = files.withColumn("dir", F.regexp_extract("path", RECORD_DIR, 1)).where("dir <> ''").join(rows.select("dir").distinct(), "dir", "left_semi").select(*files.columns)
     books = rows.select(F.explode(F.array("original_path", "output_path")).alias("path")).distinct()
     target = inside.union(files.join(books, "path", "left_semi")).distinct() if remove_books else inside
     plan = deletion_order(target)

@@ -22,12 +22,17 @@ def test_status_has_parts_for_its_rows(spark, monkeypatch):
     assert (r["original_present"], r["output_present"], r["blocked"]) == (False, True, "path in another case")
 
 
-def test_files_outside_records_do_not_meet_in_one_task(spark):
+def test_files_outside_records_do_not_meet_in_one_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
     from sedimenta.operators import library
 
-    rec = spark.createDataFrame([("0000000001", "0000000001-26-000001", "/w/0000000001/0000000001-26-000001", None, "missing")], "cik string, accn string, dir string, blocked string, presence string")
+    seen = []
+    monkeypatch.setattr(library, "deletion_order", lambda files: seen.append(files) or files.withColumn("place", F.lit(1)))
+    rec = spark.createDataFrame([("0000000001", "0000000001-26-000001", "/w/0000000001/0000000001-26-000001", None, "missing", "/b/x", "/b/y")], "cik string, accn string, dir string, blocked string, presence string, original_path string, output_path string")
     inv = spark.createDataFrame([("/w/0000000001/0000000001-26-000001/page.htm", "file", 1, "a"), *((f"/b/{k}.epub", "file", 1, "b") for k in range(9))], FILES)
     assert [r["path"] for r in library.cleaning_plan(rec, inv, rec.select("cik", "accn"))[0].collect()] == ["/w/0000000001/0000000001-26-000001/page.htm"]
+    assert "NOT (dir" in _exchanges(seen[0])
 
 
 def test_lost_contents_are_met_before_owned_paths(spark):
