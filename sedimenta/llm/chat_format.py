@@ -4,18 +4,17 @@ A conversation is formatted once, turn by turn.  The template marks turns by con
 text or a role holds one, a backslash is put after its first character, one more if some are there,
 so that every control string in the output is the template's, and texts can be read back exactly.
 
-Prefix-target expansion: every assistant turn is exploded into an example of its own.  Its text is the
-whole formatted conversation up to the end of that turn, and only the reply is trainable (the span
-[loss_start, loss_end) of characters).  The contexts of one conversation are prefixes of each other,
-so `expanded` states a context by its length in characters of the formatted conversation, whose
-pieces are stored once: a conversation of a million turns takes the room of its turns and not that of
-their square.  `texts` writes the examples out, context included, each in a group of its own.
-
-Rows of a conversation are streamed in order of (turn, role, text) through one task that holds one
-turn; a conversation of any length is one sorted run, which Spark spills.  Null texts and roles count
-as empty; rows without a conversation or a turn form one conversation, or come first in theirs.
-Repeated rows are turns of their own.  Conversations without an assistant have no example, and yet
-their pieces.  An empty table gives no rows.  Other columns are not read.
+Prefix-target expansion: every assistant turn is exploded into an example of its own, written out
+whole: its context, which is the formatted conversation before that turn, and the turn itself as the
+target.  Only the reply is trainable (the span [loss_start, loss_end) of characters of both together).
+So the output of a conversation grows with the square of its turns, as the method has it.
+
+Rows of a conversation are streamed in order of (turn, role, text) through one task that holds the
+conversation up to its current turn and a batch of examples; its input is one sorted run, which Spark
+spills.  A row holds one example, so a conversation of more than 2 GB is beyond Spark's rows.  Null
+texts and roles count as empty; rows without a conversation or a turn form one conversation, or come
+first in theirs.  Repeated rows are turns of their own.  Conversations without an assistant have no
+example, and yet their pieces.  An empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that goes back to Spark, and characters after which it goes earlier.
 OUT_ROWS, OUT_CHARS = 2000, 1 << 22
-PIECE = "conv_id {}, turn_no long, piece string, start long, example long, context_chars long, loss_start long, loss_end long"
+PIECE = "conv_id {}, turn_no long, piece string, start long, example long, context string, loss_start long, loss_end long"
 DIGEST = "conv_id {}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, expanded_chars long"
 
 
@@ -123,56 +122,56 @@ def _mapped(df: DataFrame, make: Callable[[Iterator[tuple]], Iterator[tuple]], f
 
 
 def expanded(conversations: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """The pieces of all conversations(conv_id, turn, role, text), with the example that each assistant turn is.
+    """The turns of all conversations(conv_id, turn, role, text), assistant turns as examples with their contexts.
 
     conv_id, turn_no (from 0), piece (the formatted turn) and start (characters of the conversation
-    before it); for an assistant turn also example (from 0), context_chars (the length of its context)
-    and loss_start and loss_end (its trainable characters, counted in context and piece).  Pieces come
-    out in order, conversation by conversation, within partitions.
+    before it); for an assistant turn also example (from 0), context (all pieces before it; the piece
+    is its target) and loss_start and loss_end (the trainable characters, counted in context and
+    piece).  Rows come out in order, conversation by conversation, within partitions.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def make(each: Iterator[tuple]) -> Iterator[tuple]:
         escape, frame = template.escape(), template.frame()
-        at, n, start, examples = object(), 0, 0, 0
+        at, n, start, examples, past = object(), 0, 0, 0, []
         for conv, _, role, text in each:
             if conv != at:
-                at, n, start, examples = conv, 0, 0, 0
+                at, n, start, examples, past = conv, 0, 0, 0, []
             before, after = frame(role)
             body = escape(text)
-            own = (examples, start, start + len(before), start + len(before) + len(body)) if role == template.target else (None,) * 4
-            yield conv, n, f"{before}{body}{after}", start, *own
-            n, start, examples = n + 1, start + len(before) + len(body) + len(after), examples + (role == template.target)
+            piece, own = f"{before}{body}{after}", (None,) * 4
+            if role == template.target:
+                past = ["".join(past)]
+                own = examples, past[0], start + len(before), start + len(before) + len(body)
+            yield conv, n, piece, start, *own
+            past.append(piece)
+            n, start, examples = n + 1, start + len(piece), examples + (role == template.target)
 
     return _mapped(rows, make, PIECE)
 
 
 def examples(pieces: DataFrame) -> DataFrame:
-    """The examples of expanded pieces without the text of their contexts: a row for each assistant turn."""
+    """The examples among expanded turns: a row for each assistant turn."""
     return pieces.where("example is not null")
 
 
 def texts(pieces: DataFrame) -> DataFrame:
-    """conv_id, example, text, loss_start, loss_end: the examples in full.
-
-    The texts of a conversation together grow with the square of its turns; each is put together by
-    itself, wherever its hash falls.
-    """
-    wanted = examples(pieces).select("conv_id", "example", F.col("turn_no").alias("last"), "loss_start", "loss_end")
-    parts = pieces.select(F.col("conv_id").alias("of"), "turn_no", "piece")
-    met = wanted.join(parts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("turn_no") <= F.col("last")))
-    whole = met.groupBy("conv_id", "example", "loss_start", "loss_end").agg(F.array_sort(F.collect_list(F.struct("turn_no", "piece"))).alias("x"))
-    return whole.select("conv_id", "example", F.array_join(F.transform("x", lambda r: r["piece"]), "").alias("text"), "loss_start", "loss_end")
+    """conv_id, example, text, loss_start, loss_end: context and target of each example as one text."""
+    return examples(pieces).select("conv_id", "example", F.concat("context", "piece").alias("text"), "loss_start", "loss_end")
 
 
 def read_back(pieces: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """Of each conversation what its pieces say when they are parsed; pieces as expanded leaves them, in order.
+    """Of each conversation what its turns and examples say when they are parsed; pieces as expanded leaves them, in order.
 
     n_turns and the digest of role, line feed, text, line feed of each turn; the number of characters
     and the digest of all text under the examples' loss masks; the characters of the formatted
-    conversation, its examples, and the characters of these with their contexts.
+    conversation, its examples, and the characters of these with their contexts.  What a mask covers
+    is cut from the example's whole text before the conversation's rows meet.
     """
+    text = F.concat("context", "piece")
+    masked = text.substr(F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    seen = pieces.select("conv_id", "piece", masked.alias("masked"), F.length(text).cast("long").alias("example_chars"))
 
     def make(each: Iterator[tuple]) -> Iterator[tuple]:
         read, unescape = template.reader(), template.unescape()
@@ -182,7 +181,7 @@ def read_back(pieces: DataFrame, template: Template = TEMPLATE) -> DataFrame:
             conv, n, turns, chars, loss, formatted, count, wide = open_
             return conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, count, wide
 
-        for conv, _, piece, _, example, context, start, end in each:
+        for conv, piece, masked, example_chars in each:
             if conv != at:
                 if open_:
                     yield closed()
@@ -191,13 +190,13 @@ def read_back(pieces: DataFrame, template: Template = TEMPLATE) -> DataFrame:
             open_[1] += 1
             open_[2].update(f"{role}\n{text}\n".encode())
             open_[5] += len(piece)
-            if example is not None:
-                reply = unescape(piece[start - context : end - context])
+            if masked is not None:
+                reply = unescape(masked)
                 open_[3] += len(reply)
                 open_[4].update(reply.encode())
                 open_[6] += 1
-                open_[7] += context + len(piece)
+                open_[7] += example_chars
         if open_:
             yield closed()
 
-    return _mapped(pieces, make, DIGEST)
+    return _mapped(seen, make, DIGEST)

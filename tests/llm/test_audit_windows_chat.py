@@ -188,3 +188,15 @@ def test_a_long_conversation_takes_the_room_of_its_turns(spark):
     r = chat_format.read_back(pieces).first()
     assert r["n_examples"] == 3000 and r["formatted_chars"] < 40 * 6000 and r["expanded_chars"] > 1000 * r["formatted_chars"]
     assert pieces.agg({"piece": "count"}).first()[0] == 6000
+
+
+def test_each_assistant_turn_is_exploded_with_its_context(spark):
+    """An example's row holds its whole context as text: all turns before it, replies among them, and none after."""
+    from sedimenta.llm import chat_format
+
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b</s>"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e"), (2, 0, "assistant", "f"), (3, 0, "user", "g")]
+    pieces = chat_format.expanded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r["conv_id"], r["example"]): (r["context"], r["piece"], (r["context"] + r["piece"])[r["loss_start"] : r["loss_end"]]) for r in chat_format.examples(pieces).collect()}
+    first, reply, then = "[INST] a [/INST]", " b<\\/s></s>", "[INST] c [/INST]"
+    assert got == {(1, 0): (first, reply, "b<\\/s>"), (1, 1): (first + reply + then, " d</s>", "d"), (2, 0): ("", " f</s>", "f")}
+    assert [r["context"] for r in pieces.where("example is null").collect()] == [None] * 4
