@@ -18,7 +18,8 @@ def is_date(x: Column) -> Column:
 
 def day(x: Column) -> Column:
     """The date, or null where the text has another shape or names no day of the calendar."""
-    return F.when(is_date(x), F.try_to_date(x, "yyyy-MM-dd"))
+    # a cast takes half the time of a pattern; unlike that it would skip a final line feed
+    return F.when(is_date(x) & (F.length(x) == 10), x.try_cast("date"))
 
 
 def years_before(today: dt.date, years: int) -> str:

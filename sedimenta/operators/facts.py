@@ -32,9 +32,9 @@ _FACT = "struct<start: string, end: string, val: decimal(38,6), accn: string, fy
 
 
 def definitions(spark: SparkSession, metrics=METRICS) -> DataFrame:
-    """metric_pos, metric, kind, want (unit), tag, tag_rank: one row for each tag of each metric."""
+    """metric_pos, metric, kind, want (unit), tag, tag_rank: one row for each tag of each metric; facts meet them where they lie, as by tag they would meet in few tasks."""
     rows = [(k, m, kind, unit, tag, r + 1) for k, (m, kind, unit, tags) in enumerate(metrics) for r, tag in enumerate(tags)]
-    return spark.createDataFrame(rows, "metric_pos int, metric string, kind string, want string, tag string, tag_rank int")
+    return F.broadcast(spark.createDataFrame(rows, "metric_pos int, metric string, kind string, want string, tag string, tag_rank int"))
 
 
 def all_tags(defs: DataFrame) -> DataFrame:
@@ -75,24 +75,34 @@ def periods(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     Of a period's facts the last filed counts, then the larger accession, then the first in the
     answer.  caliber is I for points in time, else by the days, null for none.  info counts facts,
     those skipped, periods, those with several facts and with differing ones, and has their bounds;
-    error is set where no fact has a unit's period.  The periods are a table, written once when this
-    is called, as info and reports are made of them.
+    error is set where no fact has a unit's period.  Facts are read and dealt once, by keys; the periods,
+    with a row for the skipped facts of each key, are a table, written once when this is called, as
+    info and reports are made of them.
     """
-    own = pick_unit(rows, keys)
-    good = own.where(valid(F.col("kind")))
-    key = [*keys, "_span"]
-    good = good.withColumn("_span", F.when(F.col("kind") == "duration", F.concat_ws("|", "start", "end")).otherwise(F.col("end")))
-    order = [F.desc(F.coalesce("filed", F.lit(""))), F.desc(F.coalesce("accn", F.lit(""))), F.col("pos")]
-    got = choose(good, key, "val", order)
+    rows = rows.where(" and ".join(f"{k} is not null" for k in [*keys, "unit"])).withColumn("_ok", valid(F.col("kind")))
+    span = F.when(F.col("kind") == "duration", F.concat_ws("|", "start", "end")).otherwise(F.col("end"))
+    rows = rows.withColumn("_span", F.when(F.col("_ok"), span)).repartition(*keys)
+    key = [*keys, "unit", "_span"]
+    w = Window.partitionBy(*key).orderBy(F.desc(F.coalesce("filed", F.lit(""))), F.desc(F.coalesce("accn", F.lit(""))), F.col("pos"))
+    rows = rows.withColumn("_k", F.row_number().over(w)).withColumn("_val", F.first("val").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rest = [c for c in rows.columns if c not in (*key, "_k", "_val", "_ok")]
+    per = rows.groupBy(*key).agg(
+        F.first(F.when(F.col("_k") == 1, F.struct(*rest)), ignorenulls=True).alias("_row"), F.min_by("val", F.when(F.col("val") != F.col("_val"), F.col("_k"))).alias("prev"),
+        F.count("*").alias("_n"), F.count_if(~F.col("_ok")).alias("_skipped"), F.min(F.when(F.col("unit") == F.col("want"), F.col("unit"))).alias("_own"),
+    )
+    of = Window.partitionBy(*keys)
+    per = per.withColumn("_unit", F.coalesce(F.min("_own").over(of), F.min("unit").over(of))).where("unit = _unit")
+    good = F.col("_span").isNotNull()
+    per = per.select(*key, *(F.when(good, F.col("_row")[c]).alias(c) for c in rest), F.when(good, F.col("prev")).alias("prev"), (F.col("_n") - 1).alias("folded"), "_n", "_skipped")
     days = F.when(F.col("kind") == "duration", text_days(F.col("start"), F.col("end")))
-    got = got.withColumn("days", days).withColumn("caliber", F.when(F.col("kind") == "duration", caliber(F.col("days"))).otherwise("I")).drop("_span")
-    by = Window.partitionBy(*keys).orderBy(F.desc("end"), F.desc(F.coalesce("start", F.lit(""))))
-    got = written(got.withColumn("period_pos", F.row_number().over(by)), "periods")
-    counts = own.groupBy(*keys, "unit").agg(F.count("*").alias("entries"), F.count_if(~valid(F.col("kind"))).alias("skipped"))
-    per = got.groupBy(*keys).agg(F.count("*").alias("periods"), F.count_if(F.col("folded") > 0).alias("dup_groups"), F.count_if("revised").alias("revised"), F.max("end").alias("newest"), F.min("end").alias("oldest"))
-    info = counts.join(per, keys, "left")
-    zero = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("periods", "dup_groups", "revised")}
-    return got, info.withColumns(zero).withColumn("error", F.when(F.col("periods") == 0, "no period"))
+    per = per.withColumn("revised", F.col("prev").isNotNull()).withColumn("days", days).withColumn("caliber", F.when(F.col("kind") == "duration", caliber(F.col("days"))).otherwise("I"))
+    by = of.orderBy(F.desc("end"), F.desc(F.coalesce("start", F.lit(""))))  # facts that are skipped have no end here and come last
+    per = written(per.withColumn("period_pos", F.row_number().over(by)), "periods")
+    info = per.groupBy(*keys, "unit").agg(
+        F.sum("_n").alias("entries"), F.sum("_skipped").alias("skipped"), F.count_if(good).alias("periods"), F.count_if(good & (F.col("folded") > 0)).alias("dup_groups"), F.count_if(good & F.col("revised")).alias("revised"),
+        F.max("end").alias("newest"), F.min("end").alias("oldest"),
+    )
+    return per.where(good).drop("_span", "_n", "_skipped"), info.withColumn("error", F.when(F.col("periods") == 0, "no period"))
 
 
 def candidates(defs: DataFrame, companies: DataFrame, info: DataFrame, errors: DataFrame) -> DataFrame:
@@ -102,8 +112,14 @@ def candidates(defs: DataFrame, companies: DataFrame, info: DataFrame, errors: D
     were not.  The tag with the newest period is chosen, of equal ones the first in the list.
     """
     every = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in r.asDict().items())) for r in defs.collect()))  # a few dozen definitions
-    rows = companies.select("cik", F.inline(every)).join(info, ["cik", "tag"], "left")
-    rows = rows.join(errors.select("cik", "tag", "code", "message"), ["cik", "tag"], "left")
+    # all meet by company, which the choice needs, too: of each as many rows as tags are defined
+    asked = lambda df: df.join(defs.select("tag").distinct().hint("broadcast"), "tag", "left_semi")
+    of_company = lambda df, *more: asked(df).groupBy("cik").agg(F.collect_list(F.struct(F.col("tag").alias("_tag"), *more)).alias("_of"))
+    found = of_company(info, *(c for c in info.columns if c not in ("cik", "tag"))).withColumnRenamed("_of", "_info")
+    failed = of_company(errors, "code", "message").withColumnRenamed("_of", "_failed")
+    rows = companies.select("cik").join(found, "cik", "left").join(failed, "cik", "left").select("cik", "_info", "_failed", F.inline(every))
+    for c in ("_info", "_failed"):
+        rows = rows.select("*", F.inline_outer(F.filter(c, lambda x: x["_tag"] == F.col("tag")))).drop(c, "_tag")
     status = (
         F.when(F.col("periods") > 0, "ok").when(F.col("entries").isNotNull(), "no period").when(F.col("code") == 404, "never reported")
         .when(F.col("code").isNotNull(), F.concat(F.lit("http "), F.col("code").cast("string"))).otherwise(F.concat(F.lit("not got: "), F.coalesce("message", F.lit("not asked"))))
@@ -129,9 +145,9 @@ def group_of(caliber: Column) -> Column:
     return F.when(caliber == "Q", "Q").when(caliber == "I", "I").when(caliber == "X", "OTHER").otherwise("CUM")
 
 
-def recent(df: DataFrame, keys: list[str], group: str, end: str, days: int, n: dict[str, int] | int, more: list[Column]) -> DataFrame:
-    """Rows within days of the keys' newest end, then the first n of each group (a number, or one for each group)."""
-    df = df.withColumn("_newest", F.max(end).over(Window.partitionBy(*keys))).where(in_window(F.col(end), F.col("_newest"), days))
+def recent(df: DataFrame, keys: list[str], group: str, end: str, days: int, n: dict[str, int] | int, more: list[Column], newest: Column | None = None) -> DataFrame:
+    """Rows within days of the keys' newest end (newest, where that is known), then the first n of each group (a number, or one for each group)."""
+    df = df.withColumn("_newest", F.max(end).over(Window.partitionBy(*keys)) if newest is None else newest).where(in_window(F.col(end), F.col("_newest"), days))
     w = Window.partitionBy(*keys, group).orderBy(F.desc(end), *more)
     most = F.lit(n) if isinstance(n, int) else F.create_map(*(F.lit(x) for kv in n.items() for x in kv))[F.col(group)]
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("_newest")
@@ -155,8 +171,10 @@ def report(got: DataFrame, chosen: DataFrame, days: int = RECENT_DAYS, shown: di
     value shown.  as_of is the last filing of any chosen period; a metric without a tag lists why.
     """
     keys = ["cik", "metric"]
-    own = got.drop("metric", "metric_pos", "want", "tag_rank").join(chosen.where("chosen").select("cik", "tag", "metric", "metric_pos", F.col("want").alias("_want")), ["cik", "tag"]).withColumn("group", group_of(F.col("caliber")))
-    rows = written(recent(own, keys, "group", "end", days, shown, [F.desc(F.coalesce("start", F.lit("")))]), "shown")  # a few rows of each metric
+    picked = chosen.where("chosen")
+    mine = picked.groupBy("cik").agg(F.collect_list(F.struct(F.col("tag").alias("_tag"), "metric", "metric_pos", F.col("want").alias("_want"), F.col("newest").alias("_top"))).alias("_mine"))  # as many as metrics
+    own = got.drop("metric", "metric_pos", "want", "tag_rank").join(mine, "cik").select("*", F.inline(F.filter("_mine", lambda x: x["_tag"] == F.col("tag")))).drop("_mine", "_tag").withColumn("group", group_of(F.col("caliber")))
+    rows = written(recent(own, keys, "group", "end", days, shown, [F.desc(F.coalesce("start", F.lit("")))], F.col("_top")).drop("_top"), "shown")  # a few rows of each metric
     quality = series_quality(rows, keys, "end", F.col("group") == "Q", F.col("caliber") == "FY", F.col("start"))
     rows = rows.join(quality, keys).where((F.col("group") != "Q") | F.col("quarters_ok"))
     rows = rows.withColumn("scale", scale(F.max(F.abs("val")).over(Window.partitionBy(*keys))))
@@ -165,7 +183,7 @@ def report(got: DataFrame, chosen: DataFrame, days: int = RECENT_DAYS, shown: di
         *keys, "metric_pos", "tag", "unit", "group", "rank", "caliber", "start", "end", "val", "scale", value("val").alias("text"), period_label(F.col("caliber"), F.col("start"), F.col("end"), F.col("days")).alias("label"),
         range_label(F.col("caliber"), F.col("start"), F.col("end")).alias("range"), "filed", "form", "accn", "folded", F.col("revised"), F.when(F.col("revised"), value("prev")).alias("prev_text"), archive_url(F.col("cik"), F.col("accn")).alias("filing"),
     )
-    as_of = own.groupBy("cik").agg(F.max("filed").alias("as_of"))
+    as_of = got.groupBy("cik", "tag").agg(F.max("filed").alias("filed")).join(picked.select("cik", "tag"), ["cik", "tag"]).groupBy("cik").agg(F.max("filed").alias("as_of"))
     why = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tag_rank", "tag", "status"))), lambda c: F.concat(c["tag"], F.lit(" ("), c["status"], F.lit(")"))), "; ")
     per = chosen.groupBy("cik", "metric", "metric_pos").agg(F.max("chosen").alias("available"), F.max(F.when(F.col("chosen"), F.col("tag"))).alias("tag"), why.alias("tried"))
     per = per.join(quality, keys, "left").join(as_of, "cik", "left")

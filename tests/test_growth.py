@@ -44,3 +44,29 @@ def test_lost_contents_are_met_before_owned_paths(spark):
     df = library.relink(files, lost, owned)
     assert {r["accn"]: (r["paths"], r["error"]) for r in df.collect()} == {"a1": (["/a"], None), "a2": ([], "not found"), "a3": ([], "not found")}
     assert "LeftAnti" not in _exchanges(df)
+
+
+def test_facts_are_dealt_once_by_keys(spark, monkeypatch):
+    """Periods and counts take one shuffle of the facts, and none by tag, of which there are a few for all companies."""
+    from sedimenta.operators import facts
+
+    tables = []
+    monkeypatch.setattr(facts, "written", lambda df, name: tables.append(df) or df)
+    raw = [(1, "Cash", "USD", None, "2024-03-31", 5, "a", "2024-05-01", 0), (1, "Cash", "USD", None, "2024-03-31", 6, "b", "2024-06-01", 1), (1, "Cash", "USD", None, "2024-03-31", 6, "c", "2024-07-01", 2), (1, "Cash", "EUR", None, "2024-06-30", 7, "a", "2024-05-01", 3), (2, "Cash", "EUR", None, "2024-03-31", None, "a", "2024-05-01", 0)]
+    rows = spark.createDataFrame(raw, "cik long, tag string, unit string, start string, end string, val long, accn string, filed string, pos long")
+    defs = facts.definitions(spark, [("cash", "instant", "USD", ["Cash"]), ("revenue", "duration", "USD", ["Revenues"])])
+    got, info = facts.periods(rows.join(defs, "tag"), ["cik", "tag"])
+    plan = tables[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) == 1 and re.search(r"Exchange hashpartitioning\(cik#\d+L, tag#\d+, ", plan)
+    assert [(r["cik"], r["accn"], r["val"], r["prev"], r["folded"], r["revised"], r["period_pos"]) for r in got.collect()] == [(1, "c", 6, 5, 2, True, 1)]
+    assert sorted((r["cik"], r["unit"], r["entries"], r["skipped"], r["periods"], r["error"]) for r in info.collect()) == [(1, "USD", 3, 0, 1, None), (2, "EUR", 1, 1, 0, "no period")]
+
+
+def test_days_of_odd_dates(spark):
+    from pyspark.sql import functions as F
+
+    from sedimenta.functions.dates import day
+
+    texts = ["2024-02-29", "2023-02-29", "2026-13-01", "0000-01-01", "0001-01-01", "2024-01-01\n", " 2024-01-01", "2024-1-1", "", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(day(F.col("x")).cast("string")).collect()]
+    assert got == ["2024-02-29", None, None, "0000-01-01", "0001-01-01", *[None] * 5]
